@@ -27,16 +27,25 @@ def brand_model(brand: Column, name: Column) -> Column:
     return F.when(known, F.concat(brand, F.lit(" "), rest))
 
 
-def item_values(fields: Column, cfg: EngineConfig) -> dict[str, Column]:
-    """The values of one item that take part, by kind. Null or non-text counts as absent."""
-    brand = text.filled(_stripped(jsontext.text_value(fields, "brand")))
-    name = _stripped(
-        text.first_filled(*[jsontext.text_value(fields, f) for f in ("product_name", "title", "name")])
+def item_values(fields: Column, pos: Column, cfg: EngineConfig) -> Column:
+    """(kind, value, pos) of one item for every kind it has. Null or non-text counts as absent."""
+    texts = F.filter(fields, lambda f: (f["value_type"] == "string") & (_stripped(f["value"]) != ""))
+
+    def text_of(name: str) -> Column:
+        return _stripped(jsontext.field_value(texts, name))
+
+    brand = text_of("brand")
+    name = F.coalesce(*[text_of(f) for f in ("product_name", "title", "name")])
+
+    def entry(kind: Column, value: Column) -> Column:
+        return F.struct(kind.alias("kind"), value.alias("value"), pos.alias("pos"))
+
+    named = F.array(entry(F.lit(BRAND_MODEL), brand_model(brand, name)), entry(F.lit(BRAND), brand))
+    attributes = F.filter(texts, lambda f: f["field"].isin(*cfg.attribute_fields))
+    return F.concat(
+        F.filter(named, lambda e: e["value"].isNotNull()),
+        F.transform(attributes, lambda f: entry(f["field"], _stripped(f["value"]))),
     )
-    values = {BRAND_MODEL: brand_model(brand, name), BRAND: brand}
-    for attribute in cfg.attribute_fields:
-        values[attribute] = text.filled(_stripped(jsontext.text_value(fields, attribute)))
-    return values
 
 
 # ---- in the page's own row -------------------------------------------------------------------
@@ -45,8 +54,8 @@ _RUN = "struct<value:string,n:bigint,pos:int>"
 _STATE = f"struct<run:{_RUN},best:{_RUN}>"
 
 
-def _mode(values: Column) -> Column:
-    """Most frequent (value, pos) entry, first seen among equals: one pass over the sorted entries."""
+def _mode(entries: Column) -> Column:
+    """Most frequent (kind, value, pos) entry of one kind, first seen among equals: one pass over the sorted entries."""
     start = F.lit(None).cast(_STATE)
 
     def step(state: Column, entry: Column) -> Column:
@@ -64,43 +73,37 @@ def _mode(values: Column) -> Column:
         )
         return F.struct(run.alias("run"), F.when(better, run).otherwise(best).alias("best")).cast(_STATE)
 
-    return F.aggregate(F.array_sort(values), start, step, lambda s: s["best"])
+    return F.aggregate(F.array_sort(entries), start, step, lambda s: s["best"])
 
 
 def page_dominance(df: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Add `dominance`: one (kind, value, n, share, first_pos, dominant) per kind that occurs."""
     n_items = F.size("items")
-    kinds = list(item_values(F.lit(None).cast("array<struct<field:string,value:string,value_type:string>>"), cfg))
-
-    def entries(kind: str) -> Column:
-        found = F.transform(
-            F.col("items"),
-            lambda item, i: F.struct(item_values(item, cfg)[kind].alias("value"), i.alias("pos")),
-        )
-        return F.filter(found, lambda e: e["value"].isNotNull())
-
-    df = df.withColumns({f"_{k}": entries(k) for k in kinds})
-    df = df.withColumns({f"_mode_{k}": _mode(F.col(f"_{k}")) for k in kinds})
-    rows = []
-    for k in kinds:
-        mode = F.col(f"_mode_{k}")
-        share = text.ratio(mode["n"], n_items)
-        rows.append(
-            F.struct(
-                F.lit(k).alias("kind"),
-                mode["value"].alias("value"),
-                mode["n"].alias("n"),
-                share.alias("share"),
-                F.get(F.col(f"_{k}"), F.lit(0))["pos"].alias("first_pos"),
-                F.coalesce((n_items >= 2) & (share >= _limit(k, cfg)), F.lit(False)).alias("dominant"),
-            )
+    limits = {BRAND_MODEL: cfg.model_share, BRAND: cfg.brand_share}
+    limits |= {k: cfg.attribute_share for k in cfg.attribute_fields}
+    rules = F.array(
+        *[F.struct(F.lit(k).alias("kind"), F.lit(limit).alias("limit")) for k, limit in limits.items()]
+    )
+    entries = F.flatten(F.transform("items", lambda item, i: item_values(F.coalesce(item, jsontext.no_fields()), i, cfg)))
+    df = df.withColumn("_entries", entries)
+
+    def measured(rule: Column) -> Column:
+        own = F.filter(F.col("_entries"), lambda e: e["kind"] == rule["kind"])
+        return F.struct(rule.alias("rule"), F.array_min(F.transform(own, lambda e: e["pos"])).alias("first_pos"), _mode(own).alias("mode"))
+
+    def judged(m: Column) -> Column:
+        share = text.ratio(m["mode"]["n"], n_items)
+        return F.struct(
+            m["rule"]["kind"].alias("kind"),
+            m["mode"]["value"].alias("value"),
+            m["mode"]["n"].alias("n"),
+            share.alias("share"),
+            m["first_pos"].alias("first_pos"),
+            F.coalesce((n_items >= 2) & (share >= m["rule"]["limit"]), F.lit(False)).alias("dominant"),
         )
-    found = F.filter(F.array(*rows), lambda r: r["value"].isNotNull())
-    return df.withColumn("dominance", found).drop(*[f"_{k}" for k in kinds], *[f"_mode_{k}" for k in kinds])
-
 
-def _limit(kind: str, cfg: EngineConfig) -> float:
-    return {BRAND_MODEL: cfg.model_share, BRAND: cfg.brand_share}.get(kind, cfg.attribute_share)
+    found = F.filter(F.transform(rules, measured), lambda m: m["mode"].isNotNull())
+    return df.withColumn("dominance", F.transform(found, judged)).drop("_entries")
 
 
 def dominant(dominance: Column, kind: str) -> Column:

@@ -9,8 +9,11 @@ from factloom.config import EngineConfig
 from factloom.functions import jsontext, text
 from factloom.operators import dominance as D
 from factloom.operators.profile import page_class
+from factloom.operators.validate import INCOMPLETE, SUCCESS
 
 UNKNOWN = "Unknown"
+ARCHIVE = "archive"
+ERRORS = "errors"
 
 
 def source_part(source: Column) -> Column:
@@ -62,14 +65,20 @@ def base_name(
 
 def status_suffix(status: Column) -> Column:
     return (
-        F.when(status == "success", F.lit(""))
-        .when(status == "extraction_incomplete", F.lit("_INCOMPLETE"))
+        F.when(status == SUCCESS, F.lit(""))
+        .when(status == INCOMPLETE, F.lit("_INCOMPLETE"))
         .otherwise(F.lit("_FAILED"))
     )
 
 
+def disposition(status: Column) -> Column:
+    """Success and partial results are archived; everything else goes to errors."""
+    kept = F.coalesce(status.isin(SUCCESS, INCOMPLETE), F.lit(False))
+    return F.when(kept, F.lit(ARCHIVE)).otherwise(F.lit(ERRORS))
+
+
 def name_reports(df: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Add page_kind, base_name. Needs hypothesis, items, shape and `processed_at`.
+    """Add page_kind, base_name, report_name, debug_name, disposition. Needs hypothesis, items, shape, status and `processed_at`.
 
     The title of a single page is taken only from listed items; one that was extracted as `item` is
     named by its category.
@@ -104,4 +113,14 @@ def name_reports(df: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame
     name = base_name(
         F.col("_stamp"), F.col("_source"), F.col("_product"), F.col("page_kind"), cfg.max_name_chars
     )
-    return named.withColumn("base_name", name).drop("_source", "_product", "_stamp")
+    return (
+        named.withColumn("base_name", name)
+        .withColumns(
+            {
+                "report_name": F.concat(F.col("base_name"), status_suffix(F.col("status"))),
+                "debug_name": F.concat(F.col("base_name"), F.lit("_DEBUG")),
+                "disposition": disposition(F.col("status")),
+            }
+        )
+        .drop("_source", "_product", "_stamp")
+    )

@@ -10,9 +10,6 @@ from factloom.functions import jsontext, text
 from factloom.operators.naming import status_suffix
 from factloom.operators.validate import INCOMPLETE, SUCCESS
 
-ARCHIVE = "archive"
-ERRORS = "errors"
-
 # The headings of the two report layouts.
 SUCCESS_TITLE = "# 📊 Extraction Report: "
 SUCCESS_STATUS = "## ✅ Status: SUCCESS"
@@ -42,12 +39,6 @@ def or_default(value: Column, default: str) -> Column:
     return F.coalesce(value.cast("string"), F.lit(default))
 
 
-def disposition(status: Column) -> Column:
-    """Success and partial results are archived; everything else goes to errors."""
-    kept = F.coalesce(status.isin(SUCCESS, INCOMPLETE), F.lit(False))
-    return F.when(kept, F.lit(ARCHIVE)).otherwise(F.lit(ERRORS))
-
-
 def _line(label: str, value: Column, more: bool) -> Column:
     return F.concat(F.lit(f"**{label}:** "), value, F.lit("  " if more else ""))
 
@@ -224,8 +215,7 @@ def debug_json(df: DataFrame) -> Column:
 
 
 def make_reports(validated: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Add extracted_data, report_name, report_markdown, report_json, debug_name, debug_json and
-    disposition. Needs the named page row."""
+    """Add extracted_data, report_markdown, report_json and debug_json to named page rows."""
     base = validated.withColumn("extracted_data", jsontext.items_json(F.col("items"), F.col("shape")))
     stamp = text.minute_stamp(F.col("processed_at"))
     original, hypothesis, validation = F.col("original_file"), F.col("hypothesis"), F.col("validation")
@@ -239,12 +229,9 @@ def make_reports(validated: DataFrame, cfg: EngineConfig = EngineConfig()) -> Da
     )
     return base.withColumns(
         {
-            "report_name": F.concat(F.col("base_name"), status_suffix(F.col("status"))),
-            "debug_name": F.concat(F.col("base_name"), F.lit("_DEBUG")),
             "report_markdown": F.when(F.col("status") == SUCCESS, good).otherwise(bad),
             "report_json": report_json(base),
             "debug_json": debug_json(base),
-            "disposition": disposition(F.col("status")),
         }
     )
 

@@ -50,11 +50,15 @@ class PageFlow:
         done = self.validate(self.render(self.extracted(pages), self.cfg), self.cfg)
         return computed_once(done, {"status": F.col("status"), "validation": F.col("validation")})
 
-    def reports(self, pages: DataFrame, processed_at: Column) -> DataFrame:
-        """The finished page rows. `processed_at` is the time that reports and ledger carry."""
+    def named(self, pages: DataFrame, processed_at: Column) -> DataFrame:
+        """Validated pages with the names and the destination of their reports."""
         done = self.validated(pages).withColumn("processed_at", processed_at)
         named = name_reports(done, self.cfg)
-        return make_reports(computed_once(named, {"base_name": F.col("base_name")}), self.cfg)
+        return computed_once(named, {"base_name": F.col("base_name")})
+
+    def reports(self, pages: DataFrame, processed_at: Column) -> DataFrame:
+        """The finished page rows. `processed_at` is the time that reports and ledger carry."""
+        return make_reports(self.named(pages, processed_at), self.cfg)
 
 
 def partition_stage(

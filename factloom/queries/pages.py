@@ -19,6 +19,7 @@ from factloom.operators.clean import cleaning_totals
 from factloom.operators.extract import long_fields
 from factloom.operators.fields import count_fields, field_coverage, first_value
 from factloom.operators.ledger import price_usage, spend_by, stage_usage
+from factloom.operators.naming import disposition
 from factloom.operators.render import validator_summary
 from factloom.operators.report import run_log
 from factloom.plans.page_flow import PageFlow
@@ -49,6 +50,10 @@ def reports_of(spark: SparkSession, sf_dir: str, cfg: EngineConfig = EngineConfi
     return PageFlow(cfg).reports(pages_of(spark, sf_dir), F.lit(PROCESSED_AT).cast("timestamp"))
 
 
+def named_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PageFlow().named(pages_of(spark, sf_dir), F.lit(PROCESSED_AT).cast("timestamp"))
+
+
 @query(
     "host_cleaning_totals",
     f"""WITH {S.CLEANED}
@@ -257,7 +262,7 @@ _NAME = f"""'{STAMP}-' || {S.source_part("source")} || '-'
 )
 def page_report_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        reports_of(spark, sf_dir)
+        named_of(spark, sf_dir)
         .where(F.col("reason").isNull())
         .select("page_id", "base_name", "report_name", "debug_name")
     )
@@ -318,9 +323,10 @@ def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT status, reason, disposition, count(*) AS pages FROM every_page GROUP BY ALL""",
 )
 def page_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports_of(spark, sf_dir).groupBy("status", "reason", "disposition").agg(
-        F.count(F.lit(1)).alias("pages")
+    routed = PageFlow().validated(pages_of(spark, sf_dir)).select(
+        "status", "reason", disposition(F.col("status")).alias("disposition")
     )
+    return routed.groupBy("status", "reason", "disposition").agg(F.count(F.lit(1)).alias("pages"))
 
 
 @query(
@@ -334,7 +340,7 @@ def page_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM every_page""",
 )
 def run_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_log(reports_of(spark, sf_dir)).select("page_id", "level", "message")
+    return run_log(named_of(spark, sf_dir)).select("page_id", "level", "message")
 
 
 @query(
