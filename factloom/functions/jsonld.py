@@ -12,6 +12,7 @@ SCRIPT = (
     r"""(.*?)(?:</script\s*>|\z)"""
 )
 _STRINGS = "array<string>"
+_NODE = "struct<`@type`:string,name:string,item:string,itemListElement:array<string>>"
 
 
 def texts(blocks: Column) -> Column:
@@ -22,7 +23,7 @@ def texts(blocks: Column) -> Column:
 
 
 def nodes(json_texts: Column) -> Column:
-    """Top-level nodes: a block, the members of an array block, or the members of its graph."""
+    """Top-level nodes, each parsed once: a block, the members of an array block, or of its graph."""
 
     def of_block(text: Column) -> Column:
         graph = F.from_json(text, "struct<`@graph`:array<string>>")["@graph"]
@@ -30,46 +31,51 @@ def nodes(json_texts: Column) -> Column:
             F.coalesce(graph, F.array(text))
         )
 
-    return F.filter(F.flatten(F.transform(json_texts, of_block)), lambda n: n.startswith("{"))
+    return _parsed(F.flatten(F.transform(json_texts, of_block)))
 
 
-def _node(text: Column) -> Column:
-    return F.from_json(text, "struct<`@type`:string,name:string,item:string,itemListElement:array<string>>")
+def _parsed(texts_of_nodes: Column) -> Column:
+    objects = F.filter(texts_of_nodes, lambda n: n.startswith("{"))
+    return F.transform(objects, lambda n: F.struct(n.alias("text"), F.from_json(n, _NODE).alias("node")))
 
 
-def _has_type(text: Column, name: str) -> Column:
-    return F.coalesce(_node(text)["@type"].contains(name), F.lit(False))
+def _has_type(node: Column, name: str) -> Column:
+    return F.coalesce(node["node"]["@type"].contains(name), F.lit(False))
 
 
-def has_type(json_nodes: Column, name: str) -> Column:
-    return F.exists(json_nodes, lambda n: _has_type(n, name))
+def has_type(parsed: Column, name: str) -> Column:
+    return F.exists(parsed, lambda n: _has_type(n, name))
 
 
-def items(json_nodes: Column) -> Column:
+def items(parsed: Column) -> Column:
     """Named entries of item lists, else the product nodes; as JSON texts."""
-
-    def entry(element: Column) -> Column:
-        inner = _node(element)["item"]
-        return F.when(inner.startswith("{"), inner).otherwise(element)
-
-    lists = F.filter(json_nodes, lambda n: _has_type(n, "ItemList"))
-    listed = F.flatten(
-        F.transform(lists, lambda n: F.coalesce(_node(n)["itemListElement"], F.array().cast(_STRINGS)))
+    lists = F.filter(parsed, lambda n: _has_type(n, "ItemList"))
+    listed = _parsed(
+        F.flatten(F.transform(lists, lambda n: F.coalesce(n["node"]["itemListElement"], F.array().cast(_STRINGS))))
+    )
+    # An entry is the item itself or holds it as `item`.
+    entries = F.transform(
+        listed,
+        lambda n: F.when(
+            n["node"]["item"].startswith("{"),
+            F.struct(
+                n["node"]["item"].alias("text"), F.get_json_object(n["node"]["item"], "$.name").alias("name")
+            ),
+        ).otherwise(F.struct(n["text"].alias("text"), n["node"]["name"].alias("name"))),
     )
-    named = F.filter(
-        F.transform(F.filter(listed, lambda e: e.startswith("{")), entry),
-        lambda e: F.coalesce(_node(e)["name"] != "", F.lit(False)),
+    named = F.filter(entries, lambda e: F.coalesce(e["name"] != "", F.lit(False)))
+    products = F.filter(parsed, lambda n: _has_type(n, "Product"))
+    return F.when(F.size(named) > 0, F.transform(named, lambda e: e["text"])).otherwise(
+        F.transform(products, lambda n: n["text"])
     )
-    products = F.filter(json_nodes, lambda n: _has_type(n, "Product"))
-    return F.when(F.size(named) > 0, named).otherwise(products)
 
 
-def breadcrumb(json_nodes: Column) -> Column:
+def breadcrumb(parsed: Column) -> Column:
     """Name of the last breadcrumb; null where the page has none."""
-    trail = F.get(F.filter(json_nodes, lambda n: _has_type(n, "BreadcrumbList")), F.lit(0))
-    crumbs = _node(trail)["itemListElement"]
-    last = _node(F.get(crumbs, F.size(crumbs) - 1))
-    return F.coalesce(last["name"], _node(last["item"])["name"])
+    trail = F.get(F.filter(parsed, lambda n: _has_type(n, "BreadcrumbList")), F.lit(0))
+    crumbs = trail["node"]["itemListElement"]
+    last = F.get(crumbs, F.size(crumbs) - 1)
+    return F.coalesce(F.get_json_object(last, "$.name"), F.get_json_object(last, "$.item.name"))
 
 
 def item_fields(text: Column) -> Column:

@@ -151,7 +151,8 @@ def comparison_markdown(compared: DataFrame, a_name: str, b_name: str, original:
         return F.format_string(f"$%.{digits}f", F.col(column).cast("double"))
 
     def pct(column: str, digits: int) -> Column:
-        return F.coalesce(F.format_string(f"%.{digits}f%%", F.col(column)), F.lit("n/a"))
+        shown = F.format_string(f"%.{digits}f%%", F.col(column))
+        return F.when(F.col(column).isNull(), F.lit("n/a")).otherwise(shown)
 
     def populated(r: str) -> Column:
         return F.concat(

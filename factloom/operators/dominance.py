@@ -135,7 +135,8 @@ def dominant_values(
     kinds: dict[str, Column],
     limits: dict[str, float],
 ) -> DataFrame:
-    """One row per key: items, and per kind its most frequent value, count, share and verdict.
+    """One row per key: items, the order columns of the first item, and per kind its most frequent
+    value, count, share and verdict.
 
     `kinds` maps a kind to the column that holds its value for one item row; `order` lists the
     columns that say which item comes first. Values are counted per (key, kind, value) with
@@ -158,7 +159,11 @@ def dominant_values(
         .groupBy(*keys, "kind", "value")
         .agg(F.count(F.lit(1)).alias("n"), F.min("_seen").alias("seen"))
     )
-    aggregates = [F.max(F.when(F.col("kind") == "", F.col("n"))).alias("items")]
+    item_row = F.col("kind") == ""
+    aggregates = [
+        F.max(F.when(item_row, F.col("n"))).alias("items"),
+        F.min(F.when(item_row, F.col("seen"))).alias("first_item"),
+    ]
     for kind in kinds:
         here = F.col("kind") == kind
         best = F.struct((-F.col("n")).alias("neg"), F.col("seen"), F.col("value"))

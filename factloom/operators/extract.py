@@ -53,7 +53,10 @@ def extract_items(profiled: DataFrame, cfg: EngineConfig = EngineConfig()) -> Da
     whole = F.col("clean_html")
     found = profiled.withColumns(
         {
-            "_ld": F.transform(jsonld.items(jsonld.nodes(F.col("json_ld"))), jsonld.item_fields),
+            "_ld": F.when(
+                F.size("json_ld") > 0,
+                F.transform(jsonld.items(jsonld.nodes(F.col("json_ld"))), jsonld.item_fields),
+            ),
             "_linked": items_of(list_entries(whole)),
         }
     ).withColumn(

@@ -58,16 +58,19 @@ def profile_pages(cleaned: DataFrame, cfg: EngineConfig = EngineConfig()) -> Dat
     sample = text.prefix(F.col("clean_html"), cfg.sample_chars)
     nodes = F.col("_nodes")
     url = F.coalesce(F.col("url"), H.declared_url(F.col("html")))
-    features = cleaned.withColumn("_nodes", jsonld.nodes(F.col("json_ld"))).withColumns(
+    has_json_ld = F.size("json_ld") > 0
+    features = cleaned.withColumn(
+        "_nodes", F.when(has_json_ld, jsonld.nodes(F.col("json_ld")))
+    ).withColumns(
         {
             "_url": url,
             "title": H.title(F.col("html")),
             "_li": F.regexp_count(sample, F.lit(LIST_ENTRY)),
             "_h1": F.regexp_count(sample, F.lit(HEADING_ENTRY)),
             "_priced": sample.rlike(PRICED),
-            "_ld_items": jsonld.items(nodes),
-            "_search": jsonld.has_type(nodes, "SearchResultsPage"),
-            "_list": jsonld.has_type(nodes, "ItemList"),
+            "_ld_items": F.coalesce(jsonld.items(nodes), F.array().cast("array<string>")),
+            "_search": F.coalesce(jsonld.has_type(nodes, "SearchResultsPage"), F.lit(False)),
+            "_list": F.coalesce(jsonld.has_type(nodes, "ItemList"), F.lit(False)),
             "_crumb": jsonld.breadcrumb(nodes),
         }
     )

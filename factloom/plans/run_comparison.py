@@ -15,11 +15,43 @@ from factloom.operators.ledger import price_usage
 
 @dataclass(frozen=True)
 class RunComparison:
-    """Results of a comparison. All are lazy; `key` names the page."""
+    """A comparison of two extractions of the same pages (rows with key, clean_html, items, shape).
 
-    metrics: DataFrame
-    verdicts: DataFrame
-    diff: DataFrame
+    Each result is a plan of its own over the two runs; `key` names the page.
+    """
+
+    a: DataFrame
+    b: DataFrame
+    key: str
+    models: tuple[str, str]
+    prices: DataFrame
+
+    def metrics(self) -> DataFrame:
+        """Per page and run: item and field counts, tokens, time and cost."""
+        runs = ((self.a, C.RUN_A, self.models[0]), (self.b, C.RUN_B, self.models[1]))
+        fields = [long_fields(rows, self.key).withColumn("run", F.lit(run)) for rows, run, _ in runs]
+        usage = [run_usage(rows, self.key, run, model, self.prices) for rows, run, model in runs]
+        return C.run_metrics(
+            fields[0].unionByName(fields[1]), usage[0].unionByName(usage[1]), [self.key]
+        )
+
+    def verdicts(self) -> DataFrame:
+        """Per page: both runs side by side, the winner per metric, and what to use."""
+        return C.recommendation(C.winners(C.side_by_side(self.metrics(), [self.key])))
+
+    def diff(self) -> DataFrame:
+        """Every field of every item of either run."""
+        return C.field_diff(long_fields(self.a, self.key), long_fields(self.b, self.key), [self.key])
+
+    def reports(self, originals: DataFrame) -> DataFrame:
+        """Markdown report per page. Only the first item of a page is gathered, sorted by field."""
+        sample = (
+            C.first_item(self.diff())
+            .groupBy(self.key)
+            .agg(F.array_sort(F.collect_list(F.struct("field", "a_shown", "b_shown", "match"))).alias("sample"))
+        )
+        joined = self.verdicts().join(sample, self.key, "left").join(originals, self.key, "left")
+        return C.comparison_markdown(joined, *self.models, F.col("original_file"))
 
 
 def run_usage(
@@ -47,31 +79,3 @@ def run_usage(
         "time_seconds",
         F.col("cost_usd").alias("cost"),
     )
-
-
-def compare_runs(
-    a: DataFrame, b: DataFrame, key: str, models: tuple[str, str], prices: DataFrame
-) -> RunComparison:
-    """Compare two extractions of the same pages (rows with key, clean_html, items, shape)."""
-    fields_a = long_fields(a, key).withColumn("run", F.lit(C.RUN_A))
-    fields_b = long_fields(b, key).withColumn("run", F.lit(C.RUN_B))
-    usage = run_usage(a, key, C.RUN_A, models[0], prices).unionByName(
-        run_usage(b, key, C.RUN_B, models[1], prices)
-    )
-    metrics = C.run_metrics(fields_a.unionByName(fields_b), usage, [key])
-    verdicts = C.recommendation(C.winners(C.side_by_side(metrics, [key])))
-    diff = C.field_diff(fields_a.drop("run"), fields_b.drop("run"), [key])
-    return RunComparison(metrics, verdicts, diff)
-
-
-def comparison_reports(
-    comparison: RunComparison, key: str, names: tuple[str, str], originals: DataFrame
-) -> DataFrame:
-    """Markdown report per page. Only the first item of a page is gathered, sorted by field."""
-    sample = (
-        C.first_item(comparison.diff)
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("field", "a_shown", "b_shown", "match"))).alias("sample"))
-    )
-    joined = comparison.verdicts.join(sample, key, "left").join(originals, key, "left")
-    return C.comparison_markdown(joined, *names, F.col("original_file"))

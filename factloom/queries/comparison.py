@@ -14,7 +14,7 @@ from factloom.operators import compare as C
 from factloom.operators.extract import long_fields
 from factloom.operators.fields import field_names
 from factloom.plans.page_flow import PageFlow
-from factloom.plans.run_comparison import RunComparison, compare_runs, comparison_reports
+from factloom.plans.run_comparison import RunComparison
 from factloom.queries import page_sql as S
 from factloom.queries.pages import pages_of
 from factloom.queries.registry import query
@@ -59,7 +59,7 @@ def run_b(pages: DataFrame) -> DataFrame:
 
 def comparison_of(spark: SparkSession, sf_dir: str) -> RunComparison:
     pages = pages_of(spark, sf_dir)
-    return compare_runs(run_a(pages), run_b(pages), "page_id", (MODEL_A, MODEL_B), price_list(spark))
+    return RunComparison(run_a(pages), run_b(pages), "page_id", (MODEL_A, MODEL_B), price_list(spark))
 
 
 _RUNS_SQL = f"""{S.RENDERED},
@@ -112,7 +112,7 @@ pair AS (
       tokens_in, tokens_out, time_seconds, round(cost, 9) AS cost FROM metrics""",
 )
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = comparison_of(spark, sf_dir).metrics
+    metrics = comparison_of(spark, sf_dir).metrics()
     return metrics.withColumn("cost", F.round(F.col("cost").cast("double"), 9))
 
 
@@ -131,7 +131,7 @@ def _winner_sql(a: str, b: str, more: bool, within: float | None = None) -> str:
       {_winner_sql("a_time", "b_time", False, 2)} AS time_winner, 'a' AS cost_winner FROM pair""",
 )
 def run_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdicts = comparison_of(spark, sf_dir).verdicts
+    verdicts = comparison_of(spark, sf_dir).verdicts()
     return verdicts.select(
         "page_id", "items_winner", "total_fields_winner", "populated_winner", "missing_winner",
         "avg_fields_winner", "time_winner", "cost_winner",
@@ -152,7 +152,7 @@ def run_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM pair""",
 )
 def run_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdicts = comparison_of(spark, sf_dir).verdicts
+    verdicts = comparison_of(spark, sf_dir).verdicts()
     return verdicts.select(
         "page_id", "a_populated_pct", "b_populated_pct", "quality_gain",
         F.round("cost_difference", 9).alias("cost_difference"),
@@ -179,7 +179,7 @@ diff AS (
 
 @query("item_field_diff", f"WITH {_DIFF_SQL} SELECT * FROM diff")
 def item_field_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison_of(spark, sf_dir).diff
+    return comparison_of(spark, sf_dir).diff()
 
 
 @query(
@@ -188,7 +188,7 @@ def item_field_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     ORDER BY page_id, field""",
 )
 def first_item_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = C.first_item(comparison_of(spark, sf_dir).diff)
+    shown = C.first_item(comparison_of(spark, sf_dir).diff())
     return shown.select("page_id", "field", "a_shown", "b_shown", "match").orderBy("page_id", "field")
 
 
@@ -211,7 +211,7 @@ def field_name_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def comparison_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key lines read back out of the comparison reports."""
     originals = pages_of(spark, sf_dir).select("page_id", "original_file")
-    reports = comparison_reports(comparison_of(spark, sf_dir), "page_id", (MODEL_A, MODEL_B), originals)
+    reports = comparison_of(spark, sf_dir).reports(originals)
     md = F.col("comparison_markdown")
     line = r"\*\*Items Extracted\*\* \| ([0-9]+ \| [0-9]+) \| ([^|]+) \|"
     return reports.select(

@@ -14,6 +14,7 @@ from factloom.operators.profile import page_class
 from factloom.operators.stats import breakdown, concentration, price_statistics
 from factloom.queries import page_sql as S
 from factloom.queries.registry import query, table
+from factloom.session import spread
 
 # Documents as items with fields. Labels cover a part of the documents, so quality and toxic hold
 # real nulls; short documents say N/A for them, and long ones carry one field more.
@@ -120,7 +121,8 @@ def order_dominance_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"), F.col("p_name").alias("name")
     )
-    lines = table(spark, sf_dir, "lineitem").join(parts, "l_partkey")
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", *LINE_ORDER))
+    lines = lines.join(parts, "l_partkey")
     kinds = {
         "brand_model": D.brand_model(F.col("brand"), F.col("name")),
         "brand": F.col("brand"),
@@ -179,7 +181,7 @@ def order_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = order_dominance_of(spark, sf_dir).withColumn(
         "first_attribute", D.first_dominant(["returnflag", "linestatus"])
     )
-    return found.drop(*[f"{k}_first" for k in ORDER_KINDS])
+    return found.drop("first_item", *[f"{k}_first" for k in ORDER_KINDS])
 
 
 # Profiles of the orders: status and priority say what kind of page and how many items to expect.
@@ -274,19 +276,12 @@ def order_page_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def order_report_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names for reports on orders: every branch of the naming rule, over the whole item table."""
-    first = (
-        table(spark, sf_dir, "lineitem")
-        .select("l_orderkey", F.struct(*LINE_ORDER).alias("seen"))
-        .groupBy("l_orderkey")
-        .agg(F.min("seen").alias("first"))
-        .select("l_orderkey", F.col("first.l_partkey").alias("p_partkey"))
-        .join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
-        .select("l_orderkey", F.col("p_name").alias("first_title"))
-    )
+    titles = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("first_title"))
     rows = (
         order_profiles(spark, sf_dir)
         .join(order_dominance_of(spark, sf_dir), "l_orderkey", "left")
-        .join(first, "l_orderkey", "left")
+        .withColumn("p_partkey", F.col("first_item.l_partkey"))
+        .join(titles, "p_partkey", "left")
         .withColumn("page_kind", page_class(F.col("page_type"), F.col("item_count")))
     )
     product = product_part(

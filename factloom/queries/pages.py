@@ -25,7 +25,8 @@ from factloom.operators.report import run_log
 from factloom.plans.page_flow import PageFlow
 from factloom.queries import page_sql as S
 from factloom.queries.registry import query, table
-from factloom.sources.pages import from_table, spread
+from factloom.session import spread
+from factloom.sources.pages import from_table
 from factloom.sources.prices import price_list
 
 PROCESSED_AT = "2025-01-02 03:04:05"
@@ -43,7 +44,7 @@ PRICED_FLOW = EngineConfig(
 
 
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(from_table(table(spark, sf_dir, "pages")))
+    return from_table(spread(table(spark, sf_dir, "pages")))
 
 
 def reports_of(spark: SparkSession, sf_dir: str, cfg: EngineConfig = EngineConfig()) -> DataFrame:
@@ -412,7 +413,7 @@ def image_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("'></body></html>"),
     )
     url = F.concat(F.lit("http://"), F.col("source"), F.lit(".example.com/"), F.col("lang"))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("page_id"), url.alias("url"), html.alias("html")
     )
 
@@ -425,7 +426,7 @@ def image_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM cleaned""",
 )
 def inline_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = PageFlow().clean(spread(from_table(image_pages(spark, sf_dir))))
+    cleaned = PageFlow().clean(from_table(image_pages(spark, sf_dir)))
     return cleaned.select(
         "page_id", "reason", "base64_images_removed", F.md5("clean_html").alias("clean_md5"), "clean_chars",
         F.col("clean_html").contains("data:image").alias("still_inline"),
@@ -462,7 +463,7 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_retailprice").cast("string"), F.lit(" while in stock at our shop</p></body></html>"),
     )
     url = F.concat(F.lit("https://www.shop.example.com/p/"), F.col("p_partkey").cast("string"))
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         F.col("p_partkey").alias("page_id"), url.alias("url"), html.alias("html")
     )
 

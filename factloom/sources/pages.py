@@ -30,8 +30,14 @@ def _as_pages(files: DataFrame) -> DataFrame:
 
 
 def read_page_files(spark: SparkSession, directory: str) -> DataFrame:
-    """HTML files of one directory. Names starting with a dot or an underscore stay hidden."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", FILE_GLOB).load(directory)
+    """HTML files of one directory. Names starting with a dot or an underscore stay hidden, and a
+    file that is gone before it is read is passed over."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", FILE_GLOB)
+        .option("ignoreMissingFiles", True)
+        .load(directory)
+    )
     return _as_pages(files)
 
 
@@ -42,6 +48,7 @@ def stream_page_files(spark: SparkSession, directory: str, max_files: int = 1000
         .schema(PAGE_FILE)
         .option("pathGlobFilter", FILE_GLOB)
         .option("maxFilesPerTrigger", max_files)
+        .option("ignoreMissingFiles", True)
         .load(directory)
     )
     return _as_pages(files)
@@ -57,12 +64,3 @@ def from_table(pages: DataFrame) -> DataFrame:
         F.octet_length("html").cast("bigint").alias("size_bytes"),
         "html",
     )
-
-
-def spread(pages: DataFrame) -> DataFrame:
-    """Spread the pages of a few large splits over all cores before the costly cleaning.
-
-    At scale the input has more splits than cores and passes unchanged, without a shuffle.
-    """
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores, "page_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame
@@ -53,10 +54,12 @@ def start_page_stream(
 ) -> StreamingQuery:
     """Start the stream. Errors of a page are data (`reason`, status), so no page stops it.
 
-    The checkpoint goes below the folder named in `spark.checkpoint.dir`, or below `root`.
+    The checkpoint goes below the folder named in `spark.checkpoint.dir`, or below `root`; it belongs
+    to this name and this output, so another output starts afresh.
     """
     shared = shared_dir(pages.sparkSession)
-    location = checkpoint or os.path.join(shared or root, f"_{name}_checkpoint")
+    output = hashlib.sha256(root.encode()).hexdigest()[:16]
+    location = checkpoint or os.path.join(shared or root, f"_{name}_{output}")
     writer = (
         first_arrivals(pages)
         .writeStream.queryName(name)
