@@ -42,13 +42,13 @@ def compacted(text: Column, size: int = 30) -> Column:
     return prefix(F.replace(alphanumeric_words(text), F.lit(" "), F.lit("")), size)
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+def words(text: Column, min_chars: int = 1) -> Column:
+    """The words of at least that many characters."""
+    return F.regexp_extract_all(text, F.lit(rf"\S{{{min_chars},}}"), F.lit(0))
 
 
 def first_words(text: Column, n: int, min_chars: int = 1) -> Column:
-    kept = F.filter(F.split(text, r"\s+"), lambda w: F.length(w) >= min_chars)
-    return F.array_join(F.slice(kept, 1, n), " ")
+    return F.array_join(F.slice(words(text, min_chars), 1, n), " ")
 
 
 def without(text: Column, part: Column) -> Column:

@@ -23,8 +23,7 @@ def _stripped(value: Column) -> Column:
 def brand_model(brand: Column, name: Column) -> Column:
     """Brand plus the first two longer words of the name without the brand; null if there are none."""
     rest = text.first_words(text.without(name, brand), 2, min_chars=2)
-    known = (brand != "") & (name != "") & (rest != "")
-    return F.when(known, F.concat(brand, F.lit(" "), rest))
+    return F.concat(text.filled(brand), F.lit(" "), text.filled(rest))
 
 
 def item_values(fields: Column, pos: Column, cfg: EngineConfig) -> Column:
@@ -135,15 +134,16 @@ def dominant_values(
     kinds: dict[str, Column],
     limits: dict[str, float],
 ) -> DataFrame:
-    """One row per key: items, the order columns of the first item, and per kind its most frequent
-    value, count, share and verdict.
+    """One row per key: items, the order of the first item, and per kind its most frequent value,
+    count, share and verdict.
 
     `kinds` maps a kind to the column that holds its value for one item row; `order` lists the
     columns that say which item comes first. Values are counted per (key, kind, value) with
     map-side combining, then the best per kind is a mergeable minimum over those counts: no sort of
     a key's items, no window, so a hot key never meets in one task.
     """
-    seen = F.struct(*order)
+    # One order column is compared as it is, which keeps the counting in a hash aggregate.
+    seen = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     unpivoted = items.select(
         *keys,
         seen.alias("_seen"),
