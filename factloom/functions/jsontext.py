@@ -14,24 +14,27 @@ from factloom.schemas import FIELD, ITEMS
 _STRINGS = "array<string>"
 
 
+# Leading word of a variant's schema -> value type; decimals and the like are double.
+_TYPES = {
+    "VOID": "null",
+    "STRING": "string",
+    "BIGINT": "long",
+    "BOOLEAN": "boolean",
+    "ARRAY": "array",
+    "OBJECT": "object",
+}
+
+
 def value_type(value: Column) -> Column:
     """One of string, long, double, boolean, array, object, null."""
-    shape = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull() | (shape == "VOID"), F.lit("null"))
-        .when(shape == "STRING", F.lit("string"))
-        .when(shape == "BIGINT", F.lit("long"))
-        .when(shape == "BOOLEAN", F.lit("boolean"))
-        .when(shape.startswith("ARRAY"), F.lit("array"))
-        .when(shape.startswith("OBJECT"), F.lit("object"))
-        .otherwise(F.lit("double"))
-    )
+    word = F.coalesce(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0), F.lit("VOID"))
+    known = F.create_map(*[F.lit(x) for pair in _TYPES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, word), F.lit("double"))
 
 
 def value_text(value: Column) -> Column:
     """Scalars as text, arrays and objects as JSON text, JSON null as null."""
-    nested = F.schema_of_variant(value).rlike("^(?:ARRAY|OBJECT)")
-    return F.when(nested, F.to_json(value)).otherwise(F.try_variant_get(value, "$", "string"))
+    return F.try_variant_get(value, "$", "string")
 
 
 def pair(name: Column, value: Column) -> Column:

@@ -6,37 +6,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators.fields import completeness
+from factloom.operators.fields import count_fields
 
 ABSENT = "MISSING"
 RUN_A = "a"
 RUN_B = "b"
 TIE = "tie"
-_METRICS = ("items", "total_fields", "populated", "missing", "avg_fields_per_item")
-_USAGE = ("tokens_in", "tokens_out", "time_seconds", "cost")
+METRICS = ("items", "total_fields", "populated", "missing", "avg_fields_per_item")
+USAGE = ("tokens_in", "tokens_out", "time_seconds", "cost")
 
 
-def run_metrics(fields: DataFrame, usage: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key and run: item and field counts next to tokens, time and cost.
+def run_metrics(extracted: DataFrame, usage: dict[str, Column], run: str, keys: list[str]) -> DataFrame:
+    """Per page of one run: item and field counts next to its usage. Counted in the page's row."""
+    counts = count_fields(F.col("items"))
+    return extracted.select(
+        *keys,
+        F.lit(run).alias("run"),
+        counts["n_items"].alias("items"),
+        *[counts[m].alias(m) for m in METRICS[1:]],
+        *[usage[u].alias(u) for u in USAGE],
+    )
+
 
-    A run that found nothing on a page has no fields and still has its usage row: its counts are 0.
+def side_by_side(a: DataFrame, b: DataFrame, keys: list[str], also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per page with the columns of both runs, prefixed a_ and b_.
+
+    A page that one run lacks keeps its row, with zeros for that run.
     """
-    counted = completeness(fields, [*keys, "run"], ["pos"])
-    zero = {m: F.coalesce(F.col(m), F.lit(0)) for m in _METRICS[:-1]}
-    zero["avg_fields_per_item"] = F.coalesce(F.col("avg_fields_per_item"), F.lit(0.0))
-    return usage.join(counted, [*keys, "run"], "left").withColumns(zero)
 
+    def prefixed(df: DataFrame, run: str) -> DataFrame:
+        return df.select(*keys, *[F.col(c).alias(f"{run}_{c}") for c in (*METRICS, *USAGE, *also)])
 
-def side_by_side(metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key with the metrics of both runs, prefixed a_ and b_; one shuffle, no join."""
-    picked = []
-    for run in (RUN_A, RUN_B):
-        for m in (*_METRICS, *_USAGE):
-            default = F.lit(0.0) if m in ("avg_fields_per_item", "time_seconds") else F.lit(0)
-            picked.append(
-                F.coalesce(F.max(F.when(F.col("run") == run, F.col(m))), default).alias(f"{run}_{m}")
-            )
-    return metrics.groupBy(*keys).agg(*picked)
+    joined = prefixed(a, RUN_A).join(prefixed(b, RUN_B), keys, "full_outer")
+    zero = {c: F.lit(0.0) if c in ("avg_fields_per_item", "time_seconds") else F.lit(0) for c in (*METRICS, *USAGE)}
+    return joined.withColumns(
+        {f"{r}_{c}": F.coalesce(F.col(f"{r}_{c}"), z) for r in (RUN_A, RUN_B) for c, z in zero.items()}
+    )
 
 
 def _better(a: Column, b: Column, more: bool, within: float | None = None) -> Column:
@@ -82,7 +87,23 @@ def recommendation(pair: DataFrame, pages: int = 100) -> DataFrame:
     )
 
 
-def field_diff(run_a: DataFrame, run_b: DataFrame, keys: list[str]) -> DataFrame:
+def shown(value_type: Column, value: Column) -> Column:
+    """A value as a report shows it: cut to 50 characters, `None` for null, a mark for absent."""
+    text_of = text.preview(F.coalesce(value, F.lit("None")), 50)
+    return F.when(value_type.isNull(), F.lit(ABSENT)).otherwise(text_of)
+
+
+def same(a_type: Column, a_value: Column, b_type: Column, b_value: Column) -> Column:
+    """Equal type and value; numbers by value. Absent equals nothing."""
+    numeric = ("long", "double")
+    numbers = a_type.isin(*numeric) & b_type.isin(*numeric)
+    equal = F.when(
+        numbers, a_value.try_cast("double").eqNullSafe(b_value.try_cast("double"))
+    ).otherwise((a_type == b_type) & a_value.eqNullSafe(b_value))
+    return F.coalesce(equal, F.lit(False))
+
+
+def field_diff(fields_a: DataFrame, fields_b: DataFrame, keys: list[str]) -> DataFrame:
     """Every field of every item of either run, with both values and whether they match.
 
     The join key reaches down to the field, so the rows of one page or source spread over all tasks.
@@ -90,34 +111,33 @@ def field_diff(run_a: DataFrame, run_b: DataFrame, keys: list[str]) -> DataFrame
 
     def side(df: DataFrame, run: str) -> DataFrame:
         return df.select(
-            *keys,
-            "pos",
-            "field",
-            F.col("value").alias(f"{run}_value"),
-            F.col("value_type").alias(f"{run}_type"),
+            *keys, "pos", "field", F.col("value").alias(f"{run}_value"), F.col("value_type").alias(f"{run}_type")
         )
 
-    joined = side(run_a, RUN_A).join(side(run_b, RUN_B), [*keys, "pos", "field"], "full_outer")
-    numeric = ("long", "double")
-    both_numbers = F.col("a_type").isin(*numeric) & F.col("b_type").isin(*numeric)
-    same = F.when(
-        both_numbers, F.col("a_value").try_cast("double").eqNullSafe(F.col("b_value").try_cast("double"))
-    ).otherwise(
-        (F.col("a_type") == F.col("b_type")) & F.col("a_value").eqNullSafe(F.col("b_value"))
+    joined = side(fields_a, RUN_A).join(side(fields_b, RUN_B), [*keys, "pos", "field"], "full_outer")
+    a, b = ((F.col(f"{r}_type"), F.col(f"{r}_value")) for r in (RUN_A, RUN_B))
+    return joined.select(
+        *keys, "pos", "field", shown(*a).alias("a_shown"), shown(*b).alias("b_shown"), same(*a, *b).alias("match")
     )
 
-    def shown(run: str) -> Column:
-        value = F.coalesce(F.col(f"{run}_value"), F.lit("None"))
-        return F.when(F.col(f"{run}_type").isNull(), F.lit(ABSENT)).otherwise(text.preview(value, 50))
 
-    return joined.select(
-        *keys,
-        "pos",
-        "field",
-        shown(RUN_A).alias("a_shown"),
-        shown(RUN_B).alias("b_shown"),
-        F.coalesce(same, F.lit(False)).alias("match"),
-    )
+def item_diff(a: Column, b: Column) -> Column:
+    """The same for one pair of items in one row, sorted by field; null unless both are there."""
+
+    def names(fields: Column) -> Column:
+        return F.transform(fields, lambda f: f["field"])
+
+    def aligned(name: Column) -> Column:
+        found = [F.get(F.filter(side, lambda f: f["field"] == name), F.lit(0)) for side in (a, b)]
+        left, right = ((f["value_type"], f["value"]) for f in found)
+        return F.struct(
+            name.alias("field"),
+            shown(*left).alias("a_shown"),
+            shown(*right).alias("b_shown"),
+            same(*left, *right).alias("match"),
+        )
+
+    return F.transform(F.array_sort(F.array_union(names(a), names(b))), aligned)
 
 
 def first_item(diff: DataFrame) -> DataFrame:
@@ -128,7 +148,7 @@ def first_item(diff: DataFrame) -> DataFrame:
 def comparison_markdown(compared: DataFrame, a_name: str, b_name: str, original: Column) -> DataFrame:
     """Add `comparison_markdown` to rows that have winners and recommendation.
 
-    Expects `sample`, the ordered field rows of the first item, as an array of structs.
+    Expects `sample`, the diff of the first items (see `item_diff`).
     """
     names = {RUN_A: a_name, RUN_B: b_name}
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from factloom.config import EngineConfig
 from factloom.functions import html as H
-from factloom.functions import jsonld, jsontext, text
+from factloom.functions import jsontext, text
 from factloom.operators.profile import AMOUNT, LIST_ENTRY
+from factloom.operators.structured import read_structured
 from factloom.schemas import ITEMS
 
 ENTRY_END = r"(?i)</(?:li|ul|ol)\s*>"
@@ -51,17 +52,16 @@ def items_of(entries: Column) -> Column:
 def extract_items(profiled: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Add `items` (ordered fields per item) and `shape` (`items` or `item`)."""
     whole = F.col("clean_html")
-    found = profiled.withColumns(
-        {
-            "_ld": F.when(
-                F.size("json_ld") > 0,
-                F.transform(jsonld.items(jsonld.nodes(F.col("json_ld"))), jsonld.item_fields),
+    found = (
+        read_structured(profiled)
+        .withColumn("_linked", items_of(list_entries(whole)))
+        .withColumn(
+            "_headed",
+            F.when(
+                F.size("_linked") == 0,
+                items_of(F.regexp_extract_all(whole, F.lit(HEADED_LINK), F.lit(0))),
             ),
-            "_linked": items_of(list_entries(whole)),
-        }
-    ).withColumn(
-        "_headed",
-        F.when(F.size("_linked") == 0, items_of(F.regexp_extract_all(whole, F.lit(HEADED_LINK), F.lit(0)))),
+        )
     )
     main = F.filter(
         F.array(
@@ -77,7 +77,7 @@ def extract_items(profiled: DataFrame, cfg: EngineConfig = EngineConfig()) -> Da
         F.array().cast(ITEMS)
     )
     items = (
-        F.when(F.size("_ld") > 0, F.col("_ld"))
+        F.when(F.size("structured.items") > 0, F.col("structured.items"))
         .when(single, itself)
         .when(F.size("_linked") > 0, F.col("_linked"))
         .when(F.size("_headed") > 0, F.col("_headed"))
@@ -90,7 +90,7 @@ def extract_items(profiled: DataFrame, cfg: EngineConfig = EngineConfig()) -> Da
             "shape",
             F.when(known, F.when(single & (F.size("items") == 1), F.lit("item")).otherwise(F.lit("items"))),
         )
-        .drop("_ld", "_linked", "_headed")
+        .drop("_linked", "_headed", "structured")
     )
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.config import EngineConfig
 from factloom.functions import html as H
-from factloom.functions import jsonld, jsontext, text
+from factloom.functions import text
+from factloom.operators.structured import read_structured
 
 PRICED = r"[$€£]\s?[0-9]"
 AMOUNT = r"(?:US )?[$€£]\s?[0-9][0-9,]*(?:\.[0-9]+)?"
@@ -56,29 +57,21 @@ def stated_count(item_count: Column) -> Column:
 def profile_pages(cleaned: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Add the `hypothesis` struct. Looks at the address, the title, JSON-LD and the page sample."""
     sample = text.prefix(F.col("clean_html"), cfg.sample_chars)
-    nodes = F.col("_nodes")
-    url = F.coalesce(F.col("url"), H.declared_url(F.col("html")))
-    has_json_ld = F.size("json_ld") > 0
-    features = cleaned.withColumn(
-        "_nodes", F.when(has_json_ld, jsonld.nodes(F.col("json_ld")))
-    ).withColumns(
+    features = read_structured(cleaned).withColumns(
         {
-            "_url": url,
+            "_url": F.coalesce(F.col("url"), H.declared_url(F.col("html"))),
             "title": H.title(F.col("html")),
             "_li": F.regexp_count(sample, F.lit(LIST_ENTRY)),
             "_h1": F.regexp_count(sample, F.lit(HEADING_ENTRY)),
             "_priced": sample.rlike(PRICED),
-            "_ld_items": F.coalesce(jsonld.items(nodes), F.array().cast("array<string>")),
-            "_search": F.coalesce(jsonld.has_type(nodes, "SearchResultsPage"), F.lit(False)),
-            "_list": F.coalesce(jsonld.has_type(nodes, "ItemList"), F.lit(False)),
-            "_crumb": jsonld.breadcrumb(nodes),
+            "_ld_count": F.coalesce(F.size("structured.items"), F.lit(0)),
         }
     )
-    ld_count = F.size("_ld_items")
+    ld_count = F.col("_ld_count")
     seen = F.lower(F.concat_ws(" ", F.col("_url"), F.col("title")))
     page_type = (
-        F.when(F.col("_search"), F.lit("search results"))
-        .when(F.col("_list") | (ld_count > 1), F.lit("category listing"))
+        F.when(F.col("structured.is_search"), F.lit("search results"))
+        .when(F.col("structured.is_list") | (ld_count > 1), F.lit("category listing"))
         .when(ld_count == 1, F.lit("single product"))
         .when(seen.rlike(AUCTION), F.lit("auction"))
         .when(F.lower("_url").rlike(SEARCH_URL), F.lit("search results"))
@@ -87,9 +80,7 @@ def profile_pages(cleaned: DataFrame, cfg: EngineConfig = EngineConfig()) -> Dat
         .otherwise(F.lit("unknown"))
     )
     entries = F.when(ld_count > 0, ld_count).otherwise(F.col("_li"))
-    ld_keys = F.transform(
-        jsonld.item_fields(F.get(F.col("_ld_items"), F.lit(0))), lambda f: f["field"]
-    )
+    ld_keys = F.transform(F.get(F.col("structured.items"), F.lit(0)), lambda f: f["field"])
     rule_fields = F.when(F.col("_priced"), F.array(*map(F.lit, ("title", "link", "price")))).otherwise(
         F.array(*map(F.lit, ("title", "link")))
     )
@@ -97,7 +88,7 @@ def profile_pages(cleaned: DataFrame, cfg: EngineConfig = EngineConfig()) -> Dat
         page_type.alias("page_type"),
         F.coalesce(H.host(F.col("_url")), F.lit("Unknown")).alias("source"),
         F.coalesce(
-            F.col("_crumb"), text.filled(F.regexp_extract("_url", FIRST_SEGMENT, 1)), F.lit("")
+            F.col("structured.breadcrumb"), text.filled(F.regexp_extract("_url", FIRST_SEGMENT, 1)), F.lit("")
         ).alias("category"),
         F.when(entries >= 2, F.format_string("multiple (estimate %d)", entries))
         .otherwise(F.lit("single"))
@@ -113,5 +104,5 @@ def profile_pages(cleaned: DataFrame, cfg: EngineConfig = EngineConfig()) -> Dat
     )
     known = F.col("reason").isNull()
     return features.withColumn("hypothesis", F.when(known, hypothesis)).drop(
-        "_nodes", "_url", "_li", "_h1", "_priced", "_ld_items", "_search", "_list", "_crumb"
+        "_url", "_li", "_h1", "_priced", "_ld_count"
     )

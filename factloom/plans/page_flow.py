@@ -21,6 +21,7 @@ from factloom.operators.naming import name_reports
 from factloom.operators.profile import profile_pages
 from factloom.operators.render import render_items
 from factloom.operators.report import make_reports
+from factloom.operators.structured import read_structured
 from factloom.operators.validate import validate_pages
 
 Stage = Callable[[DataFrame, EngineConfig], DataFrame]
@@ -42,9 +43,9 @@ class PageFlow:
 
     def extracted(self, pages: DataFrame) -> DataFrame:
         """Pages with hypothesis, items and shape, each computed once however often it is read."""
-        profiled = self.profile(self.clean(pages), self.cfg)
+        profiled = self.profile(read_structured(self.clean(pages)), self.cfg)
         found = self.extract(computed_once(profiled, {"hypothesis": F.col("hypothesis")}), self.cfg)
-        return computed_once(found, {"items": F.col("items"), "shape": F.col("shape")})
+        return computed_once(found.drop("structured"), {"items": F.col("items"), "shape": F.col("shape")})
 
     def validated(self, pages: DataFrame) -> DataFrame:
         done = self.validate(self.render(self.extracted(pages), self.cfg), self.cfg)

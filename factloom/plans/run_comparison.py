@@ -26,56 +26,53 @@ class RunComparison:
     models: tuple[str, str]
     prices: DataFrame
 
+    def run(self, run: str) -> DataFrame:
+        """Metrics of one run, with the first item of each page."""
+        rows, model = (self.a, self.models[0]) if run == C.RUN_A else (self.b, self.models[1])
+        priced = price_usage(run_usage(rows, model), self.prices)
+        usage = {
+            "tokens_in": F.col("in_tok"),
+            "tokens_out": F.col("out_tok"),
+            "time_seconds": F.col("seconds"),
+            "cost": F.col("cost_usd"),
+        }
+        first = F.get(F.col("items"), F.lit(0))
+        kept = priced.withColumn("_first", first)
+        return C.run_metrics(kept, usage, run, [self.key, "_first"])
+
     def metrics(self) -> DataFrame:
         """Per page and run: item and field counts, tokens, time and cost."""
-        runs = ((self.a, C.RUN_A, self.models[0]), (self.b, C.RUN_B, self.models[1]))
-        fields = [long_fields(rows, self.key).withColumn("run", F.lit(run)) for rows, run, _ in runs]
-        usage = [run_usage(rows, self.key, run, model, self.prices) for rows, run, model in runs]
-        return C.run_metrics(
-            fields[0].unionByName(fields[1]), usage[0].unionByName(usage[1]), [self.key]
-        )
+        return self.run(C.RUN_A).unionByName(self.run(C.RUN_B)).drop("_first")
 
     def verdicts(self) -> DataFrame:
         """Per page: both runs side by side, the winner per metric, and what to use."""
-        return C.recommendation(C.winners(C.side_by_side(self.metrics(), [self.key])))
+        pair = C.side_by_side(self.run(C.RUN_A), self.run(C.RUN_B), [self.key], ("_first",))
+        return C.recommendation(C.winners(pair))
 
     def diff(self) -> DataFrame:
         """Every field of every item of either run."""
         return C.field_diff(long_fields(self.a, self.key), long_fields(self.b, self.key), [self.key])
 
     def reports(self, originals: DataFrame) -> DataFrame:
-        """Markdown report per page. Only the first item of a page is gathered, sorted by field."""
-        sample = (
-            C.first_item(self.diff())
-            .groupBy(self.key)
-            .agg(F.array_sort(F.collect_list(F.struct("field", "a_shown", "b_shown", "match"))).alias("sample"))
-        )
-        joined = self.verdicts().join(sample, self.key, "left").join(originals, self.key, "left")
+        """Markdown report per page, showing the diff of its first items."""
+        sample = C.item_diff(F.col("a__first"), F.col("b__first"))
+        joined = self.verdicts().withColumn("sample", sample).join(originals, self.key, "left")
         return C.comparison_markdown(joined, *self.models, F.col("original_file"))
 
 
-def run_usage(
-    pages: DataFrame, key: str, run: str, model: str, prices: DataFrame, chars_per_token: int = 4
-) -> DataFrame:
-    """Usage of one run, estimated from the characters read (`clean_html`) and written (`items`).
+def run_usage(rows: DataFrame, model: str, chars_per_token: int = 4) -> DataFrame:
+    """Add model, in_tok, out_tok and seconds of a run to its page rows.
 
-    Wall-clock seconds come from the caller's `time_seconds` column where there is one.
+    Tokens are estimated from the characters read (`clean_html`) and written (`items`); wall-clock
+    seconds come from the caller's `time_seconds` column where there is one.
     """
     written = jsontext.items_json(F.col("items"), F.col("shape"))
-    seconds = F.col("time_seconds") if "time_seconds" in pages.columns else F.lit(0.0)
-    usage = pages.select(
-        key,
-        F.lit(run).alias("run"),
-        F.lit(model).alias("model"),
-        text.tokens(F.col("clean_html"), chars_per_token).alias("in_tok"),
-        text.tokens(written, chars_per_token).alias("out_tok"),
-        seconds.cast("double").alias("time_seconds"),
-    )
-    return price_usage(usage, prices).select(
-        key,
-        "run",
-        F.col("in_tok").alias("tokens_in"),
-        F.col("out_tok").alias("tokens_out"),
-        "time_seconds",
-        F.col("cost_usd").alias("cost"),
+    seconds = F.col("time_seconds") if "time_seconds" in rows.columns else F.lit(0.0)
+    return rows.withColumns(
+        {
+            "model": F.lit(model),
+            "in_tok": text.tokens(F.col("clean_html"), chars_per_token),
+            "out_tok": text.tokens(written, chars_per_token),
+            "seconds": seconds.cast("double"),
+        }
     )

@@ -203,7 +203,7 @@ def field_name_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     "comparison_summaries",
     f"""WITH {_DIFF_SQL},
     shown AS (SELECT page_id, count(*) AS n FROM diff WHERE pos = 0 GROUP BY page_id)
-    SELECT page_id, coalesce(n, 0) AS sample_rows,
+    SELECT page_id, CASE WHEN a_items > 0 AND b_items > 0 THEN coalesce(n, 0) ELSE 0 END AS sample_rows,
       CASE WHEN a_items = b_items THEN 'Tie' WHEN b_items > a_items THEN '{MODEL_B}' ELSE '{MODEL_A}' END AS items_line,
       a_items || ' | ' || b_items AS items_counts
     FROM pair LEFT JOIN shown USING (page_id)""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from factloom.operators import compare as C
@@ -56,7 +58,27 @@ def test_empty_runs_and_no_cost(spark):
     reports = result.reports(originals).collect()
     texts = {r.page_id: r.comparison_markdown for r in reports}
     assert "**Test File:** zero.html" in texts[0] and "n/a" in texts[0]
-    assert "| a | MISSING | 1 | ❌ |" in texts[1]
+    assert "MISSING" not in texts[1]  # no sample unless both runs found an item
+
+
+def test_item_diff_equals_the_table_diff(spark):
+    rng = random.Random(3)
+
+    def item():
+        kinds = [("string", "x"), ("string", "y"), ("long", "1"), ("double", "1.0"), ("null", None), ("string", None)]
+        fields = []
+        for name in rng.sample("abcdef", rng.randint(0, 5)):
+            t, v = rng.choice(kinds)
+            fields.append((name, v, t))
+        return fields
+
+    pairs = [([item()], [item()]) for _ in range(60)]
+    result = compared(spark, [p[0] for p in pairs], [p[1] for p in pairs])
+    table = sorted(tuple(r) for r in C.first_item(result.diff()).drop("pos").collect())
+    in_row = result.verdicts().select(
+        "page_id", F.explode(C.item_diff(F.col("a__first"), F.col("b__first"))).alias("d")
+    )
+    assert sorted(tuple(r) for r in in_row.select("page_id", "d.*").collect()) == table
 
 
 def test_ties_within_limits(spark):
