@@ -10,33 +10,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ATTRS = r"(?:[\s/][^>]*)?"
+# Attributes and the end of a tag. A tag or an element that is never closed runs to the end of the
+# text; a page full of open tags is then read once and not once per tag.
+ATTRS = r"(?:[\s/][^>]*)?"
+TAG_END = rf"{ATTRS}(?:>|\z)"
+
+
+def element(name: str) -> str:
+    """Pattern of an element with its content, without the leading `<`."""
+    return rf"{name}{TAG_END}.*?(?:</{name}\s*>|\z)"
+
 
 # Alternatives are tried at the leftmost position, so a tag inside a comment stays part of the
 # comment and a comment mark inside a script stays part of the script. The shared `<` up front lets
 # the matcher leave all other characters after one comparison.
 NOISE = (
     r"(?is)<(?:!--.*?(?:-->|\z)"
-    rf"|script{_ATTRS}>.*?(?:</script\s*>|\z)"
-    rf"|style{_ATTRS}>.*?(?:</style\s*>|\z)"
+    rf"|{element('script')}|{element('style')}"
     r"|(?:svg|noscript|iframe)(?:\s[^>]*)?/>"
-    rf"|svg{_ATTRS}>.*?(?:</svg\s*>|\z)"
-    rf"|noscript{_ATTRS}>.*?(?:</noscript\s*>|\z)"
-    rf"|iframe{_ATTRS}>.*?(?:</iframe\s*>|\z)"
-    rf"|/?(?:path|meta|link){_ATTRS}>)"
+    rf"|{element('svg')}|{element('noscript')}|{element('iframe')}"
+    rf"|/?(?:path|meta|link){TAG_END})"
 )
-NOISE_OPENING = rf"(?i)<(?:script|style|svg|path|noscript|iframe|meta|link){_ATTRS}>"
+NOISE_OPENING = rf"(?i)<(?:script|style|svg|path|noscript|iframe|meta|link){TAG_END}"
 INLINE_IMAGE = (
-    r"""(<[iI][mM][gG](?:[\s/][^>]*?)?\s[sS][rR][cC]\s*=\s*)"""
+    r"""(<[iI][mM][gG](?:[\s/][^<>]*?)?\s[sS][rR][cC]\s*=\s*)"""
     r"""(?:"data:image[^"]*"|'data:image[^']*'|data:image[^\s>]*)"""
 )
 INLINE_IMAGE_MARK = "[BASE64_REMOVED]"
-BODY_START = r"(?is)<body(?:\s[^>]*)?>.*"
+BODY_START = rf"(?is)<body{TAG_END}.*"
 BODY_END = r"(?i)</body\s*>"
-TITLE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"
-HEADING_1 = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1\s*>"
+TITLE = rf"(?i)<title{TAG_END}([^<]*)"
+HEADING_1 = rf"(?is)<h1{TAG_END}(.*?)(?:</h1\s*>|\z)"
 HOST = r"^https?://(?:www\.|m\.|blog\.)?([^/?#]+)"
-TAG = r"<[^>]*>"
+TAG = r"<[^<>]*>"
 
 
 def noise_blocks(html: Column) -> Column:
@@ -106,6 +112,6 @@ def attribute(tag: Column, name: str) -> Column:
 
 def declared_url(html: Column) -> Column:
     """The address a page states about itself: canonical link, else the Open Graph address."""
-    canonical = F.regexp_extract(html, r"""(?is)<link\s[^>]*rel\s*=\s*["']?canonical[^>]*>""", 0)
-    graph = F.regexp_extract(html, r"""(?is)<meta\s[^>]*property\s*=\s*["']?og:url[^>]*>""", 0)
+    canonical = F.regexp_extract(html, r"""(?is)<link\s[^<>]*rel\s*=\s*["']?canonical[^<>]*>""", 0)
+    graph = F.regexp_extract(html, r"""(?is)<meta\s[^<>]*property\s*=\s*["']?og:url[^<>]*>""", 0)
     return F.coalesce(attribute(canonical, "href"), attribute(graph, "content"))

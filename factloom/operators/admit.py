@@ -32,7 +32,8 @@ def admit(pages: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
 def unprocessed(pages: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     """Pages whose key is not in the manifest of pages already taken up.
 
-    Only the key column of the manifest is read. Spark broadcasts it while it is below
-    `spark.sql.autoBroadcastJoinThreshold` and otherwise joins by sorted, skew-split partitions.
+    Only the key column of the manifest is read, and repeated keys are merged before they meet. Spark
+    broadcasts it while it is below `spark.sql.autoBroadcastJoinThreshold`; beyond that the join uses
+    the partitioning that the merging made.
     """
-    return pages.join(manifest.select(key), key, "left_anti")
+    return pages.join(manifest.select(key).distinct(), key, "left_anti")

@@ -13,9 +13,9 @@ from factloom.operators.structured import read_structured
 from factloom.schemas import ITEMS
 
 ENTRY_END = r"(?i)</(?:li|ul|ol)\s*>"
-ANCHOR = r"(?is)<a\s[^>]*>.*?</a\s*>"
-ANCHOR_TAG = r"(?is)^<a\s[^>]*>"
-HEADED_LINK = r"(?is)<h[2-4](?:\s[^>]*)?>.*?</h[2-4]\s*>"
+ANCHOR = r"(?is)<a\s[^>]*(?:>|\z).*?(?:</a\s*>|\z)"
+ANCHOR_TAG = r"(?is)^<a\s[^>]*"
+HEADED_LINK = rf"(?is)<h[2-4]{H.TAG_END}.*?(?:</h[2-4]\s*>|\z)"
 
 
 def link_fields(entry: Column) -> Column:

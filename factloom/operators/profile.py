@@ -12,8 +12,8 @@ from factloom.operators.structured import read_structured
 
 PRICED = r"[$€£]\s?[0-9]"
 AMOUNT = r"(?:US )?[$€£]\s?[0-9][0-9,]*(?:\.[0-9]+)?"
-LIST_ENTRY = r"(?i)<li(?:\s[^>]*)?>"
-HEADING_ENTRY = r"(?i)<h1(?:\s[^>]*)?>"
+LIST_ENTRY = rf"(?i)<li{H.TAG_END}"
+HEADING_ENTRY = rf"(?i)<h1{H.TAG_END}"
 AUCTION = r"auction|\bbids?\b"
 SEARCH_URL = r"[?&](?:q|s|query|search)="
 PAGED_URL = r"[?&]page=[0-9]"

@@ -1,4 +1,8 @@
-"""Statistics of items, from the data: prices, dates, conditions, places."""
+"""Statistics of items, from the data: prices, dates, conditions, places.
+
+All of them merge: statistics by a fine key (a seller, a page) roll up to a coarse one (a place, a
+source), so a large table is reduced by its own keys before it is joined to anything.
+"""
 
 from __future__ import annotations
 
@@ -8,47 +12,66 @@ from pyspark.sql import functions as F
 from factloom.functions import text
 
 AMOUNT = "decimal(18,4)"
+_DATES = ("first_date", "last_date")
 
 
 def price_statistics(
     items: DataFrame, keys: list[str], price_text: Column, date: Column | None = None
 ) -> DataFrame:
-    """Items, priced items, price range and mean, and the date range, by key."""
-    amount = text.price(price_text).cast(AMOUNT)
+    """Items, priced items, price sum and range, and the date range, by key."""
     dates = [] if date is None else [F.min(date).alias("first_date"), F.max(date).alias("last_date")]
     return (
-        items.withColumn("_price", amount)
+        items.withColumn("_price", text.price(price_text).cast(AMOUNT))
         .groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("items"),
             F.count("_price").alias("priced"),
-            F.min("_price").cast("double").alias("price_min"),
-            F.max("_price").cast("double").alias("price_max"),
-            (F.sum("_price").cast("double") / F.count("_price")).alias("price_mean"),
+            F.sum("_price").alias("price_sum"),
+            F.min("_price").alias("price_min"),
+            F.max("_price").alias("price_max"),
             *dates,
         )
     )
 
 
-def breakdown(items: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Count and share of each value within its key. Totals come from the counts, not the items."""
-    counted = items.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("items"))
-    totals = counted.groupBy(*keys).agg(F.sum("items").alias("_all"))
+def merged_price_statistics(statistics: DataFrame, keys: list[str]) -> DataFrame:
+    """Roll price statistics up to other keys, and add the mean."""
+    dates = [c for c in _DATES if c in statistics.columns]
+    merged = statistics.groupBy(*keys).agg(
+        F.sum("items").alias("items"),
+        F.sum("priced").alias("priced"),
+        F.sum("price_sum").alias("price_sum"),
+        F.min("price_min").cast("double").alias("price_min"),
+        F.max("price_max").cast("double").alias("price_max"),
+        *[(F.min(c) if c == "first_date" else F.max(c)).alias(c) for c in dates],
+    )
+    mean = text.ratio(F.col("price_sum").cast("double"), F.col("priced"))
+    return merged.withColumn("price_mean", mean).drop("price_sum")
+
+
+def counts(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Number of items by key, as `n`."""
+    return items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def breakdown(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Items and share of each value within its key, from counts `n`."""
+    by_value = counted.groupBy(*keys, value).agg(F.sum("n").alias("items"))
+    totals = by_value.groupBy(*keys).agg(F.sum("items").alias("_all"))
     return (
-        counted.join(totals, keys)
+        by_value.join(totals, keys)
         .withColumn("share", text.ratio(F.col("items"), F.col("_all")))
         .drop("_all")
     )
 
 
-def concentration(items: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The most frequent value of each key with its share; the smaller value wins a tie."""
-    counted = (
-        items.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
+def concentration(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The most frequent value of each key with its share, from counts `n`; the smaller value wins a
+    tie."""
+    by_value = (
+        counted.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum("n").alias("_n"))
     )
-    best = counted.groupBy(*keys).agg(
+    best = by_value.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("values"),
         F.sum("_n").alias("items"),
         F.min(F.struct((-F.col("_n")).alias("neg"), F.col(value).alias("value"))).alias("_best"),

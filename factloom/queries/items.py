@@ -11,7 +11,13 @@ from factloom.operators.admit import unprocessed
 from factloom.operators.fields import completeness, field_coverage, gaps
 from factloom.operators.naming import base_name, product_part, source_part
 from factloom.operators.profile import page_class
-from factloom.operators.stats import breakdown, concentration, price_statistics
+from factloom.operators.stats import (
+    breakdown,
+    concentration,
+    counts,
+    merged_price_statistics,
+    price_statistics,
+)
 from factloom.queries import page_sql as S
 from factloom.queries.registry import query, table
 from factloom.session import spread
@@ -320,10 +326,10 @@ def supplier_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def price_statistics_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price and date range of listed items, from price texts such as `US $1234.5`."""
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_extendedprice", "l_shipdate")
-    items = lines.join(supplier_nations(spark, sf_dir), "l_suppkey")
     price_text = F.concat(F.lit("US $"), F.col("l_extendedprice").cast("string"))
-    result = price_statistics(items, ["place"], price_text, F.col("l_shipdate"))
+    lines = table(spark, sf_dir, "lineitem")
+    by_seller = price_statistics(lines, ["l_suppkey"], price_text, F.col("l_shipdate"))
+    result = merged_price_statistics(by_seller.join(supplier_nations(spark, sf_dir), "l_suppkey"), ["place"])
     return result.withColumns(
         {c: F.date_format(c, "yyyy-MM-dd") for c in ("first_date", "last_date")}
     )
@@ -338,7 +344,8 @@ def price_statistics_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def condition_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_returnflag").alias("condition"))
-    return breakdown(lines.join(supplier_nations(spark, sf_dir), "l_suppkey"), ["place"], "condition")
+    by_seller = counts(lines, ["l_suppkey", "condition"])
+    return breakdown(by_seller.join(supplier_nations(spark, sf_dir), "l_suppkey"), ["place"], "condition")
 
 
 @query(
@@ -358,6 +365,6 @@ def place_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     brands = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand")
     )
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
-    items = lines.join(supplier_nations(spark, sf_dir), "l_suppkey").join(brands, "l_partkey")
-    return concentration(items, ["brand"], "place")
+    by_offer = counts(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"])
+    placed = by_offer.join(supplier_nations(spark, sf_dir), "l_suppkey").join(brands, "l_partkey")
+    return concentration(placed, ["brand"], "place")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,17 @@ def test_declared_url(spark):
     }
     rows = spark.createDataFrame([(k,) for k in cases], "h string").select("h", H.declared_url(F.col("h")))
     assert {r[0]: r[1] for r in rows.collect()} == cases
+
+
+@pytest.mark.parametrize(
+    "tag", ["<a href=x>", "<a ", "<li ", "<h2>", "<h1>", "<link ", "<img ", "<svg>", "<script>", "<!-- ", "< ", "<body "]
+)
+def test_pages_full_of_open_tags_are_read_once(spark, tag):
+    """Would take minutes if each open tag were searched to the end of the page."""
+    from factloom.plans.page_flow import PageFlow
+
+    page = spark.createDataFrame([(1, "http://x.y/z", "<body><ul><li>" + tag * 40_000)], PAGE)
+    page = page.withColumn("original_file", F.lit("x"))
+    start = time.monotonic()
+    row = PageFlow().validated(page).select("status").first()
+    assert row.status == "extraction_failed" and time.monotonic() - start < 60
