@@ -382,7 +382,7 @@ _USAGE_SQL = f"""WITH {S.VALIDATED},
       UNION ALL SELECT page_id, 'Formatting', 'gpt-4o-mini', length(extracted_data) // 4,
         length(formatted_markdown) // 4, 0.15, 0.60 FROM texts)
     SELECT task, model, count(*) AS calls, sum(in_tok)::BIGINT AS in_tok, sum(out_tok)::BIGINT AS out_tok,
-      round(sum((in_tok * pin + out_tok * pout) / 1000000.0::DOUBLE), 6) AS cost_usd
+      round(sum(in_tok * pin + out_tok * pout)::DOUBLE / 1000000, 9) AS cost_usd
     FROM usage GROUP BY ALL"""
 
 
@@ -391,7 +391,7 @@ def page_stage_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spend of the stages that read whole pages or items, at the prices of the named models."""
     usage = stage_usage(reports_of(spark, sf_dir, PRICED_FLOW), PRICED_FLOW)
     priced = price_usage(usage.where(F.col("task") != TASK_VALIDATE), price_list(spark))
-    return spend_by(priced, "task", "model").withColumn("cost_usd", F.round(F.col("cost_usd").cast("double"), 6))
+    return spend_by(priced, "task", "model").withColumn("cost_usd", F.round(F.col("cost_usd").cast("double"), 9))
 
 
 # ---- pages derived from other tables ------------------------------------------------------------

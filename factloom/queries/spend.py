@@ -32,7 +32,8 @@ usage AS (
 priced AS (
   SELECT u.*, (u.in_tok * coalesce(p.price_in, 0) + u.out_tok * coalesce(p.price_out, 0))::DECIMAL(28, 6) AS micro
   FROM usage u LEFT JOIN prices p USING (model))"""
-_COST = "round(sum(micro)::DOUBLE / 1000000, 6) AS cost_usd"
+# A cost has at most nine decimals, so a whole number of thousandths of a micro-dollar is exact.
+_COST = "sum(micro * 1000)::BIGINT / 1000000000.0::DOUBLE AS cost_usd"
 _SUMS = f"count(*) AS calls, sum(in_tok)::BIGINT AS in_tok, sum(out_tok)::BIGINT AS out_tok, {_COST}"
 
 
@@ -55,7 +56,7 @@ def priced_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_number(spend: DataFrame) -> DataFrame:
-    return spend.withColumn("cost_usd", F.round(F.col("cost_usd").cast("double"), 6))
+    return spend.withColumn("cost_usd", F.col("cost_usd").cast("double"))
 
 
 @query(
@@ -111,16 +112,11 @@ def windowed_spend_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_USAGE_SQL},
     per_page AS (SELECT task, user_id, sum(micro) AS micro FROM priced GROUP BY ALL)
     SELECT task, count(*) AS pages_seen, {_COST},
-      round(sum(micro)::DOUBLE / 1000000 / count(*), 9) AS avg_cost_usd,
-      round(sum(micro)::DOUBLE / 1000000 / count(*) * 100, 6) AS projected_cost_usd
+      sum(micro * 1000)::BIGINT / 1000000000.0::DOUBLE / count(*) AS avg_cost_usd,
+      sum(micro * 1000)::BIGINT / 1000000000.0::DOUBLE / count(*) * 100 AS projected_cost_usd
     FROM per_page GROUP BY task""",
 )
 def spend_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each task as a site, each user as one of its pages, scaled to 100 pages."""
     projected = project_spend(priced_usage(spark, sf_dir), "task", "user_id", 100)
-    return as_number(projected).withColumns(
-        {
-            "avg_cost_usd": F.round("avg_cost_usd", 9),
-            "projected_cost_usd": F.round("projected_cost_usd", 6),
-        }
-    )
+    return as_number(projected)
