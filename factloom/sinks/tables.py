@@ -41,7 +41,7 @@ def write_reports(finished: DataFrame, root: str, batch_id: int | str) -> None:
 
 
 def write_debug(finished: DataFrame, root: str, batch_id: int | str) -> None:
-    """Debug records as JSON lines, whatever the status."""
+    """Debug records, whatever the status; the name never carries it."""
     (
         finished.where(F.col("reason").isNull())
         .select("debug_name", F.col("debug_json").alias("record"))

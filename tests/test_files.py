@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factloom.config import EngineConfig, TASK_EXTRACT
 from factloom.operators.ledger import ledger_rows, price_usage, stage_usage
 from factloom.plans.page_flow import PageFlow
+from factloom.plans.run_comparison import RunComparison
 from factloom.sinks import tables
 from factloom.sources.ledger import read_ledger
 from factloom.sources.pages import read_page_files, stream_page_files
@@ -183,6 +184,28 @@ def test_ledger_round_trip_and_unknown_model(spark, tmp_path):
     assert header.read_text().splitlines()[0] == "Timestamp,Task,Model,Input_Tokens,Output_Tokens,Cost_USD"
 
 
+def test_report_lines_keep_nulls_and_letters(spark, queue, tmp_path):
+    done = PageFlow().reports(read_page_files(spark, queue), at())
+    tables.write_report_lines(done, str(tmp_path / "lines"))
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "lines")).collect()]
+    assert len(lines) == 5
+    product = next(r for r in lines if r["meta"]["original_file"] == "product.HTM")
+    assert product["extracted_data"]["item"]["color"] is None and product["validation"]["problem"] is None
+    assert list(product) == ["meta", "hypothesis", "extracted_data", "validation", "insights", "statistics"]
+
+
+def test_comparison_is_written_and_read_back(spark, queue, tmp_path):
+    pages = read_page_files(spark, queue)
+    found = PageFlow().extracted(pages).where("reason is null")
+    comparison = RunComparison(found, found, "page_id", ("A", "B"), price_list(spark))
+    reports = comparison.reports(pages.select("page_id", "original_file"))
+    kept = found.select("page_id", "items", "shape")
+    tables.write_comparison(kept, kept, reports.select("page_id", "comparison_markdown"), str(tmp_path))
+    back = spark.read.parquet(str(tmp_path / "comparison")).collect()
+    assert len(back) == 5 and all("| ❌ |" not in r.comparison_markdown for r in back)
+    assert spark.read.parquet(str(tmp_path / "extraction_a")).count() == 5
+
+
 def test_price_list_file(spark, tmp_path):
     path = tmp_path / "prices.csv"
     path.write_text("model,input,output\nm1,2.5,10\nm2,bad,1\n")
