@@ -123,28 +123,7 @@ def failure_markdown(
     return F.concat_ws("\n\n", *parts)
 
 
-def report_envelope(df: DataFrame) -> Column:
-    """The report as a struct. Members of the other outcome are null, as is what has no value."""
-    hypothesis, status = F.col("hypothesis"), F.col("status")
-    good = status == SUCCESS
-    return F.struct(
-        F.struct(
-            text.minute_stamp(F.col("processed_at")).alias("timestamp"),
-            F.col("original_file"),
-            status.alias("status"),
-            *[or_default(hypothesis[f], "Unknown").alias(f) for f in ("page_type", "source", "category")],
-        ).alias("meta"),
-        hypothesis.alias("hypothesis"),
-        F.try_parse_json(F.col("extracted_data")).alias("extracted_data"),
-        F.col("validation"),
-        F.col("insights"),
-        F.col("statistics"),
-        F.when(~good, or_default(F.col("user_message"), "Extraction failed")).alias("issue"),
-        F.when(~good, F.struct(F.col("partial_summary").alias("summary"))).alias("partial_insights"),
-    )
-
-
-def report_json(df: DataFrame) -> Column:
+def report_json() -> Column:
     """The report as JSON text: nulls and non-ASCII kept, key order of the items kept, and only the
     members of its outcome."""
     hypothesis, status = F.col("hypothesis"), F.col("status")
@@ -172,12 +151,9 @@ def report_json(df: DataFrame) -> Column:
         member("insights", F.to_json(F.col("insights"), keep)),
         member("statistics", F.to_json(F.col("statistics"), keep)),
     ]
+    issue = F.to_json(F.array(or_default(F.col("user_message"), "Extraction failed")))
     other = [
-        member("issue", F.substring(
-            F.to_json(F.array(or_default(F.col("user_message"), "Extraction failed"))),
-            F.lit(2),
-            F.length(F.to_json(F.array(or_default(F.col("user_message"), "Extraction failed")))) - 2,
-        )),
+        member("issue", F.substring(issue, F.lit(2), F.length(issue) - 2)),
         member("partial_insights", F.to_json(F.struct(F.col("partial_summary").alias("summary")), keep)),
     ]
     return F.concat(
@@ -189,7 +165,7 @@ def report_json(df: DataFrame) -> Column:
     )
 
 
-def debug_json(df: DataFrame) -> Column:
+def debug_json() -> Column:
     """The debug record: profile, extraction, length of the rendering, validation; always whole."""
     keep = {"ignoreNullFields": "false"}
     validation = F.struct(
@@ -230,8 +206,8 @@ def make_reports(validated: DataFrame, cfg: EngineConfig = EngineConfig()) -> Da
     return base.withColumns(
         {
             "report_markdown": F.when(F.col("status") == SUCCESS, good).otherwise(bad),
-            "report_json": report_json(base),
-            "debug_json": debug_json(base),
+            "report_json": report_json(),
+            "debug_json": debug_json(),
         }
     )
 

@@ -5,8 +5,6 @@ FIELD = "struct<field:string,value:string,value_type:string>"
 # One inner array per item; it is null where a listed element was not an object.
 ITEMS = f"array<array<{FIELD}>>"
 
-PAGE_TABLE = "page_id bigint, url string, html string"
-
 PAGE_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 HYPOTHESIS = (
@@ -14,11 +12,6 @@ HYPOTHESIS = (
     "expected_fields:array<string>,confidence:string,notes:string>"
 )
 
-VALIDATION = (
-    "struct<hypothesis_match:boolean,expected_items:string,actual_items:bigint,data_quality:string,"
-    "completeness:string,problem:string,notes:string>"
-)
-
 META = (
     "struct<timestamp:string,original_file:string,status:string,page_type:string,"
     "source:string,category:string>"

@@ -11,6 +11,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.ui.enabled": "false",
+    # Call sites noted for every column take as long as building the plan itself.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # The checksumming local file system refuses names with a colon; saved pages often have one.
     "spark.hadoop.fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
 }

@@ -30,10 +30,11 @@ def write_finished(reports: DataFrame, root: str, batch_id: int | str) -> str:
 
 
 def write_reports(finished: DataFrame, root: str, batch_id: int | str) -> None:
-    """Reports by status: name, Markdown and JSON text."""
+    """Reports by status: name, Markdown, JSON text, and the extracted data as a variant."""
+    data = F.try_parse_json(F.col("extracted_data")).alias("extracted_data")
     (
         finished.where(F.col("reason").isNull())
-        .select("page_id", "report_name", "report_markdown", "report_json", "status")
+        .select("page_id", "report_name", "report_markdown", "report_json", data, "status")
         .write.mode("overwrite")
         .partitionBy("status")
         .parquet(batch_folder(root, REPORTS, batch_id))

@@ -122,6 +122,8 @@ def test_stream_writes_what_the_batch_computes(spark, queue, tmp_path):
     assert ledger.count() == 4 * 5 and ledger.where("cost_usd <> 0").count() == 0
     reports = spark.read.parquet(os.path.join(root, tables.REPORTS))
     assert reports.count() == 5
+    titles = reports.selectExpr("variant_get(extracted_data, '$.items[0].title', 'string') t").where("t is not null")
+    assert {r.t for r in titles.collect()} == {"Lamp 1"}
     assert spark.read.parquet(os.path.join(root, tables.DEBUG)).count() == 5
     back = read_report_table(spark, os.path.join(root, tables.REPORTS))
     assert back.where("meta.status = 'success'").count() == 3
