@@ -6,7 +6,8 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from factloom.queries import ORACLES, QUERIES
 from tests.oracle import connect, differences
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -19,12 +20,12 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(name, spark, connection):
-    assert differences(queries()[name](spark, SF_DIR), oracle_sql()[name], connection) == []
+    assert differences(QUERIES[name](spark, SF_DIR), ORACLES[name], connection) == []
 
 
 def test_entry(spark):
