@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, exact
+from factloom.llm import chat, exact, simhash
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -98,3 +98,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
+
+
+@query("op5_simhash_near_dedup")
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(table(spark, sf_dir, "documents"))
+    shown = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+    return found.select("doc_id", shown.alias("fingerprint"), "component_id")
