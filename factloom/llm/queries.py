@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, exact, simhash
+from factloom.llm import chat, exact, simhash, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -105,3 +105,46 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(table(spark, sf_dir, "documents"))
     shown = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
     return found.select("doc_id", shown.alias("fingerprint"), "component_id")
+
+
+@query(
+    "op9_warc",
+    """
+    WITH base32 AS (
+      SELECT page_id, coalesce(html, '') AS html,
+        ('0x' || sha1(coalesce(html, '')))  AS hex FROM pages
+    ),
+    first AS (SELECT html, max(page_id) AS first FROM base32 GROUP BY html)
+    SELECT page_id, strlen(html) AS payload_bytes,
+      list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        (('0x' || substr(hex, 3 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) % 32 + 1, 1)
+        FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+      CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM base32 JOIN first USING (html)
+    """,
+)
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive(warc.page_records(table(spark, sf_dir, "pages")))
+    number = lambda c: F.substring_index(c, ":", -1).try_cast("long")
+    responses = warc.read_archive(spark, path).where("record_type = 'response'")
+    # Of responses, size and digest are those of the payload read back; the digest is compared with the header's.
+    read = responses.select(
+        number(F.col("record_id")).alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.when(F.sha1("payload") == warc.hex_of(F.col("payload_digest")), F.col("payload_digest")).alias(
+            "payload_digest"
+        ),
+        "record_type",
+        F.lit(None).cast("long").alias("refers_to"),
+    )
+    revisits = warc.read_archive(spark, path, payload="false").where("record_type = 'revisit'")
+    return read.unionByName(
+        revisits.select(
+            number(F.col("record_id")).alias("page_id"),
+            "payload_bytes",
+            "payload_digest",
+            "record_type",
+            number(F.col("refers_to")).alias("refers_to"),
+        )
+    )
