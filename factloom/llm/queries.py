@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, exact, simhash, toxicity, warc
+from factloom.llm import chat, exact, mixing, pieces, simhash, toxicity, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -160,3 +160,44 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def text_form(text: Column) -> Column:
+    """A rule-based topic for tables without one: what form a text has."""
+    return (
+        F.when(F.contains(text, F.lit(" | ")), "table")
+        .when(F.contains(text, F.lit("!!")), "shout")
+        .when(F.contains(text, F.lit("@")) | F.contains(text, F.lit("://")), "contact")
+        .otherwise("prose")
+    )
+
+
+def mixed(docs: DataFrame, budget: float) -> DataFrame:
+    margins = {"source": docs["source"], "lang": docs["lang"], "topic": text_form(F.coalesce(docs["text"], F.lit("")))}
+    return mixing.mix(docs, margins, budget=budget)
+
+
+@query("op2_mixing")
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"), 0.5).select("doc_id", "mix.*")
+
+
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def in_pieces(docs: DataFrame, keep: list[str], model: str = PIECES) -> DataFrame:
+    """`keep` columns, `ids`, and `decoded` from these ids."""
+    data = pieces.model_bytes(model)
+    return pieces.decode(pieces.encode(docs, data, keep), data, [*keep, "ids"])
+
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("given", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return in_pieces(docs, ["doc_id", "given"]).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.sha2("decoded", 256) == F.col("given")).alias("round_trip"),
+    )
