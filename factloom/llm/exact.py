@@ -63,3 +63,28 @@ def exact_groups(
         "group_size",
         F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"),
     )
+
+
+def kept_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_text
+) -> DataFrame:
+    """One whole row of each group of equal texts: the largest by id, then by the other columns.
+
+    As above, texts move twice; the rest of the row moves with them, so every type must have an order.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    whole = F.struct(docs[id_col].alias("_id"), *(docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col))
+    rows = docs.select(
+        whole.alias("_row"),
+        docs[text_col].isNull().alias("_null"),
+        text.alias("_text"),
+        salt(docs.sparkSession, docs[id_col]).alias("_salt"),
+    )
+    winner = F.max(F.struct("_row", "_null")).alias("_top")
+    rows = rows.withColumn("_digest", digest(F.col("_text")))
+    salted = rows.groupBy("_salt", "_digest", "_text").agg(winner).select("_digest", "_text", "_top.*")
+    merged = salted.groupBy("_digest", "_text").agg(winner)
+    own = F.when(~F.col("_top._null"), F.col("_text"))
+    return merged.select(
+        *(own.alias(c) if c == text_col else F.col(f"_top._row.c{i}").alias(c) for i, c in enumerate(docs.columns))
+    )

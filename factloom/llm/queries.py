@@ -153,7 +153,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
     return scored.select(
         "doc_id",
         toxicity.held_out(F.col("doc_id")).alias("held_out"),

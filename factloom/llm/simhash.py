@@ -52,18 +52,18 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > len(spans), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, `fingerprint` as a long) for every row."""
+def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", width: int = 3) -> DataFrame:
+    """`keep` columns and `fingerprint`, a long, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
+            values = np.array([fingerprint(t, width) for t in batch.column(len(keep)).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values.view(np.int64))], names=[id_col, "fingerprint"]
+                [*batch.columns[: len(keep)], pa.array(values.view(np.int64))], names=[*keep, "fingerprint"]
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fingerprint long")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*keep, docs[text_col].alias("_text")).mapInArrow(run, f"{kinds}fingerprint long")
 
 
 def _planes(members: np.ndarray) -> np.ndarray:
@@ -207,16 +207,43 @@ def links(values: DataFrame, radius: int = 3, hot: int = HOT) -> DataFrame:
         rows = rows.join(full, "key", "left_semi")
 
 
+def _groups(values: DataFrame, radius: int) -> DataFrame:
+    """(fingerprint, root, component_id) of distinct fingerprints and the least id of each."""
+    roots = written(components(links(values.select("fingerprint"), radius)), "roots")
+    rooted = values.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint")
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    several = roots.join(least, "root").select(F.col("node").alias("fingerprint"), "root", "component_id")
+    several = written(several, "several")
+    alone = values.join(several, "fingerprint", "left_anti").select(
+        "fingerprint", F.col("fingerprint").alias("root"), F.col("least").alias("component_id")
+    )
+    return written(several.unionByName(alone), "groups")
+
+
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3
 ) -> DataFrame:
     """(id, `fingerprint` as a long, `component_id`): the smallest id reachable over links, the row's own included."""
-    prints = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    prints = written(fingerprints(docs.select(id_col, text_col), [id_col], text_col, width), "fingerprints")
     values = written(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "values")
-    roots = written(components(links(values.select("fingerprint"), radius)), "roots")
-    rooted = values.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint")
-    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    several = written(roots.join(least, "root").select(F.col("node").alias("fingerprint"), "component_id"), "several")
-    alone = values.join(several, "fingerprint", "left_anti").select("fingerprint", F.col("least").alias("component_id"))
-    groups = written(several.unionByName(alone), "groups")
-    return prints.join(groups, "fingerprint").select(id_col, "fingerprint", "component_id")
+    return prints.join(_groups(values, radius), "fingerprint").select(id_col, "fingerprint", "component_id")
+
+
+def kept_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3
+) -> DataFrame:
+    """One whole row of each group: that with the smallest id; of several, that with the smallest digest of id and text.
+
+    Rows of equal id and text are one row. Whole rows move once, by their digest.
+    """
+    key = f"_key_{len(docs.columns)}"
+    given = F.concat_ws("|", F.coalesce(docs[id_col].cast("string"), F.lit("null")), F.coalesce(docs[text_col], F.lit("")))
+    keyed = docs.withColumn(key, F.sha2(given.cast("binary"), 256))
+    prints = written(
+        fingerprints(keyed.select(id_col, key, text_col), [id_col, key], text_col, width), "fingerprints"
+    )
+    values = written(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "values")
+    rows = prints.join(_groups(values, radius), "fingerprint")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(key).alias("key")))
+    winners = written(rows.groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias(key)), "winners")
+    return keyed.dropDuplicates([key]).join(winners, key, "left_semi").select(*docs.columns)

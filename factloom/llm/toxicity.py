@@ -13,8 +13,7 @@ most `max_terms` terms; scoring reads every whole text. Ids, languages and sourc
 
 Edge cases: a null or empty text matches nothing and gets the score of the bias. A null id is not held out. Where a
 document has several labels the largest counts; null labels do not count. Without labels the prior and the seed terms
-remain. Repeated rows are scored each; an empty table gives an empty result; further columns are kept by `score`
-only where asked for.
+remain. Repeated rows are scored each; an empty table gives an empty result; columns not asked for are not read.
 """
 
 from __future__ import annotations
@@ -295,9 +294,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, max_terms: int
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns (the id alone by default) and `score`, for every row."""
-    keep = keep or ["doc_id"]
+def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
+    """`keep` columns and `score`, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -305,6 +303,6 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             values = pa.array([scorer.score(t) for t in batch.column(len(keep)).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], values], names=[*keep, "score"])
 
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    rows = docs.select(*keep, docs[text_col].alias("_text"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(run, f"{kinds}, score double")
