@@ -251,15 +251,15 @@ def learn_terms(rows: DataFrame, max_terms: int) -> list[tuple[str, bool, float]
     return out
 
 
-def fit_weights(features: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
+def fit_weights(features: np.ndarray, labels: np.ndarray, counts: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Logistic regression by Newton steps, drawn to the prior weights."""
     x = np.hstack((features, np.ones((len(features), 1))))
     centre = np.append(PRIOR, BIAS)
     w, pull = centre.copy(), np.append(np.full(len(PRIOR), 1.0), 0.01)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - labels) + pull * (w - centre)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), gradient)
+        gradient = x.T @ (counts * (p - labels)) + pull * (w - centre)
+        step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + np.diag(pull), gradient)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -287,10 +287,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, max_terms: int
 
     schema = ", ".join(f"f{i} double" for i in range(len(OUTPUTS))) + ", toxic int"
     counted = rows.mapInArrow(run, schema)
-    # At most `sample` rows of a few numbers reach the driver.
-    found = np.array([list(r) for r in counted.orderBy(*counted.columns).collect()], float)
+    # Equal feature rows are one row with a count; at most `sample` of them, a few numbers each, reach the driver.
+    found = np.array(sorted(list(r) for r in counted.groupBy(*counted.columns).count().collect()), float)
     if len(found):
-        model.weights, model.bias = fit_weights(found[:, :-1], found[:, -1])
+        model.weights, model.bias = fit_weights(found[:, :-2], found[:, -2], found[:, -1])
     return model
 
 
