@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,9 +27,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read from a table in the shared folder: a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    _release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of finished plans now, not when the driver's memory next runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a `written` table that no later plan reads."""
     spark = df.sparkSession
