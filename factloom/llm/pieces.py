@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 MARK = "▁"
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _UNIGRAM, _BPE = 1, 2
-_KEPT = 1 << 18
+_KEPT = 1 << 17
 _ROWS = 256
 
 
@@ -64,21 +64,25 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class _Kept(dict):
-    """Results of a function, forgotten all at once when there are too many."""
+    """Results of a function. When there are too many, they grow old, and old ones not asked for again go."""
 
     def __init__(self, make, most: int = _KEPT):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
 class PieceModel:
-    """A compiled model; made once per task from the bytes of its file."""
+    """A compiled model; made once per worker from the bytes of its file."""
 
     def __init__(self, data: bytes):
         fields = list(_fields(data))
@@ -204,8 +208,15 @@ def model_bytes(path: str) -> bytes:
         return file.read()
 
 
+_MODELS: dict[bytes, PieceModel] = {}
+
+
 def _task_model(shared) -> PieceModel:
-    return PieceModel(shared.value)
+    """The model of this worker: what it has kept serves the next task as well."""
+    if shared.value not in _MODELS:
+        _MODELS.clear()
+        _MODELS[shared.value] = PieceModel(shared.value)
+    return _MODELS[shared.value]
 
 
 def _kinds(df: DataFrame, columns: list[str]) -> str:
