@@ -11,7 +11,7 @@ composed with each input on the fly, and the path of least weight over (min, +)
   not leave. Its arcs are found when first met, and kept.
 
 Where no piece continues over a mark that follows another character, words are composed one by one, and results of
-frequent words are kept, in tables of bounded size.
+frequent short words are kept, in tables of bounded size.
 
 Only the identity character map is compiled; a model with another, or with user-defined pieces, is refused.
 
@@ -34,8 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 MARK = "▁"
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _UNIGRAM, _BPE = 1, 2
-_KEPT = 1 << 17
+_KEPT = 1 << 18
 _ROWS = 256
+_LONG = 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -77,7 +78,8 @@ class _Kept(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        if len(key) <= _LONG:
+            self[key] = value
         return value
 
 
@@ -117,14 +119,15 @@ class PieceModel:
         if self.kind not in (_UNIGRAM, _BPE):
             raise ValueError("only unigram and BPE models are supported")
         self.longest = max(map(len, self.ids), default=1)
-        # The longest piece that begins with three characters.
+        # The longest piece that ends in three characters.
         self.reach: dict[str, int] = {}
         for text in self.ids:
-            self.reach[text[:3]] = max(len(text), self.reach.get(text[:3], 0))
+            self.reach[text[-3:]] = max(len(text), self.reach.get(text[-3:], 0))
         self.worst = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.words = re.compile(".+" if crossing else f"{MARK}+[^{MARK}]*|[^{MARK}]+", re.DOTALL)
         self.kept = _Kept(self._shortest if self.kind == _UNIGRAM else self._stable)
+        self.last = _Kept(self._last)
         self.beside = _Kept(lambda pair: self._merged(pair[0] + pair[1]) == [p for p in pair if p], 1 << 19)
 
     def normal(self, text: str) -> str:
@@ -157,29 +160,41 @@ class PieceModel:
             end -= len(path[-1])
         return tuple(chain.from_iterable(map(self._emit, reversed(path))))
 
-    def _stable(self, text: str) -> tuple[int, ...]:
-        """The one path of finite weight, depth first from the longest pieces.
+    def _last(self, text: str) -> str:
+        """The last piece of the one path of finite weight over a text: the one that fits what comes before it.
 
-        A prefix has one sequence of pieces whose neighbours fit, so a position from which no arc
-        leads on is on no path at all, however it is reached.
+        It depends on the text alone, so words that begin alike share all they have found.
         """
-        ids, beside, reach = self.ids, self.beside, self.reach.get
-        path: list[str] = []
-        dead: set[int] = set()
-        at, before, most = 0, "", self.longest
-        while at < len(text):
-            for end in range(min(len(text), at + min(most, reach(text[at : at + 3], 2))), at, -1):
-                piece = text[at:end]
-                if (piece in ids or end == at + 1) and end not in dead and beside[before, piece]:
-                    path.append(piece)
-                    at, before, most = end, piece, self.longest
+        for start in range(len(text) - min(len(text), self.reach.get(text[-3:], 2)), len(text)):
+            piece = text[start:]
+            if piece in self.ids or len(piece) == 1:
+                if self.beside[self.last[text[:start]] if start else "", piece]:
+                    return piece
+        raise ValueError("no path")
+
+    def _stable(self, text: str) -> tuple[int, ...]:
+        if len(text) > _LONG:
+            return self._long(text)
+        path = []
+        while text:
+            path.append(self.last[text])
+            text = text[: -len(path[-1])]
+        return tuple(chain.from_iterable(map(self._emit, reversed(path))))
+
+    def _long(self, text: str) -> tuple[int, ...]:
+        """The same path, by place: for what is too long to keep by its text."""
+        last = [""]
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - self.longest), end):
+                piece = text[start:end]
+                if (piece in self.ids or start == end - 1) and self.beside[last[start], piece]:
+                    last.append(piece)
                     break
-            else:
-                dead.add(at)
-                most = len(path.pop()) - 1
-                at -= most + 1
-                before = path[-1] if path else ""
-        return tuple(chain.from_iterable(map(self._emit, path)))
+        path, end = [], len(text)
+        while end:
+            path.append(last[end])
+            end -= len(path[-1])
+        return tuple(chain.from_iterable(map(self._emit, reversed(path))))
 
     def _merged(self, text: str) -> list[str]:
         """Greedy merging of a short text: the best pair first, the leftmost of equal ones."""
