@@ -11,8 +11,8 @@ grams of 32 bytes, by a hash (the leftmost of equal ones), and equal strings bel
    they are not all different, sorts the other suffixes by their first byte and the rank that follows, and merges the two;
 3. neighbours in that order are compared over `length` bytes.
 
-A gram with over `HOT` different blocks is not ordered in one task: digests of its strings are counted in Spark, each by
-itself. Texts above a segment's size are cut into segments that overlap by a string, for the first step alone.
+A gram with over `HOT` different blocks is not ordered in one task: its blocks are cut again by the next least gram of each
+string, counted again, and so on; after `LEVELS` grams, digests of the strings that are left are counted one by one. Texts above a segment's size are cut into segments that overlap by a string, for the first step alone.
 
 Edge cases: a null text counts as empty; a text shorter than a string keeps all bytes. Equal rows, of one id or several,
 repeat each other. A null id is an id like others. Kept bytes need not be valid UTF-8 and are binary. An empty table gives an
@@ -34,6 +34,7 @@ from factloom.llm.shared import written
 
 GRAM = 32
 HOT = 1024
+LEVELS = 4
 SEGMENT = 1 << 21
 _BITS = 22
 _U = np.uint64
@@ -101,8 +102,11 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(since[: len(values) - width + 1], upto[width - 1 : len(values)])
 
 
-def _blocks(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text, first start, number of starts, gram hash, digest) of the blocks of texts of one segment at most each."""
+def _blocks(texts: list[bytes], length: int, seen: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text, first start, number of starts, gram hash, digest) of the blocks of texts of one segment at most each.
+
+    `seen` holds for each text the hashes of grams that are left out. A string that has no others is a block by itself.
+    """
     joined = b"".join(texts)
     raw = np.frombuffer(joined, np.uint8)
     none = np.empty(0, np.int64)
@@ -112,8 +116,12 @@ def _blocks(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     hashes = gram_hashes(raw)
     # The place is in the low bits: of grams with equal high bits the leftmost is the least.
     placed = hashes >> _U(_BITS) << _U(_BITS) | np.arange(len(hashes), dtype=_U)
-    anchor = (_least(placed, length - GRAM + 1) & _U((1 << _BITS) - 1)).astype(np.int64)
-    starts = np.arange(len(anchor))
+    for j in range(0 if seen is None else seen.shape[1]):
+        placed[hashes == np.repeat(seen[:, j], np.diff(begins))[: len(hashes)]] = np.iinfo(_U).max
+    least = _least(placed, length - GRAM + 1)
+    starts = np.arange(len(least))
+    none_left = least == np.iinfo(_U).max
+    anchor = np.where(none_left, starts, (least & _U((1 << _BITS) - 1)).astype(np.int64))
     doc = np.searchsorted(begins, starts, "right") - 1
     starts = starts[starts + length <= begins[doc + 1]]
     anchor, doc = anchor[starts], doc[starts]
@@ -122,7 +130,10 @@ def _blocks(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     hashed = xxhash.xxh3_64_intdigest
     ends = first + size + length - 1
     digest = np.array([hashed(joined[a:b]) for a, b in zip(first.tolist(), ends.tolist())], _U)
-    return doc[at], first - begins[doc[at]], size, hashes[anchor[at]], digest
+    key = hashes[anchor[at]]
+    alone = none_left[first]
+    key[alone] = string_hashes(hashes, first[alone], length)
+    return doc[at], first - begins[doc[at]], size, key, digest
 
 
 def _segments(texts: list[str | None], length: int) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
@@ -182,6 +193,39 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, digest long, hot boolean, block binary")
 
 
+_SPLIT = "key long, digest long, seen array<long>, own_key long, own_digest long, base long, block binary"
+
+
+def _split(length: int):
+    """Blocks cut again by their next least gram: rows (key, digest, seen, block) to rows of `_SPLIT`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                key, digest = (batch.column(i).to_numpy() for i in (0, 1))
+                seen = np.array(batch.column(2).to_pylist(), np.int64).view(_U)
+                texts = batch.column(3).to_pylist()
+                part, first, size, gram, inner = _blocks(texts, length, seen)
+                chained = _mix(key[part].view(_U) * _U(_BASE) + gram)
+                passed = np.column_stack((seen[part], gram)).view(np.int64)
+                cut = [texts[t][a : a + n + length - 1] for t, a, n in zip(part.tolist(), first.tolist(), size.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        _signed(chained),
+                        _signed(inner),
+                        pa.array(passed.tolist(), pa.list_(pa.int64())),
+                        pa.array(key[part]),
+                        pa.array(digest[part]),
+                        pa.array(first),
+                        pa.array(cut, pa.binary()),
+                    ],
+                    names=["key", "digest", "seen", "own_key", "own_digest", "base", "block"],
+                )
+
+    return run
+
+
 def repeated_starts(texts: list[bytes], length: int) -> np.ndarray:
     """For the joined texts, whether the string at a place also starts elsewhere (in bounds of its text only)."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -274,6 +318,37 @@ def _removed(length: int):
     return run
 
 
+def _repeats(cut: DataFrame, length: int, hot: int, levels: int) -> DataFrame:
+    """(key, digest, gone): of different blocks (key, digest, hot, seen, block), the starts of strings that two of a key hold."""
+    cold = cut.where(~F.col("hot")).select("key", "digest", "block").repartition("key").sortWithinPartitions("key")
+    gone = cold.mapInArrow(_ordered(length), _GONE).where(F.size("gone") > 0)
+    rest = cut.where("hot")
+    if rest.isEmpty():
+        return gone
+    if not levels:
+        kind = "key long, digest long, at long, string long"
+        strings = written(rest.select("key", "digest", "block").mapInArrow(_strings(length), kind), "strings")
+        twice = written(strings.groupBy("key", "string").count().where("count > 1").select("key", "string"), "twice")
+        spans = F.collect_set(F.struct("at", F.lit(1).cast("long").alias("n")))
+        ats = strings.join(twice, ["key", "string"], "left_semi").groupBy("key", "digest")
+        return gone.unionByName(ats.agg(spans.alias("gone")))
+    parts = written(rest.select("key", "digest", "seen", "block").mapInArrow(_split(length), _SPLIT), "parts")
+    classes = written(parts.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n")), "part-classes")
+    several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    several = written(several.select("key", (F.col("c") > hot).alias("hot")), "several")
+    one = parts.dropDuplicates(["key", "digest"]).join(several, "key").select("key", "digest", "hot", "seen", "block")
+    inner = written(_repeats(written(one, "block-texts"), length, hot, levels - 1), "repeats")
+    told = classes.join(inner, ["key", "digest"], "left").where("n > 1 or gone is not null")
+    hits = parts.join(written(told.select("key", "digest", "n", "gone"), "told"), ["key", "digest"])
+    starts = (F.octet_length("block") - F.lit(length - 1)).cast("long")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("at"), starts.alias("n")))
+    spans = F.inline(F.when(F.col("n") > 1, whole).otherwise(F.col("gone")))
+    hits = hits.select("own_key", "own_digest", "base", spans)
+    span = F.struct((F.col("base") + F.col("at")).alias("at"), "n")
+    owned = hits.groupBy(F.col("own_key").alias("key"), F.col("own_digest").alias("digest"))
+    return gone.unionByName(owned.agg(F.collect_set(span).alias("gone")))
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = HOT
 ) -> DataFrame:
@@ -293,19 +368,8 @@ def remove_repeats(
     )
     wanted = written(stands.groupBy("row").agg(F.collect_list("wanted").alias("wanted")), "wanted")
     texts = rows.select("row", "text").dropDuplicates(["row"]).join(wanted, "row").select("text", "wanted")
-    cut = written(_cut(texts, length), "block-texts")
-
-    cold = cut.where(~F.col("hot")).select("key", "digest", "block").repartition("key").sortWithinPartitions("key")
-    gone = cold.mapInArrow(_ordered(length), _GONE)
-    if not several.where("hot").isEmpty():
-        strings = cut.where("hot").select("key", "digest", "block").mapInArrow(
-            _strings(length), "key long, digest long, at long, string long"
-        )
-        twice = written(strings.groupBy("key", "string").count().where("count > 1").select("key", "string"), "strings")
-        ats = strings.join(twice, ["key", "string"], "left_semi").groupBy("key", "digest")
-        spans = F.collect_list(F.struct("at", F.lit(1).cast("long").alias("n")))
-        gone = gone.unionByName(ats.agg(spans.alias("gone")))
-    gone = written(gone.where(F.size("gone") > 0), "repeats")
+    cut = written(_cut(texts, length).withColumn("seen", F.array("key")), "block-texts")
+    gone = written(_repeats(cut, length, hot, LEVELS), "repeats")
 
     told = classes.join(gone, ["key", "digest"], "left").where("n > 1 or gone is not null").select("key", "digest", "n", "gone")
     hits = found.join(written(told, "told"), ["key", "digest"])

@@ -61,8 +61,9 @@ def plain_bytes(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [1, suffixes.HOT])
-def test_bytes(spark, hot):
+@pytest.mark.parametrize(("hot", "levels"), [(1, 0), (2, 2), (suffixes.HOT, 4)])
+def test_bytes(spark, monkeypatch, hot, levels):
+    monkeypatch.setattr(suffixes, "LEVELS", levels)
     rows = [r for r in texts(40, 60, 1000) + ODD if len(r[1] or "") < 5000] + [(7, "é✓" * 90)]
     got = suffixes.remove_repeats(with_clashes(documents(spark, rows)), length=100, hot=hot).collect()
     assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == plain_bytes(rows, 100)
