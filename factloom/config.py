@@ -40,9 +40,7 @@ class EngineConfig:
     min_file_bytes: int = 1000
     min_raw_chars: int = 100
     min_clean_chars: int = 50
-    sample_chars: int = 50_000
     preview_chars: int = 3_000
-    partial_markdown_chars: int = 50
     chars_per_token: int = 4
     max_name_chars: int = 100
 

@@ -41,8 +41,17 @@ BODY_START = rf"(?is)<body{TAG_END}.*"
 BODY_END = r"(?i)</body\s*>"
 TITLE = rf"(?i)<title{TAG_END}([^<]*)"
 HEADING_1 = rf"(?is)<h1{TAG_END}(.*?)(?:</h1\s*>|\z)"
+LIST_ENTRY = rf"(?i)<li{TAG_END}"
+HEADED_LINK = rf"(?is)<h[2-4]{TAG_END}(?:\s|<[^ah/][^<>]*>)*<a\s"
+LINKED_ROW = rf"(?is)<tr{TAG_END}(?:[^<]|<(?:/?t[dh]|img|b|i|span|div)[\s>])*<a\s"
 HOST = r"^https?://(?:www\.|m\.|blog\.)?([^/?#]+)"
 TAG = r"<[^<>]*>"
+# Entities and what they stand for.
+ENTITIES = (
+    {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&euro;": "€", "&pound;": "£"}
+    | {f"&#{n};": chr(n) for n in (34, 36, 38, 39, 60, 62, 160, 163, 8364)}
+    | {"&amp;": "&"}
+)
 
 
 def noise_blocks(html: Column) -> Column:
@@ -87,8 +96,21 @@ def body(html: Column) -> Column:
 
 
 def plain_text(html: Column) -> Column:
-    """Text without tags, runs of white space as one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(html, TAG, ""), r"\s+", " "))
+    """Text without tags, common entities decoded, runs of white space as one space."""
+    return F.trim(F.regexp_replace(decoded(F.regexp_replace(html, TAG, "")), r"\s+", " "))
+
+
+def decoded(text: Column) -> Column:
+    """Common named entities and decimal references of printable ASCII; `&amp;` last, so that nothing is decoded twice."""
+    for name, char in ENTITIES.items():
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
+def repeated_blocks(html: Column) -> Column:
+    """How many headed links or linked table rows a page has: the larger number, zero for a single one of each."""
+    counts = [F.regexp_count(html, F.lit(pattern)) for pattern in (HEADED_LINK, LINKED_ROW)]
+    return F.greatest(*[F.when(n >= 2, n).otherwise(0) for n in counts])
 
 
 def title(html: Column) -> Column:

@@ -117,7 +117,7 @@ def field_diff(fields_a: DataFrame, fields_b: DataFrame, keys: list[str]) -> Dat
     joined = side(fields_a, RUN_A).join(side(fields_b, RUN_B), [*keys, "pos", "field"], "full_outer")
     a, b = ((F.col(f"{r}_type"), F.col(f"{r}_value")) for r in (RUN_A, RUN_B))
     return joined.select(
-        *keys, "pos", "field", shown(*a).alias("a_shown"), shown(*b).alias("b_shown"), same(*a, *b).alias("match")
+        *keys, "pos", "field", "a_value", "b_value", shown(*a).alias("a_shown"), shown(*b).alias("b_shown"), same(*a, *b).alias("match")
     )
 
 

@@ -15,7 +15,10 @@ from factloom.schemas import ITEMS
 ENTRY_END = r"(?i)</(?:li|ul|ol)\s*>"
 ANCHOR = r"(?is)<a\s[^>]*(?:>|\z).*?(?:</a\s*>|\z)"
 ANCHOR_TAG = r"(?is)^<a\s[^>]*"
-HEADED_LINK = rf"(?is)<h[2-4]{H.TAG_END}.*?(?:</h[2-4]\s*>|\z)"
+HEADED_ENTRY = rf"(?i)<h[2-4]{H.TAG_END}"
+HEADING_END = r"(?i)</h[2-4]\s*>"
+ROW_ENTRY = rf"(?i)<tr{H.TAG_END}"
+ROW_END = r"(?i)</(?:tr|tbody|table)\s*>"
 
 
 def link_fields(entry: Column) -> Column:
@@ -45,6 +48,24 @@ def list_entries(clean_html: Column) -> Column:
     )
 
 
+def parts(clean_html: Column, opening: str) -> Column:
+    """What follows each opening tag, up to the next one."""
+    found = F.split(clean_html, opening)
+    return F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0)))
+
+
+def headed_entries(clean_html: Column) -> Column:
+    """Cards: a heading that holds a link, and all up to the next heading. Other headings end a card."""
+    linked = F.filter(parts(clean_html, HEADED_ENTRY), lambda p: F.get(F.split(p, HEADING_END, 2), F.lit(0)).rlike(ANCHOR))
+    return linked
+
+
+def row_entries(clean_html: Column) -> Column:
+    """Table rows that hold a link."""
+    rows = F.transform(parts(clean_html, ROW_ENTRY), lambda p: F.get(F.split(p, ROW_END, 2), F.lit(0)))
+    return F.filter(rows, lambda r: r.rlike(ANCHOR))
+
+
 def items_of(entries: Column) -> Column:
     return F.filter(F.transform(entries, link_fields), lambda i: i.isNotNull())
 
@@ -58,10 +79,11 @@ def extract_items(profiled: DataFrame, cfg: EngineConfig = EngineConfig()) -> Da
         .withColumn(
             "_headed",
             F.when(
-                F.size("_linked") == 0,
-                items_of(F.regexp_extract_all(whole, F.lit(HEADED_LINK), F.lit(0))),
+                F.size("_linked") < 2,
+                items_of(headed_entries(whole)),
             ),
         )
+        .withColumn("_rows", F.when(F.size("_linked") < 2, items_of(row_entries(whole))))
     )
     main = F.filter(
         F.array(
@@ -79,8 +101,10 @@ def extract_items(profiled: DataFrame, cfg: EngineConfig = EngineConfig()) -> Da
     items = (
         F.when(F.size("structured.items") > 0, F.col("structured.items"))
         .when(single, itself)
+        .when(F.size("_linked") > 1, F.col("_linked"))
+        .when(F.size("_headed") > F.coalesce(F.size("_rows"), F.lit(0)), F.col("_headed"))
+        .when(F.size("_rows") > 0, F.col("_rows"))
         .when(F.size("_linked") > 0, F.col("_linked"))
-        .when(F.size("_headed") > 0, F.col("_headed"))
         .otherwise(itself)
     )
     known = F.col("reason").isNull()
@@ -90,7 +114,7 @@ def extract_items(profiled: DataFrame, cfg: EngineConfig = EngineConfig()) -> Da
             "shape",
             F.when(known, F.when(single & (F.size("items") == 1), F.lit("item")).otherwise(F.lit("items"))),
         )
-        .drop("_linked", "_headed", "structured")
+        .drop("_linked", "_headed", "_rows", "structured")
     )
 
 

@@ -14,18 +14,20 @@ from factloom.config import (
 )
 from factloom.functions import text
 
-PRICE = "decimal(12,6)"
+PRICE = "decimal(10,6)"
+TOKENS = "decimal(15,0)"
 COST = "decimal(20,12)"
 
 
 def call_cost(in_tok: Column, out_tok: Column, price_in: Column, price_out: Column) -> Column:
     """Exact cost in USD of one call: tokens per million times the price, as a decimal.
 
+    Exact for up to 10^15 tokens and prices below 10,000 with six decimals; twelve decimals remain.
     Decimals make sums independent of the order in which partial results meet.
     """
     micro = (
-        in_tok.cast("decimal(18,0)") * price_in.cast(PRICE)
-        + out_tok.cast("decimal(18,0)") * price_out.cast(PRICE)
+        in_tok.cast(TOKENS) * price_in.cast(PRICE)
+        + out_tok.cast(TOKENS) * price_out.cast(PRICE)
     )
     return (micro * F.lit("0.000001").cast("decimal(7,6)")).cast(COST)
 
@@ -33,8 +35,7 @@ def call_cost(in_tok: Column, out_tok: Column, price_in: Column, price_out: Colu
 def price_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """usage(model, in_tok, out_tok, ...) -> the same rows with `cost_usd`; an unknown model costs 0.
 
-    The price list carries its own broadcast hint where its size is known (see sources.prices); a
-    list of unknown size joins as Spark sees fit.
+    The join is broadcast where Spark knows the price list to be small.
     """
     none = F.lit(0).cast(PRICE)
     return (
@@ -114,14 +115,13 @@ def stage_usage(pages: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFra
     are; else they are estimated from the characters the stage reads and writes.
     """
     per = cfg.chars_per_token
-    sample = F.least(F.length("clean_html"), F.lit(cfg.sample_chars))
     estimated = {
-        TASK_PROFILE: ("profile", sample, F.length(F.to_json("hypothesis"))),
+        TASK_PROFILE: ("profile", F.length("clean_html"), F.length(F.to_json("hypothesis"))),
         TASK_EXTRACT: ("extract", F.length("clean_html"), F.length("extracted_data")),
         TASK_RENDER: ("render", F.length("extracted_data"), F.length("formatted_markdown")),
         TASK_VALIDATE: (
             "validate",
-            F.least(F.length("formatted_markdown"), F.lit(cfg.preview_chars)),
+            F.length("formatted_markdown"),
             F.length(F.to_json("validation")),
         ),
     }

@@ -12,7 +12,7 @@ from factloom.operators.structured import read_structured
 
 PRICED = r"[$€£]\s?[0-9]"
 AMOUNT = r"(?:US )?[$€£]\s?[0-9][0-9,]*(?:\.[0-9]+)?"
-LIST_ENTRY = rf"(?i)<li{H.TAG_END}"
+LIST_ENTRY = H.LIST_ENTRY
 HEADING_ENTRY = rf"(?i)<h1{H.TAG_END}"
 AUCTION = r"auction|\bbids?\b"
 SEARCH_URL = r"[?&](?:q|s|query|search)="
@@ -55,19 +55,22 @@ def stated_count(item_count: Column) -> Column:
 
 
 def profile_pages(cleaned: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Add the `hypothesis` struct. Looks at the address, the title, JSON-LD and the page sample."""
-    sample = text.prefix(F.col("clean_html"), cfg.sample_chars)
+    """Add the `hypothesis` struct. Looks at the address, the title, JSON-LD and the whole page."""
+    whole = F.col("clean_html")
     features = read_structured(cleaned).withColumns(
         {
             "_url": F.coalesce(F.col("url"), H.declared_url(F.col("html"))),
             "title": H.title(F.col("html")),
-            "_li": F.regexp_count(sample, F.lit(LIST_ENTRY)),
-            "_h1": F.regexp_count(sample, F.lit(HEADING_ENTRY)),
-            "_priced": sample.rlike(PRICED),
+            "_li": F.regexp_count(whole, F.lit(LIST_ENTRY)),
+            "_blocks": H.repeated_blocks(whole),
+            "_h1": F.regexp_count(whole, F.lit(HEADING_ENTRY)),
+            "_priced": whole.rlike(PRICED),
             "_ld_count": F.coalesce(F.size("structured.items"), F.lit(0)),
         }
     )
     ld_count = F.col("_ld_count")
+    # List entries where there are several; else headed links or table rows, whichever repeat.
+    entries_seen = F.when(F.col("_li") >= 2, F.col("_li")).otherwise(F.greatest("_li", "_blocks"))
     seen = F.lower(F.concat_ws(" ", F.col("_url"), F.col("title")))
     page_type = (
         F.when(F.col("structured.is_search"), F.lit("search results"))
@@ -75,11 +78,11 @@ def profile_pages(cleaned: DataFrame, cfg: EngineConfig = EngineConfig()) -> Dat
         .when(ld_count == 1, F.lit("single product"))
         .when(seen.rlike(AUCTION), F.lit("auction"))
         .when(F.lower("_url").rlike(SEARCH_URL), F.lit("search results"))
-        .when((F.col("_li") >= 2) | F.lower("_url").rlike(PAGED_URL), F.lit("category listing"))
+        .when((entries_seen >= 2) | F.lower("_url").rlike(PAGED_URL), F.lit("category listing"))
         .when((F.col("_li") == 1) | (F.col("_h1") == 1), F.lit("single product"))
         .otherwise(F.lit("unknown"))
     )
-    entries = F.when(ld_count > 0, ld_count).otherwise(F.col("_li"))
+    entries = F.when(ld_count > 0, ld_count).otherwise(entries_seen)
     ld_keys = F.transform(F.get(F.col("structured.items"), F.lit(0)), lambda f: f["field"])
     rule_fields = F.when(F.col("_priced"), F.array(*map(F.lit, ("title", "link", "price")))).otherwise(
         F.array(*map(F.lit, ("title", "link")))
@@ -104,5 +107,5 @@ def profile_pages(cleaned: DataFrame, cfg: EngineConfig = EngineConfig()) -> Dat
     )
     known = F.col("reason").isNull()
     return features.withColumn("hypothesis", F.when(known, hypothesis)).drop(
-        "_url", "_li", "_h1", "_priced", "_ld_count"
+        "_url", "_li", "_blocks", "_h1", "_priced", "_ld_count"
     )

@@ -111,7 +111,7 @@ def failure_markdown(
             ),
         ),
         _optional(PARTIAL_RESULTS, partial_summary),
-        F.when(F.length(formatted) > cfg.partial_markdown_chars, _block(PARTIAL_DATA, formatted)),
+        F.when(F.length(formatted) > 0, _block(PARTIAL_DATA, formatted)),
         F.lit(NEXT_STEPS),
         _block(
             RULE,

@@ -21,7 +21,7 @@ def price_statistics(
     """Items, priced items, price sum and range, and the date range, by key."""
     dates = [] if date is None else [F.min(date).alias("first_date"), F.max(date).alias("last_date")]
     return (
-        items.withColumn("_price", text.price(price_text).cast(AMOUNT))
+        items.withColumn("_price", text.price(price_text).try_cast(AMOUNT))
         .groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("items"),

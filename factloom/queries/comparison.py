@@ -168,7 +168,7 @@ _DIFF_SQL = f"""{_RUNS_SQL},
 side_a AS (SELECT page_id, pos, field, value, true AS here FROM run_fields WHERE run = 'a'),
 side_b AS (SELECT page_id, pos, field, value, true AS here FROM run_fields WHERE run = 'b'),
 diff AS (
-  SELECT page_id, pos, field,
+  SELECT page_id, pos, field, a.value AS a_value, b.value AS b_value,
     CASE WHEN a.here IS NULL THEN 'MISSING' WHEN length(a.value) > 50 THEN left(a.value, 50) || '...'
          ELSE a.value END AS a_shown,
     CASE WHEN b.here IS NULL THEN 'MISSING' WHEN length(b.value) > 50 THEN left(b.value, 50) || '...'

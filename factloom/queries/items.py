@@ -20,10 +20,9 @@ from factloom.operators.stats import (
 )
 from factloom.queries import page_sql as S
 from factloom.queries.registry import query, table
-from factloom.session import spread
 
 # Documents as items with fields. Labels cover a part of the documents, so quality and toxic hold
-# real nulls; short documents say N/A for them, and long ones carry one field more.
+# real nulls; short documents say N/A for them.
 _DOCUMENT_FIELDS_SQL = """
 doc_items AS (
   SELECT d.doc_id, d.source, d.lang, d.n_chars, d.text,
@@ -35,7 +34,7 @@ doc_fields AS (
   UNION ALL SELECT doc_id, source, 'n_chars', n_chars::VARCHAR FROM doc_items
   UNION ALL SELECT doc_id, source, 'quality', quality FROM doc_items
   UNION ALL SELECT doc_id, source, 'toxic', toxic FROM doc_items
-  UNION ALL SELECT doc_id, source, 'opening', left(text, 50) FROM doc_items WHERE n_chars > 2000)"""
+  UNION ALL SELECT doc_id, source, 'text', text FROM doc_items)"""
 
 
 def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +56,7 @@ def document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         pair("quality", quality),
         pair("toxic", toxic),
     ]
-    opening = pair("opening", text.prefix(F.col("text"), 50))
-    fields = F.when(F.col("n_chars") > 2000, F.array(*always, opening)).otherwise(F.array(*always))
+    fields = F.array(*always, pair("text", F.col("text")))
     return items.select("source", "doc_id", F.explode(fields).alias("_f")).select("source", "doc_id", "_f.*")
 
 
@@ -95,14 +93,14 @@ def document_field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT source, doc_id,
         count_if(field = 'quality' AND value NOT IN ('', 'N/A')) > 0 AS q,
         count_if(field = 'toxic' AND value NOT IN ('', 'N/A')) > 0 AS t,
-        count_if(field = 'opening' AND value NOT IN ('', 'N/A')) > 0 AS o
+        count_if(field = 'text' AND value NOT IN ('', 'N/A')) > 0 AS o
       FROM doc_fields GROUP BY ALL)
     SELECT source, count(*) AS items, count_if(NOT q) AS without_quality, count_if(NOT t) AS without_toxic,
-      count_if(NOT o) AS without_opening, count_if(q AND t AND o) AS comparable_items
+      count_if(NOT o) AS without_text, count_if(q AND t AND o) AS comparable_items
     FROM per_item GROUP BY source""",
 )
 def document_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaps(document_fields(spark, sf_dir), ["source"], ["doc_id"], ["quality", "toxic", "opening"])
+    return gaps(document_fields(spark, sf_dir), ["source"], ["doc_id"], ["quality", "toxic", "text"])
 
 
 @query(
@@ -127,7 +125,7 @@ def order_dominance_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"), F.col("p_name").alias("name")
     )
-    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", *LINE_ORDER))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", *LINE_ORDER)
     lines = lines.join(parts, "l_partkey")
     kinds = {
         "brand_model": D.brand_model(F.col("brand"), F.col("name")),

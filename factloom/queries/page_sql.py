@@ -13,7 +13,14 @@ def q(pattern: str) -> str:
 
 
 def plain(text: str) -> str:
-    return f"trim(regexp_replace(regexp_replace({text}, {q(H.TAG)}, '', 'g'), '\\s+', ' ', 'g'))"
+    bare = f"regexp_replace({text}, '<[^<>]*>', '', 'g')"
+    for entity, char in (
+        ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&euro;", "€"), ("&pound;", "£"),
+        ("&#34;", '"'), ("&#36;", "$"), ("&#38;", "&"), ("&#39;", "'"), ("&#60;", "<"), ("&#62;", ">"),
+        ("&#160;", "\xa0"), ("&#163;", "£"), ("&#8364;", "€"), ("&amp;", "&"),
+    ):
+        bare = f"replace({bare}, {q(entity)}, {q(char)})"
+    return f"trim(regexp_replace({bare}, '\\s+', ' ', 'g'))"
 
 
 def attribute(tag: str, name: str) -> str:
@@ -60,9 +67,9 @@ CLEANED = cleaned_cte()
 PROFILED = f"""{CLEANED},
 features AS (
   SELECT *, nullif({plain(f"regexp_extract(html, {q(H.TITLE)}, 1)")}, '') AS title,
-         len(regexp_extract_all(left(clean_html, 50000), {q(P.LIST_ENTRY)})) AS li,
-         len(regexp_extract_all(left(clean_html, 50000), {q(P.HEADING_ENTRY)})) AS h1,
-         regexp_matches(left(clean_html, 50000), {q(P.PRICED)}) AS priced
+         len(regexp_extract_all(clean_html, {q(P.LIST_ENTRY)})) AS li,
+         len(regexp_extract_all(clean_html, {q(P.HEADING_ENTRY)})) AS h1,
+         regexp_matches(clean_html, {q(P.PRICED)}) AS priced
   FROM cleaned WHERE reason IS NULL),
 profiled AS (
   SELECT *,

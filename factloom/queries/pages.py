@@ -25,7 +25,6 @@ from factloom.operators.report import run_log
 from factloom.plans.page_flow import PageFlow
 from factloom.queries import page_sql as S
 from factloom.queries.registry import query, table
-from factloom.session import spread
 from factloom.sources.pages import from_table
 from factloom.sources.prices import price_list
 
@@ -44,7 +43,7 @@ PRICED_FLOW = EngineConfig(
 
 
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_table(spread(table(spark, sf_dir, "pages")))
+    return from_table(table(spark, sf_dir, "pages"))
 
 
 def reports_of(spark: SparkSession, sf_dir: str, cfg: EngineConfig = EngineConfig()) -> DataFrame:
@@ -301,7 +300,7 @@ def report_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT *, {_NAME} AS base_name,
         'Fields: ' || (total_fields - missing) || ' of ' || total_fields || ' filled' AS filled,
         coalesce(nullif(regexp_extract(url, '([^/]*)$', 1), ''), url) AS original_file
-      FROM every_page WHERE status = 'success')
+      FROM every_page WHERE reason IS NULL)
     SELECT page_id, array_to_string([
       '# 📊 Extraction Report: ' || original_file, '**Processed:** {STAMP}', '', '## ✅ Status: SUCCESS', '',
       '### 🔍 Page Analysis', '**Type:** ' || page_type || '  ', '**Source:** ' || source || '  ',
@@ -315,7 +314,7 @@ def report_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM named""",
 )
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports_of(spark, sf_dir).where(F.col("status") == "success").select("page_id", "report_markdown")
+    return reports_of(spark, sf_dir).where(F.col("reason").isNull()).select("page_id", "report_markdown")
 
 
 @query(
@@ -375,12 +374,20 @@ _USAGE_SQL = f"""WITH {S.VALIDATED},
         || ',"confidence":' || to_json(confidence)::VARCHAR || ',"notes":' || to_json(notes)::VARCHAR || '}}' AS hyp
       FROM validated),
     usage AS (
-      SELECT page_id, 'Hypothesis' AS task, 'gpt-4o-mini' AS model, least(length(clean_html), 50000) // 4 AS in_tok,
+      SELECT page_id, 'Hypothesis' AS task, 'gpt-4o-mini' AS model, length(clean_html) // 4 AS in_tok,
         length(hyp) // 4 AS out_tok, 0.15 AS pin, 0.60 AS pout FROM texts
       UNION ALL SELECT page_id, 'Extraction', 'gemini-2.0-flash', length(clean_html) // 4,
         length(extracted_data) // 4, 0.075, 0.30 FROM texts
       UNION ALL SELECT page_id, 'Formatting', 'gpt-4o-mini', length(extracted_data) // 4,
-        length(formatted_markdown) // 4, 0.15, 0.60 FROM texts)
+        length(formatted_markdown) // 4, 0.15, 0.60 FROM texts
+      UNION ALL SELECT page_id, 'Validation & Insights', 'gpt-4o', length(formatted_markdown) // 4,
+        length('{{"hypothesis_match":' || (status = 'success')::VARCHAR || ',"expected_items":' || to_json(item_count)::VARCHAR
+          || ',"actual_items":' || n_items || ',"data_quality":"' || data_quality || '"'
+          || CASE WHEN status = 'success' THEN ',"completeness":"all items formatted"'
+               || CASE WHEN gaps <> '' THEN ',"notes":"' || gaps || '"' ELSE '' END
+             WHEN n_items = 0 THEN ',"problem":"no items were extracted"'
+             ELSE ',"problem":"' || n_items || ' items were extracted, expected ' || item_count || '"' END || '}}') // 4,
+        2.50, 10.00 FROM texts)
     SELECT task, model, count(*) AS calls, sum(in_tok)::BIGINT AS in_tok, sum(out_tok)::BIGINT AS out_tok,
       round(sum(in_tok * pin + out_tok * pout)::DOUBLE / 1000000, 9) AS cost_usd
     FROM usage GROUP BY ALL"""
@@ -388,9 +395,8 @@ _USAGE_SQL = f"""WITH {S.VALIDATED},
 
 @query("page_stage_spend", _USAGE_SQL)
 def page_stage_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spend of the stages that read whole pages or items, at the prices of the named models."""
-    usage = stage_usage(reports_of(spark, sf_dir, PRICED_FLOW), PRICED_FLOW)
-    priced = price_usage(usage.where(F.col("task") != TASK_VALIDATE), price_list(spark))
+    """Spend of all four stages, at the prices of the named models."""
+    priced = price_usage(stage_usage(reports_of(spark, sf_dir, PRICED_FLOW), PRICED_FLOW), price_list(spark))
     return spend_by(priced, "task", "model").withColumn("cost_usd", F.round(F.col("cost_usd").cast("double"), 9))
 
 
@@ -413,7 +419,7 @@ def image_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("'></body></html>"),
     )
     url = F.concat(F.lit("http://"), F.col("source"), F.lit(".example.com/"), F.col("lang"))
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("page_id"), url.alias("url"), html.alias("html")
     )
 
@@ -463,7 +469,7 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_retailprice").cast("string"), F.lit(" while in stock at our shop</p></body></html>"),
     )
     url = F.concat(F.lit("https://www.shop.example.com/p/"), F.col("p_partkey").cast("string"))
-    return spread(table(spark, sf_dir, "part")).select(
+    return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("page_id"), url.alias("url"), html.alias("html")
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Set only where the caller's session left them alone.
 _DEFAULTS = {
@@ -10,6 +10,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Small files are split for all cores by the scan itself.
+    "spark.sql.files.openCostInBytes": "65536",
     "spark.ui.enabled": "false",
     # Call sites noted for every column take as long as building the plan itself.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -33,14 +35,3 @@ def local_session(app: str, cores: str = "8", shuffle_partitions: int = 8, memor
 def shared_dir(spark: SparkSession) -> str | None:
     """The shared folder the cluster names for checkpoints, or None where it names none."""
     return spark.conf.get("spark.checkpoint.dir", None)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before costly work on its rows.
-
-    An input with no more splits than cores leaves some of them idle, the more so as a small file
-    has its rows in one of its splits. A larger input passes unchanged, without a shuffle. Rows are
-    dealt out one by one and not by key, so no key can fill a task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df

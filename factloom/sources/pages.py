@@ -48,6 +48,8 @@ def stream_page_files(spark: SparkSession, directory: str, max_files: int = 1000
         .schema(PAGE_FILE)
         .option("pathGlobFilter", FILE_GLOB)
         .option("maxFilesPerTrigger", max_files)
+        # A page that arrives with an old time stamp is taken up like any other.
+        .option("maxFileAge", "36500d")
         .option("ignoreMissingFiles", True)
         .load(directory)
     )

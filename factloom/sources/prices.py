@@ -8,21 +8,17 @@ from pyspark.sql import functions as F
 from factloom.config import EngineConfig
 from factloom.operators.ledger import PRICE
 
-# A price list from the settings is broadcast only up to this many models.
-MAX_BROADCAST_MODELS = 10_000
-
 
 def price_list(spark: SparkSession, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """model, price_in, price_out: USD per one million tokens."""
     rows = [(m, str(i), str(o)) for m, (i, o) in cfg.prices.items()]
-    prices = spark.createDataFrame(rows, "model string, i string, o string").select(
+    return spark.createDataFrame(rows, "model string, i string, o string").select(
         "model", F.col("i").cast(PRICE).alias("price_in"), F.col("o").cast(PRICE).alias("price_out")
     )
-    return F.broadcast(prices) if len(rows) <= MAX_BROADCAST_MODELS else prices
 
 
 def read_price_list(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with the header model,input,output. Its size is unknown, so it carries no hint."""
+    """A CSV with the header model,input,output."""
     return spark.read.schema("model string, input string, output string").csv(path, header=True).select(
         "model",
         F.col("input").try_cast(PRICE).alias("price_in"),

@@ -1,4 +1,4 @@
-"""Pages as they arrive: deduplicated, run through the flow, written to all tables."""
+"""Pages as they arrive: run through the flow, written to all tables."""
 
 from __future__ import annotations
 
@@ -18,11 +18,6 @@ from factloom.sources.prices import price_list
 PAGE_COLUMNS = ("page_id", "path", "original_file", "url", "size_bytes", "html")
 
 
-def first_arrivals(pages: DataFrame, key: str = "path", within: str = "1 day") -> DataFrame:
-    """Drop repeated arrivals of a page inside the watermark; state is one small row per key."""
-    return pages.withWatermark("arrived_at", within).dropDuplicatesWithinWatermark([key])
-
-
 def process_batch(pages: DataFrame, batch_id: int | str, root: str, flow: PageFlow) -> None:
     """Run one batch and write it.
 
@@ -52,7 +47,8 @@ def start_page_stream(
     interval: str = "10 seconds",
     name: str = "page_stream",
 ) -> StreamingQuery:
-    """Start the stream. Errors of a page are data (`reason`, status), so no page stops it.
+    """Start the stream. A file source yields each path once, whatever its time stamp, so nothing is shuffled or
+    dropped on the way. Errors of a page are data (`reason`, status), so no page stops it.
 
     The checkpoint goes below the folder named in `spark.checkpoint.dir`, or below `root`; it belongs
     to this name and this output, so another output starts afresh.
@@ -61,8 +57,7 @@ def start_page_stream(
     output = hashlib.sha256(root.encode()).hexdigest()[:16]
     location = checkpoint or os.path.join(shared or root, f"_{name}_{output}")
     writer = (
-        first_arrivals(pages)
-        .writeStream.queryName(name)
+        pages.writeStream.queryName(name)
         .option("checkpointLocation", location)
         .foreachBatch(lambda batch, batch_id: process_batch(batch, batch_id, root, flow))
     )

@@ -32,26 +32,6 @@ def page_rows(spark, pages: list[list[dict | None]]):
     return spark.createDataFrame(rows, f"page_id bigint, items {ITEMS}")
 
 
-def plain_modes(items: list[dict | None]) -> dict:
-    """Count in item order; the first value to reach the top count order wins."""
-    values: dict[str, list[str]] = {}
-    for item in items:
-        if item is None:
-            continue
-        text = {k: v.strip() for k, v in item.items() if isinstance(v, str) and v.strip()}
-        brand, name = text.get("brand"), text.get("product_name") or text.get("title") or text.get("name")
-        if brand:
-            values.setdefault("brand", []).append(brand)
-        if brand and name:
-            words = [w for w in name.replace(brand, "").split() if len(w) > 1][:2]
-            if words:
-                values.setdefault("brand_model", []).append(f"{brand} {' '.join(words)}")
-        for k in CFG.attribute_fields:
-            if k in text:
-                values.setdefault(k, []).append(text[k])
-    return {k: Counter(v).most_common(1)[0] for k, v in values.items()}
-
-
 def modes(df) -> dict:
     done = D.page_dominance(df, CFG)
     return {
@@ -60,27 +40,26 @@ def modes(df) -> dict:
     }
 
 
-def test_random_pages_equal_a_plain_count(spark):
-    rng = random.Random(5)
-    brands, names = ["Aa", "Bb", "Cc", None, "", 7], ["Aa One Two", "Bb x Mini Pro", "Cc", "", None]
-
-    def item():
-        if rng.random() < 0.05:
-            return None
-        picked = {"brand": rng.choice(brands), rng.choice(["title", "product_name", "name"]): rng.choice(names)}
-        for k in ("size", "condition", "color"):
-            if rng.random() < 0.6:
-                picked[k] = rng.choice(["s", "m", "l", " s ", None])
-        return picked
-
-    pages = [[item() for _ in range(rng.randint(0, 12))] for _ in range(150)]
-    got = modes(page_rows(spark, pages))
-    for i, items in enumerate(pages):
-        expected = plain_modes(items)
-        assert got[i][0] == expected, items
-        limits = {"brand": 0.5, "brand_model": 0.5}
-        dominant = {k for k, (_, n) in expected.items() if len(items) >= 2 and n / len(items) >= limits.get(k, 0.3)}
-        assert got[i][1] == dominant
+def test_values_written_by_hand(spark):
+    mixed = [
+        {"brand": "Aa", "title": "Aa One Two Three", "size": " s "},
+        {"brand": "Aa", "product_name": "Aa One Two", "title": "else", "size": "s"},
+        {"brand": " Aa", "name": "One x Two Aa", "size": None},
+        None,
+        {"brand": 7, "title": "Aa One Two", "color": "red"},
+        {"brand": "", "title": "Bb", "condition": "new"},
+    ]
+    nothing = [{"brand": "Aa", "title": "Aa"}, {"brand": None, "title": "One Two"}]
+    got = modes(page_rows(spark, [mixed, nothing]))
+    assert got[0][0] == {
+        "brand": ("Aa", 3),
+        "brand_model": ("Aa One Two", 3),
+        "size": ("s", 2),
+        "color": ("red", 1),
+        "condition": ("new", 1),
+    }
+    assert got[0][1] == {"brand", "brand_model", "size"}
+    assert got[1][0] == {"brand": ("Aa", 1)} and got[1][1] == {"brand"}
 
 
 def test_ties_thresholds_and_order(spark):

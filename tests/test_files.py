@@ -17,7 +17,7 @@ from factloom.sources.ledger import read_ledger
 from factloom.sources.pages import read_page_files, stream_page_files
 from factloom.sources.prices import price_list, read_price_list
 from factloom.sources.reports import parse_reports, read_report_table
-from factloom.streaming.page_stream import first_arrivals, start_page_stream
+from factloom.streaming.page_stream import start_page_stream
 from factloom.streaming.spend_stream import windowed_spend
 
 FILLER = "<p>" + "words to fill the page " * 50 + "</p>"
@@ -142,15 +142,18 @@ def test_stream_goes_on_where_it_stopped(spark, queue, tmp_path):
     assert finished.count() == 7 and finished.select("path").distinct().count() == 7
 
 
-def test_repeated_arrivals_count_once(spark, tmp_path):
-    source, schema = str(tmp_path / "arrivals"), "path string, arrived_at timestamp"
-    rows = [("a", "2025-01-01 00:00:00"), ("b", "2025-01-01 00:00:01"), ("a", "2025-01-01 00:10:00")]
-    frame = spark.createDataFrame(rows, "path string, t string")
-    frame.selectExpr("path", "cast(t as timestamp) arrived_at").write.parquet(source)
-    stream = first_arrivals(spark.readStream.schema(schema).parquet(source))
-    query = stream.writeStream.format("memory").queryName("arrivals").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert sorted(r.path for r in spark.table("arrivals").collect()) == ["a", "b"]
+def test_old_files_are_kept(spark, tmp_path):
+    """A file that arrives late with an old time stamp is a page like any other; a path counts once."""
+    queue, root = tmp_path / "queue", str(tmp_path / "out")
+    queue.mkdir()
+    page = "<html><body>" + "<p>text</p>" * 200 + "</body></html>"
+    (queue / "new.html").write_text(page)
+    for _ in range(2):
+        start_page_stream(stream_page_files(spark, str(queue)), root, available_now=True).awaitTermination(300)
+        (queue / "old.html").write_text(page)
+        os.utime(queue / "old.html", (1_600_000_000, 1_600_000_000))
+    finished = spark.read.parquet(os.path.join(root, tables.FINISHED))
+    assert sorted(os.path.basename(r.path) for r in finished.select("path").collect()) == ["new.html", "old.html"]
 
 
 def test_live_spend_equals_batch(spark, tmp_path):

@@ -55,10 +55,33 @@ def test_profile_rules(spark, url, html, page_type, item_count, confidence):
     assert row.source == "x.com"
 
 
-def test_profile_looks_at_the_sample_and_extraction_at_the_whole(spark):
-    html = LI.format(1) * 2 + "<p>" + "x" * 50_000 + "</p>" + LI.format(3)
+def test_profile_and_extraction_read_the_whole_page(spark):
+    html = LI.format(1) * 2 + "<p>" + "x" * 70_000 + "</p>" + LI.format(3) * 20
     row = FLOW.extracted(pages(spark, ("http://x.com/f", html))).first()
-    assert row.hypothesis.item_count == "multiple (estimate 2)" and len(row["items"]) == 3
+    assert row.hypothesis.item_count == "multiple (estimate 22)" and len(row["items"]) == 22
+
+
+@pytest.mark.parametrize(
+    "block",
+    [
+        '<li><a href="/{0}">Item {0}</a> $5</li>',
+        '<div class="card"><h2 class=t><a href="/{0}">Item {0}</a></h2><p>&#36;5</p></div>',
+        '<h3> <span><a href="/{0}">Item {0}</a></span></h3> $5',
+        '<tr><td><a href="/{0}">Item {0}</a></td><td>$5</td></tr>',
+    ],
+)
+def test_items_of_every_layout(spark, block):
+    html = "<h1>Shop</h1><p>" + "x" * 60_000 + "</p>" + "".join(block.format(i) for i in range(20))
+    row = FLOW.extracted(pages(spark, ("http://x.com/f", html))).first()
+    assert row.hypothesis.item_count == "multiple (estimate 20)"
+    found = [{f.field: f.value for f in item} for item in row["items"]]
+    assert found == [{"title": f"Item {i}", "link": f"/{i}", "price": "$5"} for i in range(20)]
+
+
+def test_entities_are_read(spark):
+    html = '<ul><li><a href="/1">AT&amp;T&nbsp;B</a> &#36;5</li><li><a href="/2">&amp;lt; two</a></li></ul>' + "x" * 1000
+    items = FLOW.extracted(pages(spark, ("http://x.com/f", html))).first()["items"]
+    assert [[f.value for f in i] for i in items] == [["AT&T B", "/1", "$5"], ["&lt; two", "/2"]]
 
 
 def test_list_entries(spark):
