@@ -127,8 +127,8 @@ class PieceModel:
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.words = re.compile(".+" if crossing else f"{MARK}+[^{MARK}]*|[^{MARK}]+", re.DOTALL)
         self.kept = _Kept(self._shortest if self.kind == _UNIGRAM else self._stable)
-        self.last = _Kept(self._last)
-        self.beside = _Kept(lambda pair: self._merged(pair[0] + pair[1]) == [p for p in pair if p], 1 << 19)
+        self.beside = _Kept(lambda pair: self._merged(pair[0] + pair[1]) == [p for p in pair if p])
+        self.last = self._last_piece()
 
     def normal(self, text: str) -> str:
         if self.squeeze:
@@ -160,26 +160,39 @@ class PieceModel:
             end -= len(path[-1])
         return tuple(chain.from_iterable(map(self._emit, reversed(path))))
 
-    def _last(self, text: str) -> str:
-        """The last piece of the one path of finite weight over a text: the one that fits what comes before it.
+    def _last_piece(self):
+        """A function for the last piece of the one path of finite weight over a text: the one that fits what is before.
 
         It depends on the text alone, so words that begin alike share all they have found.
         """
-        for start in range(len(text) - min(len(text), self.reach.get(text[-3:], 2)), len(text)):
-            piece = text[start:]
-            if piece in self.ids or len(piece) == 1:
-                if self.beside[self.last[text[:start]] if start else "", piece]:
-                    return piece
-        raise ValueError("no path")
+        ids, reach, beside = self.ids, self.reach.get, self.beside
+
+        def find(text: str) -> str:
+            n = len(text)
+            for start in range(n - min(n, reach(text[-3:], 2)), n):
+                piece = text[start:]
+                if piece in ids or start == n - 1:
+                    if beside[last[text[:start]] if start else "", piece]:
+                        return piece
+            raise ValueError("no path")
+
+        last = _Kept(find)
+        return last
 
     def _stable(self, text: str) -> tuple[int, ...]:
         if len(text) > _LONG:
             return self._long(text)
-        path = []
+        ids, last, path = self.ids.get, self.last, []
         while text:
-            path.append(self.last[text])
-            text = text[: -len(path[-1])]
-        return tuple(chain.from_iterable(map(self._emit, reversed(path))))
+            piece = last[text]
+            number = ids(piece)
+            if number is None:
+                path.extend(reversed(self._emit(piece)))
+            else:
+                path.append(number)
+            text = text[: -len(piece)]
+        path.reverse()
+        return tuple(path)
 
     def _long(self, text: str) -> tuple[int, ...]:
         """The same path, by place: for what is too long to keep by its text."""
