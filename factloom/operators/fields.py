@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.config import MISSING_TEXTS
@@ -55,20 +55,20 @@ def completeness(fields: DataFrame, keys: list[str], item: list[str]) -> DataFra
 def field_coverage(fields: DataFrame, keys: list[str], item: list[str]) -> DataFrame:
     """Share of a key's items that carry each field, and that carry it filled.
 
-    A field occurs at most once per item, so rows count items. The number of items per key joins
-    the aggregated side only.
+    A field occurs at most once per item, so rows count items. The input is read once: rows meet by item, and an
+    item adds a row of its own, without a field, to the counts.
     """
-    items = (
-        fields.groupBy(*keys, *item)
-        .agg(F.lit(1).alias("_one"))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("items"))
+    filled = F.struct(F.col("field"), (~is_missing(F.col("value"))).alias("filled"))
+    own = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(False).alias("filled")))
+    per_item = fields.where(F.col("field").isNotNull()).groupBy(*keys, *item).agg(F.collect_list(filled).alias("_f"))
+    counted = (
+        per_item.select(*keys, F.inline(F.concat(own, "_f")))
+        .groupBy(*keys, "field")
+        .agg(F.count(F.lit(1)).alias("with_field"), F.count_if("filled").alias("with_value"))
     )
-    carried = fields.groupBy(*keys, "field").agg(
-        F.count(F.lit(1)).alias("with_field"),
-        F.count_if(~is_missing(F.col("value"))).alias("with_value"),
-    )
-    return carried.join(items, keys).withColumns(
+    items = F.max(F.when(F.col("field").isNull(), F.col("with_field"))).over(Window.partitionBy(*keys))
+    carried = counted.withColumn("items", items).where(F.col("field").isNotNull())
+    return carried.withColumns(
         {
             "field_share": text.ratio(F.col("with_field"), F.col("items")),
             "value_share": text.ratio(F.col("with_value"), F.col("items")),

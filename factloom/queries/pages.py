@@ -350,20 +350,22 @@ def run_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM validated""",
 )
 def page_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage results kept as separate tables, put together again by page."""
-    flow = PageFlow()
-    pages = pages_of(spark, sf_dir)
-    admitted = F.col("reason").isNull()
-    profiles = flow.profile(flow.clean(pages), flow.cfg).where(admitted).select(
-        "page_id", "hypothesis.page_type", "hypothesis.source"
-    )
-    extracted = flow.extracted(pages).where(admitted)
+    """What each stage found, by page: one flow, in which a page's results lie in its row."""
     counts = count_fields(F.col("items"))
-    items = extracted.select("page_id", counts["n_items"].alias("n_items"), counts["total_fields"].alias("total_fields"))
-    outcomes = flow.validated(pages).where(admitted).select(
-        "page_id", F.length("formatted_markdown").cast("bigint").alias("markdown_chars"), "status"
+    return (
+        PageFlow()
+        .validated(pages_of(spark, sf_dir))
+        .where(F.col("reason").isNull())
+        .select(
+            "page_id",
+            "hypothesis.page_type",
+            "hypothesis.source",
+            counts["n_items"].alias("n_items"),
+            counts["total_fields"].alias("total_fields"),
+            F.length("formatted_markdown").cast("bigint").alias("markdown_chars"),
+            "status",
+        )
     )
-    return profiles.join(items, "page_id").join(outcomes, "page_id")
 
 
 _USAGE_SQL = f"""WITH {S.VALIDATED},

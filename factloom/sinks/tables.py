@@ -12,10 +12,11 @@ from factloom.operators.report import run_log
 
 REPORTS = "reports"
 DEBUG = "debug"
+#: The finished pages, HTML included, in folders by where they go: archive or errors.
 PAGES = "pages"
 LEDGER = "ledger"
 LOG = "run_log"
-FINISHED = "finished"
+FINISHED = PAGES
 
 
 def batch_folder(root: str, table: str, batch_id: int | str) -> str:
@@ -23,9 +24,9 @@ def batch_folder(root: str, table: str, batch_id: int | str) -> str:
 
 
 def write_finished(reports: DataFrame, root: str, batch_id: int | str) -> str:
-    """The finished page rows of one batch; the other tables are derived from what is written."""
+    """The finished page rows of one batch, the only copy of their HTML; the other tables are derived from it."""
     path = batch_folder(root, FINISHED, batch_id)
-    reports.write.mode("overwrite").parquet(path)
+    reports.write.mode("overwrite").partitionBy("disposition").parquet(path)
     return path
 
 
@@ -51,16 +52,6 @@ def write_debug(finished: DataFrame, root: str, batch_id: int | str) -> None:
     )
 
 
-def write_pages(finished: DataFrame, root: str, batch_id: int | str) -> None:
-    """Source pages, routed to the archive or to errors."""
-    (
-        finished.select("page_id", "path", "html", "status", "reason", "disposition")
-        .write.mode("overwrite")
-        .partitionBy("disposition")
-        .parquet(batch_folder(root, PAGES, batch_id))
-    )
-
-
 def write_ledger(priced: DataFrame, root: str, batch_id: int | str) -> None:
     """Ledger rows as CSV with a header, in the published layout."""
     (

@@ -26,13 +26,10 @@ def process_batch(pages: DataFrame, batch_id: int | str, root: str, flow: PageFl
     """
     spark = pages.sparkSession
     reports = flow.reports(pages, F.col("arrived_at"))
-    written = tables.write_finished(
-        reports.select(*[c for c in reports.columns if c not in ("arrived_at", "dominance")]), root, batch_id
-    )
-    finished = spark.read.parquet(written)
+    kept = reports.select(*[c for c in reports.columns if c not in ("arrived_at", "dominance")])
+    finished = spark.read.schema(kept.schema).parquet(tables.write_finished(kept, root, batch_id))
     tables.write_reports(finished, root, batch_id)
     tables.write_debug(finished, root, batch_id)
-    tables.write_pages(finished, root, batch_id)
     tables.write_log(finished, root, batch_id)
     priced = price_usage(stage_usage(finished, flow.cfg), price_list(spark, flow.cfg))
     tables.write_ledger(priced, root, batch_id)
