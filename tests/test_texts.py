@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import jsontext, text
+from factloom.operators.ledger import call_cost
 from factloom.operators.naming import base_name, source_part
 from factloom.operators.profile import page_class
+from factloom.operators.stats import price_statistics
 from factloom.operators.validate import data_quality, expected_number, extraction_status, found_ratio
 from factloom.config import EngineConfig
 
@@ -139,3 +142,14 @@ def test_json_items_keep_order_types_and_gaps(spark):
         ("a", '[1,{"z":2}]', "array"), ("t", "true", "boolean"), ("p", "499.99", "double"),
     ]
     assert rows[1][1][0][0].value == "x" and rows[2][1] == [] and rows[3][1] == []
+
+
+def test_one_long_number_does_not_end_the_job(spark):
+    rows = spark.createDataFrame([("k", "$5"), ("k", "123456789012345678"), ("k", None)], "key string, price string")
+    got = price_statistics(rows, ["key"], F.col("price")).first()
+    assert (got.items, got.priced, got.price_sum) == (3, 1, 5)
+
+
+def test_costs_are_exact(spark):
+    cost = call_cost(F.lit(7), F.lit(9), F.lit("0.001251"), F.lit("0.000001"))
+    assert spark.range(1).select(cost.alias("c")).first().c == Decimal("8.766E-9")
