@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 MARK = "▁"
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _UNIGRAM, _BPE = 1, 2
-_KEPT = 1 << 18
+_KEPT = 1 << 17
 _ROWS = 256
 _LONG = 64
 
@@ -251,8 +251,10 @@ def _kinds(df: DataFrame, columns: list[str]) -> str:
     return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
 
 
-def encode(docs: DataFrame, data: bytes, keep: list[str], text_col: str = "text") -> DataFrame:
-    """`keep` columns and `ids`, for every row."""
+def encode(
+    docs: DataFrame, data: bytes, keep: list[str], text_col: str = "text", read_back: bool = False
+) -> DataFrame:
+    """`keep` columns and `ids`, for every row; with `read_back` also `decoded`, read from the ids at once."""
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(data)
 
@@ -264,10 +266,14 @@ def encode(docs: DataFrame, data: bytes, keep: list[str], text_col: str = "text"
                 found = [model.encode(t) for t in batch.column(len(keep)).to_pylist()]
                 offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids], names=[*keep, "ids"])
+                columns, names = [*batch.columns[: len(keep)], ids], [*keep, "ids"]
+                if read_back:
+                    columns.append(pa.array([model.decode(f.tolist()) for f in found], pa.string()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(*keep, docs[text_col].alias("_text"))
-    return rows.mapInArrow(run, f"{_kinds(docs, keep)}ids array<int>")
+    return rows.mapInArrow(run, f"{_kinds(docs, keep)}ids array<int>" + ", decoded string" * read_back)
 
 
 def decode(rows: DataFrame, data: bytes, keep: list[str], ids_col: str = "ids") -> DataFrame:

@@ -198,8 +198,7 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 def in_pieces(docs: DataFrame, keep: list[str], model: str = PIECES) -> DataFrame:
     """`keep` columns, `ids`, and `decoded` from these ids."""
-    data = pieces.model_bytes(model)
-    return pieces.decode(pieces.encode(docs, data, keep), data, [*keep, "ids"])
+    return pieces.encode(docs, pieces.model_bytes(model), keep, read_back=True)
 
 
 @query("op3_sentencepiece")

@@ -54,6 +54,9 @@ def test_odd_rows(spark, pair):
     for r in rows:
         assert r["ids"] == pair[1].encode(r["text"] or "") and r["decoded"] == (r["text"] or "")
     assert in_pieces(documents(spark, []), ["doc_id"]).count() == 0
+    data = pieces.model_bytes(PIECES)
+    again = pieces.decode(pieces.encode(documents(spark, ODD), data, ["text"]), data, ["text"]).collect()
+    assert len(again) == len(ODD) and all(r["decoded"] == (r["text"] or "") for r in again)
 
 
 def field(number, value):
