@@ -11,8 +11,9 @@ grams of 32 bytes, by a hash (the leftmost of equal ones), and equal strings bel
    they are not all different, sorts the other suffixes by their first byte and the rank that follows, and merges the two;
 3. neighbours in that order are compared over `length` bytes.
 
-A gram with over `HOT` different blocks is not ordered in one task: its blocks are cut again by the next least gram of each
-string, counted again, and so on; after `LEVELS` grams, digests of the strings that are left are counted one by one. Texts above a segment's size are cut into segments that overlap by a string, for the first step alone.
+A gram with over `HOT` different blocks is not ordered in one task: its blocks are cut again by the next least gram of
+each string, counted again, and so on; after `LEVELS` grams, digests of the strings that are left are counted one by one.
+Texts above a segment's size are cut into segments that overlap by a string, for the first step alone.
 
 Edge cases: a null text counts as empty; a text shorter than a string keeps all bytes. Equal rows, of one id or several,
 repeat each other. A null id is an id like others. Kept bytes need not be valid UTF-8 and are binary. An empty table gives an
