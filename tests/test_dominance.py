@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
