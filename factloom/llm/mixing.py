@@ -73,11 +73,13 @@ def fit(
         after = written(raked, "cells")
         forget(now)
         now = after
-        # The last margin holds by construction; how far the first is off says when to stop.
-        have = now.groupBy(margins[0]).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have"))
-        off = F.max(F.abs(F.col("have") - F.col("share")))
-        gap = have.join(shares[margins[0]], margins[0]).agg(off).first()[0]
-        if gap is None or gap < tolerance:
+        # Raking one margin moves the others, so the largest gap of all of them says when to stop.
+        gaps = []
+        for margin in margins:
+            have = now.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have"))
+            off = F.max(F.abs(F.col("have") - F.col("share")))
+            gaps.append(have.join(shares[margin], margin).agg(off).first()[0])
+        if max((g for g in gaps if g is not None), default=0.0) < tolerance:
             break
     return now
 

@@ -56,6 +56,21 @@ def test_against_a_plain_fit(spark):
     assert abs(kept / total - 0.4) < 0.1
 
 
+@pytest.mark.parametrize("source", ["a", None])
+def test_three_margins_with_one_source(spark, source):
+    """The first margin holds from the start; the others still have to meet."""
+    cells = {("en", "prose"): 80, ("en", "table"): 5, ("de", "prose"): 5, ("de", "table"): 10}
+    rows = [(i, "w " * n, source, *c) for i, (c, n) in enumerate(cells.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    got = mixing.mix(docs, {m: docs[m] for m in ("source", "lang", "topic")}, alpha=0.7).collect()
+    for at, margin in enumerate(("lang", "topic")):
+        values = {c[at] for c in cells}
+        own = {v: sum(n for c, n in cells.items() if c[at] == v) ** 0.7 for v in values}
+        for v in values:
+            have = sum(r["mix"]["tokens"] * r["mix"]["weight"] for r in got if r[margin] == v)
+            assert have == pytest.approx(own[v] / sum(own.values()), abs=1e-6)
+
+
 def test_the_whole_budget_keeps_all(spark):
     assert all(r["mix"]["kept"] for r in mixed(spark, ROWS, budget=1.0))
 
