@@ -8,82 +8,19 @@ from pyspark.sql import functions as F
 from factloom.config import EngineConfig
 from factloom.functions import html as H
 from factloom.functions import jsontext, text
-from factloom.operators.profile import AMOUNT, LIST_ENTRY
+from factloom.operators.layouts import AMOUNT, ANCHOR, ANCHOR_TAG, ENTRY_END, chosen, counts, layouts
 from factloom.operators.structured import read_structured
 from factloom.schemas import ITEMS
 
-ENTRY_END = r"(?i)</(?:li|ul|ol)\s*>"
-ANCHOR = r"(?is)<a\s[^>]*(?:>|\z).*?(?:</a\s*>|\z)"
-ANCHOR_TAG = r"(?is)^<a\s[^>]*"
-HEADED_ENTRY = rf"(?i)<h[2-4]{H.TAG_END}"
-HEADING_END = r"(?i)</h[2-4]\s*>"
-ROW_ENTRY = rf"(?i)<tr{H.TAG_END}"
-ROW_END = r"(?i)</(?:tr|tbody|table)\s*>"
-
-
-def link_fields(entry: Column) -> Column:
-    """Fields of one list entry: title and link of its first anchor, and its first amount.
-
-    Empty when the anchor lacks a title or an address.
-    """
-    anchor = F.regexp_extract(entry, ANCHOR, 0)
-    link = H.attribute(F.regexp_extract(anchor, ANCHOR_TAG, 0), "href")
-    title = text.filled(H.plain_text(anchor))
-    amount = text.filled(F.regexp_extract(H.plain_text(entry), AMOUNT, 0))
-    fields = F.array(
-        jsontext.text_pair("title", title),
-        jsontext.text_pair("link", link),
-        jsontext.text_pair("price", amount),
-    )
-    present = F.filter(fields, lambda f: f["value"].isNotNull())
-    return F.when(title.isNotNull() & link.isNotNull(), present)
-
-
-def list_entries(clean_html: Column) -> Column:
-    """Texts of the list entries; closing tags may be missing and lists may be nested."""
-    parts = F.split(clean_html, LIST_ENTRY)
-    return F.transform(
-        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
-        lambda p: F.get(F.split(p, ENTRY_END, 2), F.lit(0)),
-    )
-
-
-def parts(clean_html: Column, opening: str) -> Column:
-    """What follows each opening tag, up to the next one."""
-    found = F.split(clean_html, opening)
-    return F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0)))
-
-
-def headed_entries(clean_html: Column) -> Column:
-    """Cards: a heading that holds a link, and all up to the next heading. Other headings end a card."""
-    linked = F.filter(parts(clean_html, HEADED_ENTRY), lambda p: F.get(F.split(p, HEADING_END, 2), F.lit(0)).rlike(ANCHOR))
-    return linked
-
-
-def row_entries(clean_html: Column) -> Column:
-    """Table rows that hold a link."""
-    rows = F.transform(parts(clean_html, ROW_ENTRY), lambda p: F.get(F.split(p, ROW_END, 2), F.lit(0)))
-    return F.filter(rows, lambda r: r.rlike(ANCHOR))
-
-
-def items_of(entries: Column) -> Column:
-    return F.filter(F.transform(entries, link_fields), lambda i: i.isNotNull())
-
 
 def extract_items(profiled: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Add `items` (ordered fields per item) and `shape` (`items` or `item`)."""
+    """Add `items` (ordered fields per item), `shape` (`items` or `item`) and `more_blocks`: another layout had more."""
     whole = F.col("clean_html")
     found = (
         read_structured(profiled)
-        .withColumn("_linked", items_of(list_entries(whole)))
-        .withColumn(
-            "_headed",
-            F.when(
-                F.size("_linked") < 2,
-                items_of(headed_entries(whole)),
-            ),
-        )
-        .withColumn("_rows", F.when(F.size("_linked") < 2, items_of(row_entries(whole))))
+        .withColumn("_layouts", layouts(whole))
+        .withColumn("_counts", counts(F.col("_layouts")))
+        .withColumn("_chosen", chosen(F.col("_counts")))
     )
     main = F.filter(
         F.array(
@@ -101,12 +38,14 @@ def extract_items(profiled: DataFrame, cfg: EngineConfig = EngineConfig()) -> Da
     items = (
         F.when(F.size("structured.items") > 0, F.col("structured.items"))
         .when(single, itself)
-        .when(F.size("_linked") > 1, F.col("_linked"))
-        .when(F.size("_headed") > F.coalesce(F.size("_rows"), F.lit(0)), F.col("_headed"))
-        .when(F.size("_rows") > 0, F.col("_rows"))
-        .when(F.size("_linked") > 0, F.col("_linked"))
+        .when(F.col("_chosen").isNotNull(), F.get(F.col("_layouts"), F.col("_chosen.at")))
+        .when(F.size(F.get("_layouts", F.lit(1))) > F.size(F.get("_layouts", F.lit(2))), F.get("_layouts", F.lit(1)))
+        .when(F.size(F.get("_layouts", F.lit(2))) > 0, F.get("_layouts", F.lit(2)))
+        .when(F.size(F.get("_layouts", F.lit(0))) > 0, F.get("_layouts", F.lit(0)))
         .otherwise(itself)
     )
+    most = F.array_max(F.transform("_counts", lambda c: c["n"]))
+    by_layout = ~single & (F.coalesce(F.size("structured.items"), F.lit(0)) <= 0)
     known = F.col("reason").isNull()
     return (
         found.withColumn("items", F.when(known, items.cast(ITEMS)))
@@ -114,7 +53,8 @@ def extract_items(profiled: DataFrame, cfg: EngineConfig = EngineConfig()) -> Da
             "shape",
             F.when(known, F.when(single & (F.size("items") == 1), F.lit("item")).otherwise(F.lit("items"))),
         )
-        .drop("_linked", "_headed", "_rows", "structured")
+        .withColumn("more_blocks", F.coalesce(known & by_layout & (most > F.col("_chosen.n")), F.lit(False)))
+        .drop("_layouts", "_counts", "_chosen", "structured")
     )
 
 

@@ -1,0 +1,97 @@
+"""Layouts of a list page: list entries, headed cards and linked table rows, and which of them holds the items."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from factloom.functions import html as H
+from factloom.functions import jsontext, text
+
+AMOUNT = r"(?:US )?[$€£]\s?[0-9][0-9,]*(?:\.[0-9]+)?"
+LIST_ENTRY = H.LIST_ENTRY
+ENTRY_END = r"(?i)</(?:li|ul|ol)\s*>"
+ANCHOR = r"(?is)<a\s[^>]*(?:>|\z).*?(?:</a\s*>|\z)"
+ANCHOR_TAG = r"(?is)^<a\s[^>]*"
+HEADED_ENTRY = rf"(?i)<h[2-4]{H.TAG_END}"
+HEADING_END = r"(?i)</h[2-4]\s*>"
+ROW_ENTRY = rf"(?i)<tr{H.TAG_END}"
+ROW_END = r"(?i)</(?:tr|tbody|table)\s*>"
+
+
+def link_fields(entry: Column) -> Column:
+    """Fields of one list entry: title and link of its first anchor, and its first amount.
+
+    Empty when the anchor lacks a title or an address.
+    """
+    anchor = F.regexp_extract(entry, ANCHOR, 0)
+    link = H.attribute(F.regexp_extract(anchor, ANCHOR_TAG, 0), "href")
+    title = text.filled(H.plain_text(anchor))
+    amount = text.filled(F.regexp_extract(H.plain_text(entry), AMOUNT, 0))
+    fields = F.array(
+        jsontext.text_pair("title", title),
+        jsontext.text_pair("link", link),
+        jsontext.text_pair("price", amount),
+    )
+    present = F.filter(fields, lambda f: f["value"].isNotNull())
+    return F.when(title.isNotNull() & link.isNotNull(), present)
+
+
+def list_entries(clean_html: Column) -> Column:
+    """Texts of the list entries; closing tags may be missing and lists may be nested."""
+    parts = F.split(clean_html, LIST_ENTRY)
+    return F.transform(
+        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+        lambda p: F.get(F.split(p, ENTRY_END, 2), F.lit(0)),
+    )
+
+
+def parts(clean_html: Column, opening: str) -> Column:
+    """What follows each opening tag, up to the next one."""
+    found = F.split(clean_html, opening)
+    return F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0)))
+
+
+def headed_entries(clean_html: Column) -> Column:
+    """Cards: a heading that holds a link, and all up to the next heading. Other headings end a card."""
+    linked = F.filter(parts(clean_html, HEADED_ENTRY), lambda p: F.get(F.split(p, HEADING_END, 2), F.lit(0)).rlike(ANCHOR))
+    return linked
+
+
+def row_entries(clean_html: Column) -> Column:
+    """Table rows that hold a link."""
+    rows = F.transform(parts(clean_html, ROW_ENTRY), lambda p: F.get(F.split(p, ROW_END, 2), F.lit(0)))
+    return F.filter(rows, lambda r: r.rlike(ANCHOR))
+
+
+def items_of(entries: Column) -> Column:
+    return F.filter(F.transform(entries, link_fields), lambda i: i.isNotNull())
+
+
+def layouts(clean_html: Column) -> Column:
+    """Items of each layout: list entries, headed cards, table rows."""
+    return F.array(*(items_of(f(clean_html)) for f in (list_entries, headed_entries, row_entries)))
+
+
+def counts(found: Column) -> Column:
+    """Per layout: `n` items, how many of them are `priced`, and `at`, its place."""
+
+    def priced(items: Column) -> Column:
+        return F.size(F.filter(items, lambda i: F.exists(i, lambda f: f["field"] == "price")))
+
+    return F.transform(found, lambda items, at: F.struct(F.size(items).alias("n"), priced(items).alias("priced"), at.alias("at")))
+
+
+def chosen(counted: Column) -> Column:
+    """The count of the layout that holds the items, among those with several: most priced items, then most items.
+
+    Of equals the earlier one; null where no layout repeats.
+    """
+    rank = F.transform(
+        F.filter(counted, lambda c: c["n"] >= 2),
+        lambda c: F.struct(
+            F.when(c["priced"] >= 2, c["priced"]).otherwise(0).alias("priced"), c["n"].alias("n"), (-c["at"]).alias("back")
+        ),
+    )
+    best = F.array_max(rank)
+    return F.when(best.isNotNull(), F.struct(best["n"].alias("n"), (-best["back"]).alias("at")))

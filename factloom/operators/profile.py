@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from factloom.config import EngineConfig
 from factloom.functions import html as H
 from factloom.functions import text
+from factloom.operators.layouts import AMOUNT, LIST_ENTRY, chosen, counts, layouts
 from factloom.operators.structured import read_structured
 
 PRICED = r"[$€£]\s?[0-9]"
-AMOUNT = r"(?:US )?[$€£]\s?[0-9][0-9,]*(?:\.[0-9]+)?"
-LIST_ENTRY = H.LIST_ENTRY
 HEADING_ENTRY = rf"(?i)<h1{H.TAG_END}"
 AUCTION = r"auction|\bbids?\b"
 SEARCH_URL = r"[?&](?:q|s|query|search)="
@@ -63,14 +62,20 @@ def profile_pages(cleaned: DataFrame, cfg: EngineConfig = EngineConfig()) -> Dat
             "title": H.title(F.col("html")),
             "_li": F.regexp_count(whole, F.lit(LIST_ENTRY)),
             "_blocks": H.repeated_blocks(whole),
+            "_chosen": chosen(counts(layouts(whole))),
             "_h1": F.regexp_count(whole, F.lit(HEADING_ENTRY)),
             "_priced": whole.rlike(PRICED),
             "_ld_count": F.coalesce(F.size("structured.items"), F.lit(0)),
         }
     )
     ld_count = F.col("_ld_count")
-    # List entries where there are several; else headed links or table rows, whichever repeat.
-    entries_seen = F.when(F.col("_li") >= 2, F.col("_li")).otherwise(F.greatest("_li", "_blocks"))
+    # The layout that extraction takes; list entries without a usable link count as expected ones.
+    repeated = F.when(F.col("_li") >= 2, F.col("_li")).otherwise(F.greatest("_li", "_blocks"))
+    entries_seen = (
+        F.when(F.col("_chosen.at") == 0, F.col("_li"))
+        .when(F.col("_chosen.at") > 0, F.greatest(F.col("_chosen.n"), F.col("_blocks")))
+        .otherwise(repeated)
+    )
     seen = F.lower(F.concat_ws(" ", F.col("_url"), F.col("title")))
     page_type = (
         F.when(F.col("structured.is_search"), F.lit("search results"))
@@ -107,5 +112,5 @@ def profile_pages(cleaned: DataFrame, cfg: EngineConfig = EngineConfig()) -> Dat
     )
     known = F.col("reason").isNull()
     return features.withColumn("hypothesis", F.when(known, hypothesis)).drop(
-        "_url", "_li", "_blocks", "_h1", "_priced", "_ld_count"
+        "_url", "_li", "_blocks", "_chosen", "_h1", "_priced", "_ld_count"
     )

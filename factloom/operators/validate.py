@@ -27,9 +27,11 @@ def found_ratio(expected: Column, actual: Column) -> Column:
     return F.when(expected > 0, actual / expected).otherwise(unnumbered)
 
 
-def data_quality(found: Column, missing_share: Column, cfg: EngineConfig) -> Column:
+def data_quality(found: Column, missing_share: Column, cfg: EngineConfig, more_blocks: Column | None = None) -> Column:
+    """`more_blocks`: another layout of the page had more blocks than the one taken; such a page is not excellent."""
+    whole = (found >= 1) & (missing_share <= cfg.excellent_max_missing)
     return (
-        F.when((found >= 1) & (missing_share <= cfg.excellent_max_missing), F.lit("excellent"))
+        F.when(whole if more_blocks is None else whole & ~more_blocks, F.lit("excellent"))
         .when(found >= cfg.good_min_ratio, F.lit("good"))
         .when(found >= cfg.fair_min_ratio, F.lit("fair"))
         .otherwise(F.lit("poor"))
@@ -74,6 +76,7 @@ def validate_pages(rendered: DataFrame, cfg: EngineConfig = EngineConfig()) -> D
     )
     found, share = F.col("_found"), F.col("_missing_share")
     known = F.col("items").isNotNull()
+    more_blocks = F.col("more_blocks") if "more_blocks" in rendered.columns else None
     measured = measured.withColumns(
         {
             "status": F.when(known, extraction_status(found, cfg)).otherwise(F.lit(FAILED)),
@@ -114,7 +117,7 @@ def validate_pages(rendered: DataFrame, cfg: EngineConfig = EngineConfig()) -> D
         good.alias("hypothesis_match"),
         expected_text.alias("expected_items"),
         F.coalesce(n, F.lit(0).cast("bigint")).alias("actual_items"),
-        F.when(known, data_quality(found, share, cfg)).otherwise(F.lit("poor")).alias("data_quality"),
+        F.when(known, data_quality(found, share, cfg, more_blocks)).otherwise(F.lit("poor")).alias("data_quality"),
         F.when(good, F.lit("all items formatted")).alias("completeness"),
         problem.alias("problem"),
         F.when(good, text.filled(F.col("_gaps"))).alias("notes"),

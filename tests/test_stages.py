@@ -78,6 +78,25 @@ def test_items_of_every_layout(spark, block):
     assert found == [{"title": f"Item {i}", "link": f"/{i}", "price": "$5"} for i in range(20)]
 
 
+CARD = '<h2><a href="/{0}">Item {0}</a></h2>{1}'
+ROW = '<tr><td><a href="/{0}">Item {0}</a></td><td>{1}</td></tr>'
+ENTRY = '<li><a href="/{0}">Item {0}</a>{1}</li>'
+MENU = '<ul>{}</ul>'
+
+
+def test_a_menu_does_not_hide_the_items(spark):
+    few = MENU.format("".join(f'<li><a href="/m{i}">Menu {i}</a></li>' for i in range(2)))
+    many = MENU.format("".join(f'<li><a href="/m{i}">Menu {i}</a></li>' for i in range(30)))
+    cases = [(menu, block, price) for block in (CARD, ROW) for menu, price in ((few, ""), (few, "$5"), (many, "$5"))]
+    cases.append((few.replace("<li>", "<h2>").replace("</li>", "</h2>"), ENTRY, "$5"))
+    docs = [("http://x.com/f", m + "".join(b.format(i, p) for i in range(20))) for m, b, p in cases]
+    for row, (menu, _, _) in zip(FLOW.validated(pages(spark, *docs)).orderBy("page_id").collect(), cases):
+        links = [next(f.value for f in item if f.field == "link") for item in row["items"]]
+        assert links == [f"/{i}" for i in range(20)]
+        assert row.hypothesis.item_count == "multiple (estimate 20)" and row.status == "success"
+        assert row.validation.data_quality == ("good" if menu == many else "excellent")
+
+
 def test_entities_are_read(spark):
     html = '<ul><li><a href="/1">AT&amp;T&nbsp;B</a> &#36;5</li><li><a href="/2">&amp;lt; two</a></li></ul>' + "x" * 1000
     items = FLOW.extracted(pages(spark, ("http://x.com/f", html))).first()["items"]
