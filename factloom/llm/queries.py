@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom.llm import (
     chat,
     exact,
+    filter_audit,
     mixing,
     neighbours,
     pieces,
@@ -228,3 +229,54 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op13_filter_audit",
+    r"""
+    WITH given AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+    ),
+    judged AS (
+      SELECT doc_id, part, concat(
+        CASE WHEN len(words) < 200 THEN 'A' END,
+        CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' END,
+        CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' END,
+        CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+        CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' END) AS fails
+      FROM given
+    ),
+    marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    cells AS (
+      SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic
+      FROM judged LEFT JOIN marks USING (doc_id) GROUP BY part, fails
+    ),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+    orders AS (
+      SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+      FROM letters a, letters b, letters c, letters d, letters e
+      WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+    ),
+    placed AS (SELECT filter_order, step, substr(filter_order, step, 1) AS l FROM orders, range(1, 6) s(step)),
+    counted AS (
+      SELECT part, filter_order, step::INT AS step, l,
+        sum(n) FILTER (first > step) AS kept, sum(n) FILTER (first = step) AS removed,
+        sum(n) FILTER (contains(fails, l) AND first < step) AS redundant,
+        sum(n) FILTER (fails = l) AS unique_fails,
+        sum(good) FILTER (first = step) AS good_lost, sum(toxic) FILTER (first = step) AS toxic_lost
+      FROM (
+        SELECT *, coalesce(list_min(list_transform(string_split(fails, ''), lambda f: CASE WHEN f <> '' THEN strpos(filter_order, f) END)), 9)
+          AS first
+        FROM cells, placed
+      ) GROUP BY part, filter_order, step, l
+    )
+    SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+      coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+      coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+      coalesce(sum(removed) OVER (PARTITION BY part, l), 0)::BIGINT AS shapley
+    FROM counted
+    """,
+)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
