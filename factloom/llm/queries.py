@@ -16,6 +16,7 @@ from factloom.llm import (
     pieces,
     recompression,
     simhash,
+    spelling,
     suffixes,
     toxicity,
     warc,
@@ -280,3 +281,57 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op12_spelling_variants",
+    r"""
+    WITH RECURSIVE entries AS (
+      SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT)
+        ORDER BY i) AS entry FROM range(256) r(i)
+    ),
+    runs AS (
+      SELECT doc_id, run, count(*) AS n FROM (
+        SELECT doc_id, unnest(regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+      ) WHERE length(run) >= 5 GROUP BY doc_id, run
+    ),
+    hashed AS (
+      SELECT run, n, xor(4294967295, list_reduce(
+        flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda ch:
+          CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE [192 + unicode(ch) // 64, 128 + unicode(ch) % 64] END)),
+        lambda c, b: xor(c >> 8, entry[(xor(c, b::BIGINT) & 255) + 1]), 4294967295)) AS h
+      FROM runs, entries
+    ),
+    words AS (
+      SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT n, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END
+          AS word FROM hashed
+      ) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+    ),
+    cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM words, range(1, length(word) + 1) r(i)),
+    near AS (
+      SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b USING (rest, i) WHERE a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+      UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+    ),
+    best AS (
+      SELECT word, count(*) AS n_near, max(other_n) AS most,
+        arg_min(other, struct_pack(x := -other_n, y := other)) AS other
+      FROM near GROUP BY word
+    ),
+    formed AS (
+      SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN other END AS form,
+        CASE WHEN most >= 2 * n THEN most END AS form_n
+      FROM words LEFT JOIN best USING (word)
+    ),
+    rooted AS (
+      SELECT word, word AS root FROM formed WHERE form IS NULL
+      UNION ALL SELECT f.word, r.root FROM formed f JOIN rooted r ON f.form = r.word
+    )
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN rooted USING (word)
+    """,
+)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(table(spark, sf_dir, "documents"), typo_every=97)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
