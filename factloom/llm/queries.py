@@ -11,6 +11,7 @@ from factloom.llm import (
     chat,
     exact,
     filter_audit,
+    language,
     mixing,
     neighbours,
     pieces,
@@ -335,3 +336,12 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spelling.variants(table(spark, sf_dir, "documents"), typo_every=97)
     return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op11_language_id")
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.identify(docs, model, ["doc_id"])
+    held_out = language.held_out(F.col("doc_id")).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "ambiguous")
