@@ -1,49 +1,11 @@
-"""Reading and cleaning HTML text with regular expressions.
-
-The patterns keep to the common subset of Java and RE2 syntax (no look-around, no back-references).
-They scan tags, they do not build a tree: a `>` inside an attribute value, or a block nested in a
-block of the same name, ends a match early.
-"""
+"""Single facts of an HTML text by regular expressions; what depends on nested tags is read by `functions.tags`."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Attributes and the end of a tag. A tag or an element that is never closed runs to the end of the
-# text; a page full of open tags is then read once and not once per tag.
-ATTRS = r"(?:[\s/][^>]*)?"
-TAG_END = rf"{ATTRS}(?:>|\z)"
-
-
-def element(name: str) -> str:
-    """Pattern of an element with its content, without the leading `<`."""
-    return rf"{name}{TAG_END}.*?(?:</{name}\s*>|\z)"
-
-
-# Alternatives are tried at the leftmost position, so a tag inside a comment stays part of the
-# comment and a comment mark inside a script stays part of the script. The shared `<` up front lets
-# the matcher leave all other characters after one comparison.
-NOISE = (
-    r"(?is)<(?:!--.*?(?:-->|\z)"
-    rf"|{element('script')}|{element('style')}"
-    r"|(?:svg|noscript|iframe)(?:\s[^>]*)?/>"
-    rf"|{element('svg')}|{element('noscript')}|{element('iframe')}"
-    rf"|/?(?:path|meta|link){TAG_END})"
-)
-NOISE_OPENING = rf"(?i)<(?:script|style|svg|path|noscript|iframe|meta|link){TAG_END}"
-INLINE_IMAGE = (
-    r"""(<[iI][mM][gG](?:[\s/][^<>]*?)?\s[sS][rR][cC]\s*=\s*)"""
-    r"""(?:"data:image[^"]*"|'data:image[^']*'|data:image[^\s>]*)"""
-)
-INLINE_IMAGE_MARK = "[BASE64_REMOVED]"
-BODY_START = rf"(?is)<body{TAG_END}.*"
-BODY_END = r"(?i)</body\s*>"
-TITLE = rf"(?i)<title{TAG_END}([^<]*)"
-HEADING_1 = rf"(?is)<h1{TAG_END}(.*?)(?:</h1\s*>|\z)"
-LIST_ENTRY = rf"(?i)<li{TAG_END}"
-HEADED_LINK = rf"(?is)<h[2-4]{TAG_END}(?:\s|<[^ah/][^<>]*>)*<a\s"
-LINKED_ROW = rf"(?is)<tr{TAG_END}(?:[^<]|<(?:/?t[dh]|img|b|i|span|div)[\s>])*<a\s"
+TITLE = r"(?i)<title(?:[\s/][^>]*)?(?:>|\z)([^<]*)"
 HOST = r"^https?://(?:www\.|m\.|blog\.)?([^/?#]+)"
 TAG = r"<[^<>]*>"
 # Entities and what they stand for.
@@ -54,47 +16,6 @@ ENTITIES = (
 )
 
 
-def noise_blocks(html: Column) -> Column:
-    """Every comment and every non-content element, as an array of their texts."""
-    return F.regexp_extract_all(html, F.lit(NOISE), F.lit(0))
-
-
-def strip_noise(html: Column) -> Column:
-    return F.regexp_replace(html, NOISE, "")
-
-
-def count_comments(blocks: Column) -> Column:
-    return F.size(F.filter(blocks, lambda b: b.startswith("<!--"))).cast("bigint")
-
-
-def count_tags(blocks: Column) -> Column:
-    """Removed elements, including those nested in a removed element (a path in an svg)."""
-
-    def in_block(block: Column) -> Column:
-        return (
-            F.when(block.startswith("<!--"), F.lit(0))
-            .when(block.rlike(r"(?i)^<(?:script|style)"), F.lit(1))
-            .otherwise(F.regexp_count(block, F.lit(NOISE_OPENING)))
-        )
-
-    return F.aggregate(blocks, F.lit(0), lambda acc, b: acc + in_block(b)).cast("bigint")
-
-
-def count_inline_images(html: Column) -> Column:
-    return F.regexp_count(html, F.lit(INLINE_IMAGE)).cast("bigint")
-
-
-def mask_inline_images(html: Column) -> Column:
-    """Replace the source of Base64 images and keep their other attributes."""
-    return F.regexp_replace(html, INLINE_IMAGE, f'$1"{INLINE_IMAGE_MARK}"')
-
-
-def body(html: Column) -> Column:
-    """From the body tag to before its end tag; from the start where there is no body tag."""
-    before_end = F.get(F.split(html, BODY_END, 2), F.lit(0))
-    return F.coalesce(F.nullif(F.regexp_extract(before_end, BODY_START, 0), F.lit("")), html)
-
-
 def plain_text(html: Column) -> Column:
     """Text without tags, common entities decoded, runs of white space as one space."""
     return F.trim(F.regexp_replace(decoded(F.regexp_replace(html, TAG, "")), r"\s+", " "))
@@ -107,20 +28,10 @@ def decoded(text: Column) -> Column:
     return text
 
 
-def repeated_blocks(html: Column) -> Column:
-    """How many headed links or linked table rows a page has: the larger number, zero for a single one of each."""
-    counts = [F.regexp_count(html, F.lit(pattern)) for pattern in (HEADED_LINK, LINKED_ROW)]
-    return F.greatest(*[F.when(n >= 2, n).otherwise(0) for n in counts])
-
-
 def title(html: Column) -> Column:
     return F.nullif(plain_text(F.regexp_extract(html, TITLE, 1)), F.lit(""))
 
 
-def heading(html: Column) -> Column:
-    return F.nullif(plain_text(F.regexp_extract(html, HEADING_1, 1)), F.lit(""))
-
-
 def host(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, HOST, 1), F.lit(""))
 

@@ -7,21 +7,10 @@ from pyspark.sql import functions as F
 
 from factloom.functions import jsontext
 
-SCRIPT = (
-    r"""(?is)^<script(?:\s[^>]*)?\stype\s*=\s*["']?application/ld\+json["']?(?:\s[^>]*)?>"""
-    r"""(.*?)(?:</script\s*>|\z)"""
-)
 _STRINGS = "array<string>"
 _NODE = "struct<`@type`:string,name:string,item:string,itemListElement:array<string>>"
 
 
-def texts(blocks: Column) -> Column:
-    """Well-formed JSON-LD texts among the removed blocks; a malformed block is skipped."""
-    scripts = F.filter(blocks, lambda b: b.rlike(SCRIPT))
-    bodies = F.transform(scripts, lambda b: F.btrim(F.regexp_extract(b, SCRIPT, 1), F.lit(" \t\r\n")))
-    return F.filter(bodies, lambda t: F.try_parse_json(t).isNotNull())
-
-
 def nodes(json_texts: Column) -> Column:
     """Top-level nodes, each parsed once: a block, the members of an array block, or of its graph."""
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.config import EngineConfig
-from factloom.functions import html as H
-from factloom.functions import jsonld, text
+from factloom.functions import text
 from factloom.operators.admit import SHORT_CLEAN, admit
+from factloom.operators.scan import scanned
 
 
 def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -23,48 +23,42 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, F.inline(F.array(packed)))
 
 
-def clean_pages(pages: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+def clean_pages(pages: DataFrame, cfg: EngineConfig = EngineConfig(), mined: bool = False) -> DataFrame:
     """Admit and clean. Quarantined pages keep their row, with null cleaning results.
 
-    Adds: clean_html, json_ld (well-formed texts), original_chars, clean_chars, original_size_kb,
+    Adds: clean_html, title, json_ld (well-formed texts), original_chars, clean_chars, original_size_kb,
     cleaned_size_kb, reduction_pct, estimated_tokens, removed_tags, removed_comments,
-    base64_images_removed; `reason` also covers pages with too little left.
+    base64_images_removed; `reason` also covers pages with too little left. With `mined`, also `blocks`, what the
+    page repeats, from the same pass.
     """
-    raw = F.when(F.col("reason").isNull(), F.col("html"))
-    scanned = (
-        admit(pages, cfg)
-        .withColumns({"_blocks": H.noise_blocks(raw), "_text": H.strip_noise(raw)})
+    admitted = admit(pages, cfg)
+    known = F.col("reason").isNull()
+    scan = computed_once(admitted, {"_page": scanned(F.when(known, F.col("html")), mined)})
+    page = F.when(known, F.col("_page"))
+    short = F.length(page["clean_html"]) < cfg.min_clean_chars
+    counts = ("removed_tags", "removed_comments", "base64_images_removed")
+    found = {
+        "clean_html": F.when(~short, page["clean_html"]),
+        "title": page["title"],
+        "json_ld": F.filter(page["json_ld"], lambda t: F.try_parse_json(t).isNotNull()),
+        **{c: page[c] for c in counts},
+    }
+    if mined:
+        found["blocks"] = F.when(~short, page["blocks"])
+    cleaned = scan.withColumns({**found, "reason": F.coalesce(F.col("reason"), F.when(short, F.lit(SHORT_CLEAN)))})
+    return (
+        cleaned.drop("_page")
         .withColumns(
             {
-                "removed_tags": H.count_tags(F.col("_blocks")),
-                "removed_comments": H.count_comments(F.col("_blocks")),
-                "json_ld": jsonld.texts(F.col("_blocks")),
-                "base64_images_removed": H.count_inline_images(F.col("_text")),
-                "_clean": H.body(H.mask_inline_images(F.col("_text"))),
+                "original_chars": F.length("html").cast("bigint"),
+                "clean_chars": F.length("clean_html").cast("bigint"),
+                "original_size_kb": text.kilobytes(F.col("html")),
+                "cleaned_size_kb": text.kilobytes(F.col("clean_html")),
+                "estimated_tokens": text.tokens(F.col("clean_html"), cfg.chars_per_token),
             }
         )
+        .withColumn("reduction_pct", reduction_pct(F.col("original_chars"), F.col("clean_chars")))
     )
-    short = F.length("_clean") < cfg.min_clean_chars
-    once = computed_once(
-        scanned,
-        {
-            "reason": F.coalesce(F.col("reason"), F.when(short, F.lit(SHORT_CLEAN))),
-            "clean_html": F.when(~short, F.col("_clean")),
-            "removed_tags": F.col("removed_tags"),
-            "removed_comments": F.col("removed_comments"),
-            "base64_images_removed": F.col("base64_images_removed"),
-            "json_ld": F.col("json_ld"),
-        },
-    ).drop("_blocks", "_text", "_clean")
-    return once.withColumns(
-        {
-            "original_chars": F.length("html").cast("bigint"),
-            "clean_chars": F.length("clean_html").cast("bigint"),
-            "original_size_kb": text.kilobytes(F.col("html")),
-            "cleaned_size_kb": text.kilobytes(F.col("clean_html")),
-            "estimated_tokens": text.tokens(F.col("clean_html"), cfg.chars_per_token),
-        }
-    ).withColumn("reduction_pct", reduction_pct(F.col("original_chars"), F.col("clean_chars")))
 
 
 def reduction_pct(before: Column, after: Column) -> Column:

@@ -2,50 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.config import EngineConfig
-from factloom.functions import html as H
-from factloom.functions import jsontext, text
-from factloom.operators.layouts import AMOUNT, ANCHOR, ANCHOR_TAG, ENTRY_END, chosen, counts, layouts
+from factloom.functions import jsontext
+from factloom.operators.profile import read_blocks
 from factloom.operators.structured import read_structured
 from factloom.schemas import ITEMS
 
 
 def extract_items(profiled: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Add `items` (ordered fields per item), `shape` (`items` or `item`) and `more_blocks`: another layout had more."""
-    whole = F.col("clean_html")
-    found = (
-        read_structured(profiled)
-        .withColumn("_layouts", layouts(whole))
-        .withColumn("_counts", counts(F.col("_layouts")))
-        .withColumn("_chosen", chosen(F.col("_counts")))
-    )
+    """Add `items` (ordered fields per item), `shape` (`items` or `item`) and `more_blocks`: blocks left out were more."""
+    found = read_blocks(read_structured(profiled))
     main = F.filter(
         F.array(
-            jsontext.text_pair("title", F.coalesce(H.heading(whole), F.col("title"))),
+            jsontext.text_pair("title", F.coalesce(F.col("blocks.heading"), F.col("title"))),
             jsontext.text_pair("link", F.col("url")),
-            jsontext.text_pair("price", text.filled(F.regexp_extract(H.plain_text(whole), AMOUNT, 0))),
+            jsontext.text_pair("price", F.col("blocks.price")),
         ),
         lambda f: f["value"].isNotNull(),
     )
     single = F.col("hypothesis.item_count") == "single"
-    # A page read as single, or one without entries, is its own item if it has a heading or title.
+    # A page read as single, or one without blocks, is its own item if it has a heading or title.
     itself = F.when(F.exists(main, lambda f: f["field"] == "title"), F.array(main)).otherwise(
         F.array().cast(ITEMS)
     )
     items = (
         F.when(F.size("structured.items") > 0, F.col("structured.items"))
-        .when(single, itself)
-        .when(F.col("_chosen").isNotNull(), F.get(F.col("_layouts"), F.col("_chosen.at")))
-        .when(F.size(F.get("_layouts", F.lit(1))) > F.size(F.get("_layouts", F.lit(2))), F.get("_layouts", F.lit(1)))
-        .when(F.size(F.get("_layouts", F.lit(2))) > 0, F.get("_layouts", F.lit(2)))
-        .when(F.size(F.get("_layouts", F.lit(0))) > 0, F.get("_layouts", F.lit(0)))
+        .when(~single & (F.size("blocks.items") > 0), F.col("blocks.items"))
         .otherwise(itself)
     )
-    most = F.array_max(F.transform("_counts", lambda c: c["n"]))
-    by_layout = ~single & (F.coalesce(F.size("structured.items"), F.lit(0)) <= 0)
+    by_blocks = ~single & (F.coalesce(F.size("structured.items"), F.lit(0)) <= 0)
     known = F.col("reason").isNull()
     return (
         found.withColumn("items", F.when(known, items.cast(ITEMS)))
@@ -53,8 +41,8 @@ def extract_items(profiled: DataFrame, cfg: EngineConfig = EngineConfig()) -> Da
             "shape",
             F.when(known, F.when(single & (F.size("items") == 1), F.lit("item")).otherwise(F.lit("items"))),
         )
-        .withColumn("more_blocks", F.coalesce(known & by_layout & (most > F.col("_chosen.n")), F.lit(False)))
-        .drop("_layouts", "_counts", "_chosen", "structured")
+        .withColumn("more_blocks", F.coalesce(known & by_blocks & F.col("blocks.more_blocks"), F.lit(False)))
+        .drop("blocks", "structured")
     )
 
 

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from factloom.config import EngineConfig
 from factloom.functions import html as H
 from factloom.functions import text
-from factloom.operators.layouts import AMOUNT, LIST_ENTRY, chosen, counts, layouts
+from factloom.operators.clean import computed_once
+from factloom.operators.scan import blocks_of
 from factloom.operators.structured import read_structured
 
 PRICED = r"[$€£]\s?[0-9]"
-HEADING_ENTRY = rf"(?i)<h1{H.TAG_END}"
 AUCTION = r"auction|\bbids?\b"
 SEARCH_URL = r"[?&](?:q|s|query|search)="
 PAGED_URL = r"[?&]page=[0-9]"
@@ -53,29 +53,29 @@ def stated_count(item_count: Column) -> Column:
     return F.when(says_multiple(item_count), F.lit(0)).otherwise(text.first_integer(item_count))
 
 
+def read_blocks(cleaned: DataFrame) -> DataFrame:
+    """Add `blocks` and `title`, unless the cleaning left them."""
+    if "title" not in cleaned.columns:
+        cleaned = cleaned.withColumn("title", H.title(F.col("html")))
+    if "blocks" in cleaned.columns:
+        return cleaned
+    found = computed_once(cleaned, {"_blocks": blocks_of(F.col("clean_html"))})
+    return found.withColumn("blocks", F.when(F.col("clean_html").isNotNull(), F.col("_blocks"))).drop("_blocks")
+
+
 def profile_pages(cleaned: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Add the `hypothesis` struct. Looks at the address, the title, JSON-LD and the whole page."""
-    whole = F.col("clean_html")
-    features = read_structured(cleaned).withColumns(
+    """Add the `hypothesis` struct. Looks at the address, the title, JSON-LD and what the whole page repeats."""
+    features = read_blocks(read_structured(cleaned)).withColumns(
         {
             "_url": F.coalesce(F.col("url"), H.declared_url(F.col("html"))),
-            "title": H.title(F.col("html")),
-            "_li": F.regexp_count(whole, F.lit(LIST_ENTRY)),
-            "_blocks": H.repeated_blocks(whole),
-            "_chosen": chosen(counts(layouts(whole))),
-            "_h1": F.regexp_count(whole, F.lit(HEADING_ENTRY)),
-            "_priced": whole.rlike(PRICED),
-            "_ld_count": F.coalesce(F.size("structured.items"), F.lit(0)),
+            "_priced": F.col("clean_html").rlike(PRICED),
+            "_ld_count": F.coalesce(F.size("structured.items"), F.lit(0)).cast("bigint"),
         }
     )
     ld_count = F.col("_ld_count")
-    # The layout that extraction takes; list entries without a usable link count as expected ones.
-    repeated = F.when(F.col("_li") >= 2, F.col("_li")).otherwise(F.greatest("_li", "_blocks"))
-    entries_seen = (
-        F.when(F.col("_chosen.at") == 0, F.col("_li"))
-        .when(F.col("_chosen.at") > 0, F.greatest(F.col("_chosen.n"), F.col("_blocks")))
-        .otherwise(repeated)
-    )
+    li, h1, expected = F.col("blocks.list_entries"), F.col("blocks.main_headings"), F.col("blocks.expected")
+    # All blocks of the runs that hold the items, also those without a usable link.
+    entries_seen = F.when(expected >= 2, expected).otherwise(F.greatest(li, expected))
     seen = F.lower(F.concat_ws(" ", F.col("_url"), F.col("title")))
     page_type = (
         F.when(F.col("structured.is_search"), F.lit("search results"))
@@ -84,7 +84,7 @@ def profile_pages(cleaned: DataFrame, cfg: EngineConfig = EngineConfig()) -> Dat
         .when(seen.rlike(AUCTION), F.lit("auction"))
         .when(F.lower("_url").rlike(SEARCH_URL), F.lit("search results"))
         .when((entries_seen >= 2) | F.lower("_url").rlike(PAGED_URL), F.lit("category listing"))
-        .when((F.col("_li") == 1) | (F.col("_h1") == 1), F.lit("single product"))
+        .when((li == 1) | (h1 == 1), F.lit("single product"))
         .otherwise(F.lit("unknown"))
     )
     entries = F.when(ld_count > 0, ld_count).otherwise(entries_seen)
@@ -92,6 +92,9 @@ def profile_pages(cleaned: DataFrame, cfg: EngineConfig = EngineConfig()) -> Dat
     rule_fields = F.when(F.col("_priced"), F.array(*map(F.lit, ("title", "link", "price")))).otherwise(
         F.array(*map(F.lit, ("title", "link")))
     )
+    # Fields that the blocks turn out to have, beyond those of every list.
+    named = F.flatten(F.transform("blocks.items", lambda i: F.transform(i, lambda f: f["field"])))
+    rule_fields = F.when(expected >= 2, F.array_union(rule_fields, named)).otherwise(rule_fields)
     hypothesis = F.struct(
         page_type.alias("page_type"),
         F.coalesce(H.host(F.col("_url")), F.lit("Unknown")).alias("source"),
@@ -107,10 +110,8 @@ def profile_pages(cleaned: DataFrame, cfg: EngineConfig = EngineConfig()) -> Dat
         .otherwise(F.lit("low"))
         .alias("confidence"),
         F.format_string(
-            "%d list entries, %d main headings, %d structured items", F.col("_li"), F.col("_h1"), ld_count
+            "%d list entries, %d main headings, %d structured items", li, h1, ld_count
         ).alias("notes"),
     )
     known = F.col("reason").isNull()
-    return features.withColumn("hypothesis", F.when(known, hypothesis)).drop(
-        "_url", "_li", "_blocks", "_chosen", "_h1", "_priced", "_ld_count"
-    )
+    return features.withColumn("hypothesis", F.when(known, hypothesis)).drop("_url", "_priced", "_ld_count")

@@ -41,11 +41,14 @@ class PageFlow:
     def clean(self, pages: DataFrame) -> DataFrame:
         return clean_pages(pages, self.cfg)
 
+    def profiled(self, pages: DataFrame) -> DataFrame:
+        """Clean pages with their hypothesis; the pass that cleans a page also finds its blocks."""
+        return self.profile(read_structured(clean_pages(pages, self.cfg, mined=True)), self.cfg)
+
     def extracted(self, pages: DataFrame) -> DataFrame:
         """Pages with hypothesis, items and shape, each computed once however often it is read."""
-        profiled = self.profile(read_structured(self.clean(pages)), self.cfg)
-        found = self.extract(computed_once(profiled, {"hypothesis": F.col("hypothesis")}), self.cfg)
-        return computed_once(found.drop("structured"), {"items": F.col("items"), "shape": F.col("shape")})
+        found = self.extract(computed_once(self.profiled(pages), {"hypothesis": F.col("hypothesis")}), self.cfg)
+        return computed_once(found.drop("structured", "blocks"), {"items": F.col("items"), "shape": F.col("shape")})
 
     def validated(self, pages: DataFrame) -> DataFrame:
         done = self.validate(self.render(self.extracted(pages), self.cfg), self.cfg)

@@ -2,9 +2,36 @@
 
 from __future__ import annotations
 
-from factloom.functions import html as H
-from factloom.operators import extract as X
-from factloom.operators import profile as P
+# The patterns of the oracle are its own: plain regular expressions, where the engine reads tags one by one. They hold
+# for pages without `>` in attribute values and without noise nested in its own kind.
+TAIL = r"(?:[\s/][^>]*)?(?:>|\z)"
+SPAN = r".*?(?:</{0}\s*>|\z)"
+NOISE_OPENING = rf"(?i)<(?:script|style|svg|path|noscript|iframe|meta|link){TAIL}"
+NOISE = (
+    r"(?is)<(?:!--.*?(?:-->|\z)|(?:svg|noscript|iframe)(?:\s[^>]*)?/>|"
+    + "|".join(name + TAIL + SPAN.format(name) for name in ("script", "style", "svg", "noscript", "iframe"))
+    + rf"|/?(?:path|meta|link){TAIL})"
+)
+INLINE_IMAGE = (
+    r"""(<[iI][mM][gG](?:[\s/][^<>]*?)?\s[sS][rR][cC]\s*=\s*)"""
+    r"""(?:"data:image[^"]*"|'data:image[^']*'|data:image[^\s>]*)"""
+)
+BODY_START = rf"(?is)<body{TAIL}.*"
+BODY_END = r"(?i)</body\s*>"
+TITLE = rf"(?i)<title{TAIL}([^<]*)"
+HEADING_1 = rf"(?is)<h1{TAIL}(.*?)(?:</h1\s*>|\z)"
+HEADING_ENTRY = rf"(?i)<h1{TAIL}"
+LIST_ENTRY = rf"(?i)<li{TAIL}"
+ENTRY_END = r"(?i)</(?:li|ul|ol)\s*>"
+ANCHOR = r"(?is)<a\s[^>]*(?:>|\z).*?(?:</a\s*>|\z)"
+ANCHOR_TAG = r"(?is)^<a\s[^>]*"
+SITE = r"^https?://(?:www\.|m\.|blog\.)?([^/?#]+)"
+AMOUNT = r"(?:US )?[$€£]\s?[0-9][0-9,]*(?:\.[0-9]+)?"
+PRICED = r"[$€£]\s?[0-9]"
+AUCTION = r"auction|\bbids?\b"
+SEARCH_URL = r"[?&](?:q|s|query|search)="
+PAGED_URL = r"[?&]page=[0-9]"
+FIRST_SEGMENT = r"^https?://[^/?#]+/([^/?#]+)"
 
 
 def q(pattern: str) -> str:
@@ -37,16 +64,16 @@ def cleaned_cte(source: str = "pages", min_bytes: int = 1000, prefix: str = "")
               WHEN length(html) < 100 THEN 'short_raw' END AS raw_reason
   FROM {source}),
 {prefix}stripped AS (
-  SELECT *, CASE WHEN raw_reason IS NULL THEN regexp_extract_all(html, {q(H.NOISE)}) END AS blocks,
-         CASE WHEN raw_reason IS NULL THEN regexp_replace(html, {q(H.NOISE)}, '', 'g') END AS txt
+  SELECT *, CASE WHEN raw_reason IS NULL THEN regexp_extract_all(html, {q(NOISE)}) END AS blocks,
+         CASE WHEN raw_reason IS NULL THEN regexp_replace(html, {q(NOISE)}, '', 'g') END AS txt
   FROM {prefix}scanned),
 {prefix}masked AS (
-  SELECT *, len(regexp_extract_all(txt, {q(H.INLINE_IMAGE)})) AS base64_images_removed,
-         regexp_replace(txt, {q(H.INLINE_IMAGE)}, '\\1"[BASE64_REMOVED]"', 'g') AS masked_html
+  SELECT *, len(regexp_extract_all(txt, {q(INLINE_IMAGE)})) AS base64_images_removed,
+         regexp_replace(txt, {q(INLINE_IMAGE)}, '\\1"[BASE64_REMOVED]"', 'g') AS masked_html
   FROM {prefix}stripped),
 {prefix}bodied AS (
-  SELECT *, coalesce(nullif(regexp_extract(regexp_split_to_array(masked_html, {q(H.BODY_END)})[1],
-                                           {q(H.BODY_START)}), ''), masked_html) AS body_html
+  SELECT *, coalesce(nullif(regexp_extract(regexp_split_to_array(masked_html, {q(BODY_END)})[1],
+                                           {q(BODY_START)}), ''), masked_html) AS body_html
   FROM {prefix}masked),
 {prefix}cleaned AS (
   SELECT * EXCLUDE (txt, masked_html, body_html, raw_reason),
@@ -55,30 +82,30 @@ def cleaned_cte(source: str = "pages", min_bytes: int = 1000, prefix: str = "")
          CASE WHEN blocks IS NOT NULL THEN coalesce(list_sum(list_transform(blocks, lambda b:
            CASE WHEN starts_with(b, '<!--') THEN 0
                 WHEN regexp_matches(b, '(?i)^<(?:script|style)') THEN 1
-                ELSE len(regexp_extract_all(b, {q(H.NOISE_OPENING)})) END)), 0)::BIGINT END AS removed_tags,
+                ELSE len(regexp_extract_all(b, {q(NOISE_OPENING)})) END)), 0)::BIGINT END AS removed_tags,
          len(list_filter(blocks, lambda b: starts_with(b, '<!--'))) AS removed_comments
   FROM {prefix}bodied)"""
 
 
-HOST = f"nullif(regexp_extract(url, {q(H.HOST)}, 1), '')"
+HOST = f"nullif(regexp_extract(url, {q(SITE)}, 1), '')"
 
 CLEANED = cleaned_cte()
 
 PROFILED = f"""{CLEANED},
 features AS (
-  SELECT *, nullif({plain(f"regexp_extract(html, {q(H.TITLE)}, 1)")}, '') AS title,
-         len(regexp_extract_all(clean_html, {q(P.LIST_ENTRY)})) AS li,
-         len(regexp_extract_all(clean_html, {q(P.HEADING_ENTRY)})) AS h1,
-         regexp_matches(clean_html, {q(P.PRICED)}) AS priced
+  SELECT *, nullif({plain(f"regexp_extract(html, {q(TITLE)}, 1)")}, '') AS title,
+         len(regexp_extract_all(clean_html, {q(LIST_ENTRY)})) AS li,
+         len(regexp_extract_all(clean_html, {q(HEADING_ENTRY)})) AS h1,
+         regexp_matches(clean_html, {q(PRICED)}) AS priced
   FROM cleaned WHERE reason IS NULL),
 profiled AS (
   SELECT *,
-    CASE WHEN regexp_matches(lower(concat_ws(' ', url, title)), {q(P.AUCTION)}) THEN 'auction'
-         WHEN regexp_matches(lower(url), {q(P.SEARCH_URL)}) THEN 'search results'
-         WHEN li >= 2 OR regexp_matches(lower(url), {q(P.PAGED_URL)}) THEN 'category listing'
+    CASE WHEN regexp_matches(lower(concat_ws(' ', url, title)), {q(AUCTION)}) THEN 'auction'
+         WHEN regexp_matches(lower(url), {q(SEARCH_URL)}) THEN 'search results'
+         WHEN li >= 2 OR regexp_matches(lower(url), {q(PAGED_URL)}) THEN 'category listing'
          WHEN li = 1 OR h1 = 1 THEN 'single product' ELSE 'unknown' END AS page_type,
     coalesce({HOST}, 'Unknown') AS source,
-    coalesce(nullif(regexp_extract(url, {q(P.FIRST_SEGMENT)}, 1), ''), '') AS category,
+    coalesce(nullif(regexp_extract(url, {q(FIRST_SEGMENT)}, 1), ''), '') AS category,
     CASE WHEN li >= 2 THEN 'multiple (estimate ' || li || ')' ELSE 'single' END AS item_count,
     CASE WHEN priced THEN 'title,link,price' ELSE 'title,link' END AS expected_fields,
     CASE WHEN li >= 3 THEN 'high' WHEN li >= 1 THEN 'medium' ELSE 'low' END AS confidence,
@@ -89,16 +116,16 @@ profiled AS (
 ITEMS = f"""{PROFILED},
 entries AS (
   SELECT page_id, part, n FROM (
-    SELECT page_id, unnest(regexp_split_to_array(clean_html, {q(P.LIST_ENTRY)})[2:]) AS part,
-           generate_subscripts(regexp_split_to_array(clean_html, {q(P.LIST_ENTRY)})[2:], 1) AS n
+    SELECT page_id, unnest(regexp_split_to_array(clean_html, {q(LIST_ENTRY)})[2:]) AS part,
+           generate_subscripts(regexp_split_to_array(clean_html, {q(LIST_ENTRY)})[2:], 1) AS n
     FROM profiled)),
 anchors AS (
-  SELECT page_id, n, regexp_extract(entry, {q(X.ANCHOR)}) AS anchor, entry FROM (
-    SELECT page_id, n, regexp_split_to_array(part, {q(X.ENTRY_END)})[1] AS entry FROM entries)),
+  SELECT page_id, n, regexp_extract(entry, {q(ANCHOR)}) AS anchor, entry FROM (
+    SELECT page_id, n, regexp_split_to_array(part, {q(ENTRY_END)})[1] AS entry FROM entries)),
 linked AS (
   SELECT page_id, n, nullif({plain("anchor")}, '') AS title,
-         {attribute(f"regexp_extract(anchor, {q(X.ANCHOR_TAG)})", "href")} AS link,
-         nullif(regexp_extract({plain("entry")}, {q(P.AMOUNT)}), '') AS price
+         {attribute(f"regexp_extract(anchor, {q(ANCHOR_TAG)})", "href")} AS link,
+         nullif(regexp_extract({plain("entry")}, {q(AMOUNT)}), '') AS price
   FROM anchors),
 from_links AS (
   SELECT p.page_id, row_number() OVER (PARTITION BY p.page_id ORDER BY n) - 1 AS pos,
@@ -107,8 +134,8 @@ from_links AS (
   WHERE l.title IS NOT NULL AND l.link IS NOT NULL AND p.item_count <> 'single'),
 from_page AS (
   SELECT page_id, 0 AS pos,
-         coalesce(nullif({plain(f"regexp_extract(clean_html, {q(H.HEADING_1)}, 1)")}, ''), title) AS title,
-         url AS link, nullif(regexp_extract({plain("clean_html")}, {q(P.AMOUNT)}), '') AS price,
+         coalesce(nullif({plain(f"regexp_extract(clean_html, {q(HEADING_1)}, 1)")}, ''), title) AS title,
+         url AS link, nullif(regexp_extract({plain("clean_html")}, {q(AMOUNT)}), '') AS price,
          CASE WHEN item_count = 'single' THEN 'item' ELSE 'items' END AS shape
   FROM profiled
   WHERE item_count = 'single' OR page_id NOT IN (SELECT page_id FROM from_links)),

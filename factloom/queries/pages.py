@@ -126,9 +126,7 @@ def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT page_id, page_type, source, category, item_count, expected_fields, confidence, notes FROM profiled""",
 )
 def page_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flow = PageFlow()
-    profiled = flow.profile(flow.clean(pages_of(spark, sf_dir)), flow.cfg)
-    return profiled.where(F.col("reason").isNull()).select(
+    return PageFlow().profiled(pages_of(spark, sf_dir)).where(F.col("reason").isNull()).select(
         "page_id", "hypothesis.page_type", "hypothesis.source", "hypothesis.category", "hypothesis.item_count",
         F.array_join("hypothesis.expected_fields", ",").alias("expected_fields"),
         "hypothesis.confidence", "hypothesis.notes",
@@ -486,8 +484,7 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM part""",
 )
 def product_page_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = PRODUCT_FLOW.clean(from_table(product_pages(spark, sf_dir)))
-    return PRODUCT_FLOW.profile(cleaned, PRODUCT_FLOW.cfg).select(
+    return PRODUCT_FLOW.profiled(from_table(product_pages(spark, sf_dir))).select(
         "page_id", F.size("json_ld").alias("json_ld_blocks"), "hypothesis.page_type", "hypothesis.source",
         "hypothesis.category", "hypothesis.item_count",
         F.array_join("hypothesis.expected_fields", ",").alias("expected_fields"), "hypothesis.confidence",
