@@ -1,15 +1,23 @@
 """Near copies by similarity: texts whose sets of word shingles have a Jaccard similarity of at least `least`.
 
-Candidates share one of `BANDS` keys, each of `DEPTH` minima of the hashed shingles. A pair of similarity s shares a key
-with probability 1 - (1 - s^DEPTH)^BANDS: 0.99997 at 0.8, and more above. Candidates are confirmed by the exact
-similarity of their shingles, in joins. A group is what confirmed links connect; its ends may be less alike.
+Groups of equal or close SimHash fingerprints (operator 5, over the same shingles) are compared first, each row with the smallest
+of its group. What is left is found by an exact prefix filter. All shingles are put into one order, rare ones first. Two sets that
+are similar enough have their first common shingle early in both: within the first n - ceil(least n) + 1 of the larger set, and
+within n - ceil(2 least n / (1 + least)) + 1 of the smaller one, its index. Rows meet under these shingles, pairs of
+unfitting sizes or places are left out, and every pair that remains is compared by its whole sets. Nothing similar is missed.
 
-The texts of a key are first compared with one of them, then, as long as that links anything, those not yet in one
-group with another one, and at last all pairs of different groups are. Nothing is capped, and many copies of one text
-cost one comparison each.
+Under a shingle, rows are first compared with one of them (`turns` times, a different one each time); groups that this
+connects are not compared inside. A group is what confirmed links connect; its ends may be less alike. Nothing is capped, and many
+copies of one text cost a few comparisons each.
+
+The order comes from counts of all shingles of the table in `BUCKETS` hash buckets, 4 bytes each, the only data that goes to every
+task. It decides how many rows meet, never what is found: texts that share a passage do not meet under it, as its shingles
+are frequent and stand last.
 
 Edge cases: words are those of `simhash.fingerprint`, in lower case ASCII; a text of fewer than `width` words is one
 shingle. Texts without words, null ones included, are copies of each other. Shingles are known by 64-bit hashes.
+Repeated ids are rows of their own, a null id never is the smallest of a group that has another id. Further columns are
+kept, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,13 +30,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm import simhash
 from factloom.llm.components import components
-from factloom.llm.shared import written
+from factloom.llm.shared import forget, written
 
-BANDS, DEPTH = 20, 4
-_SLICE = 1 << 13
-_RNG = np.random.RandomState(42)
-_FLIPS, _FACTORS = (_RNG.randint(0, 1 << 63, (BANDS * DEPTH, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in "ab")
+BUCKETS = 1 << 20
+#: Slices in which the counts of buckets travel, and ways in which a slice is first added up.
+_PARTS, _WAYS = 16, 16
+#: Hashes counted at a time.
+_HELD = 1 << 20
+#: How many ways the partners of one text are compared.
+_CHUNKS = 32
+#: A key is hot from this part of all rows on; there are no more such keys.
+_HOT = 10_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
@@ -45,105 +60,223 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((hashed(flat[a:b], 42) for a, b in spans), np.uint64))
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    """One key per band."""
-    least = np.full(BANDS * DEPTH, ~np.uint64(0))
-    for i in range(0, len(values), _SLICE):
-        least = np.minimum(least, ((values[i : i + _SLICE] ^ _FLIPS) * _FACTORS).min(axis=1))
-    rows = least.reshape(BANDS, DEPTH)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], np.uint64)
+def _bucket(values: np.ndarray) -> np.ndarray:
+    return ((values * _ODD) >> np.uint64(44)).astype(np.int64)
+
+
+def bucket_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """How many shingles of all texts (one column) fall into each bucket."""
+    kinds = "part int, way int, counts binary"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, held, n, way = np.zeros(BUCKETS, np.int64), [], 0, 0
+        for batch in batches:
+            for text in batch.column(0):
+                values = shingles(text.as_py(), width)
+                way = (way + int(values[0])) % _WAYS
+                held.append(_bucket(values))
+                n += len(values)
+                if n > _HELD:
+                    totals += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    held, n = [], 0
+        if held:
+            totals += np.bincount(np.concatenate(held), minlength=BUCKETS)
+        parts = np.minimum(totals, 0xFFFFFFFF).astype(np.uint32).reshape(_PARTS, -1)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(range(_PARTS), pa.int32()),
+                pa.array([way] * _PARTS, pa.int32()),
+                pa.array([p.tobytes() for p in parts], pa.binary()),
+            ],
+            names=["part", "way", "counts"],
+        )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
+        found = [np.minimum(s, 0xFFFFFFFF).astype(np.uint32).tobytes() for s in sums.values()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(sums, pa.int32()), pa.array([0] * len(sums), pa.int32()), pa.array(found, pa.binary())],
+            names=["part", "way", "counts"],
+        )
+
+    once = texts.mapInArrow(count, kinds).repartition("part", "way").mapInArrow(add, kinds)
+    out = np.zeros((_PARTS, BUCKETS // _PARTS), np.uint32)
+    for row in once.repartition("part").mapInArrow(add, kinds).collect():
+        out[row["part"]] = np.frombuffer(row["counts"], np.uint32)
+    return out.ravel()
 
 
-def _sketched(docs: DataFrame, keep: list[str], text_col: str, width: int) -> DataFrame:
-    """`keep` columns, the number of shingles and the keys of each row."""
+def _at_least(share: float, n):
+    """The smallest whole number that is `share` of n or more."""
+    return np.ceil(share * n - 1e-9)
+
+
+def first_shingles(values: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The shingles, rare ones first, among which the first one common with a similar set no larger must be."""
+    n = len(values) - int(_at_least(least, len(values))) + 1
+    return values[np.lexsort((values, counts[_bucket(values)]))[:n]]
+
+
+def _sketched(docs: DataFrame, keep: list[str], text_col: str, width: int, least: float, counts: np.ndarray) -> DataFrame:
+    """`keep` columns, the number of shingles, the first of them and the fingerprint of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = [], []
-            for text in batch.column(len(keep)).to_pylist():
-                values = shingles(text, width)
-                sizes.append(len(values))
-                keys.append(band_keys(values).view(np.int64))
-            offsets = np.arange(len(keys) + 1, dtype=np.int32) * BANDS
-            listed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(sizes, pa.int64()), listed], names=[*keep, "size", "bands"]
-            )
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
+                sizes, firsts, prints = [], [], []
+                for text in part.column(len(keep)).to_pylist():
+                    values = shingles(text, width)
+                    sizes.append(len(values))
+                    firsts.append(first_shingles(values, counts, least).view(np.int64))
+                    prints.append(simhash.fingerprint(text, width))
+                ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts) if firsts else np.empty(0, np.int64)))
+                found = [pa.array(sizes, pa.int64()), listed, pa.array(np.array(prints, np.uint64).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[: len(keep)], *found], names=[*keep, "size", "firsts", "fingerprint"]
+                )
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, docs[text_col].alias("_text")).mapInArrow(run, f"{kinds}size long, bands array<long>")
+    rows = docs.select(*keep, docs[text_col].alias("_text"))
+    return rows.mapInArrow(run, f"{kinds}size long, firsts array<long>, fingerprint long")
+
 
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts, rows of (node, text), are that similar.
 
-def _bodies(texts: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of rows of (node, text)."""
+    A text travels once for each pair it is the second of, and at most `_CHUNKS` times as the first; the partners
+    of a text stream past its set, so a text with very many of them needs no more memory.
+    """
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(_CHUNKS)).alias("chunk"))
+    firsts = dealt.select("a", "chunk").distinct().join(texts.withColumnRenamed("node", "a"), "a")
+    seconds = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "chunk", "b", "text")
+    both = firsts.select("a", "chunk", F.lit(None).cast("long").alias("b"), "text").unionByName(seconds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.empty(0, np.uint64)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                values = [pa.array(shingles(t, width).view(np.int64)) for t in part.column(1).to_pylist()]
-                offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(offsets, pa.concat_arrays(values))
-                yield pa.RecordBatch.from_arrays([part.column(0), listed], names=["node", "shingles"])
+            found = []
+            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                values = shingles(text.as_py(), width)
+                if b is None:
+                    first = values
+                    continue
+                common = len(np.intersect1d(first, values, assume_unique=True))
+                if common >= _at_least(least, len(first) + len(values) - common):
+                    found.append((a, b))
+            columns = [pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+    sorted_rows = both.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    return sorted_rows.mapInArrow(run, "a long, b long")
 
-    return texts.mapInArrow(run, "node long, shingles array<long>")
 
+def _fits(least: float) -> Column:
+    """Whether the sets of a row and of another one (`other_` columns) may be similar, by their sizes and this common shingle's places."""
+    small, large = F.least("size", "other_size"), F.greatest("size", "other_size")
+    needed = F.ceil(F.lit(least / (1 + least)) * (small + large) - F.lit(1e-9))
+    left = F.least(F.col("size") - F.col("pos"), F.col("other_size") - F.col("other_pos"))
+    indexed = F.when(F.col("size") <= F.col("other_size"), F.col("indexed")).otherwise(F.lit(False)) | F.when(
+        F.col("size") >= F.col("other_size"), F.col("other_indexed")
+    ).otherwise(F.lit(False))
+    return indexed & (left >= needed) & (small + F.lit(1e-9) >= F.lit(least) * large)
 
-def _alike(both: Column, a: Column, b: Column, least: float) -> Column:
-    return both + F.lit(1e-9) >= F.lit(least) * (a + b - both)
 
+_PLACED = ("node", "size", "pos", "indexed", "root")
 
-def _confirmed(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are that similar."""
-    first = bodies.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    second = bodies.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    found = pairs.join(second, "b").join(first, "a").where(_alike(both, F.size("sa"), F.size("sb"), least))
-    return found.select("a", "b")
 
+def _other(rows: DataFrame) -> DataFrame:
+    return rows.select("key", *(F.col(c).alias(f"other_{c}") for c in _PLACED))
+
+
+def _by_key(rows: DataFrame, keyed: DataFrame, total: int) -> DataFrame:
+    """`rows` joined to `keyed` (one row for each key, `n` rows under it); hot keys, at most `_HOT`, by broadcast."""
+    hot = F.col("n") * _HOT >= max(total, _HOT)
+    warm = keyed.where(hot)
+    cold = rows.join(F.broadcast(warm.select("key")), "key", "left_anti").join(keyed.where(~hot), "key")
+    return rows.join(F.broadcast(warm), "key").unionByName(cold)
+
+
+def _met(members: DataFrame, turn: int) -> DataFrame:
+    """Per key that joins several groups: its rows `n` and one indexed member, another one each turn."""
+    order = F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("order"), *_PLACED)
+    keyed = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("root").alias("low"),
+        F.max("root").alias("high"),
+        F.min(F.when(F.col("indexed"), order)).alias("hub"),
+    )
+    mixed = keyed.where((F.col("low") < F.col("high")) & F.col("hub").isNotNull())
+    return mixed.select("key", "n", *(F.col(f"hub.{c}").alias(f"other_{c}") for c in _PLACED))
 
-def _fits(least: float) -> Column:
-    """Whether two sets of these sizes can be that similar."""
-    return F.least("size", "other_size") + F.lit(1e-9) >= F.lit(least) * F.greatest("size", "other_size")
 
+def _sorted_pair() -> list[Column]:
+    return [F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")]
 
-def _pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Different pairs of members of a key that are not in one group yet."""
-    other = right.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "size", "root")))
-    met = left.join(other, "key").where((F.col("root") != F.col("other_root")) & _fits(least))
-    return met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
 
+def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    rows = members.select("key", "node", "size", "pos", "indexed")
+    if roots is None:
+        return rows.withColumn("root", F.col("node"))
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", *_PLACED)
 
-def links(members: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
-    """(node, root) of all nodes linked by confirmed pairs; `members` has (key, node, size)."""
-    found, turn = None, 0
-    roots = None
-    while True:
-        rooted = members.withColumn("root", F.col("node"))
+
+def linked(members: DataFrame, texts: DataFrame, first_pairs: DataFrame, width: int, least: float, turns: int = 2) -> DataFrame:
+    """(node, root) of all nodes that confirmed links connect.
+
+    `members` are the rows (key, node, size, pos, indexed) under shared keys, `first_pairs` (a, b) are compared beforehand.
+    """
+    found, roots, spent = [], None, []
+
+    def confirm(pairs: DataFrame) -> bool:
+        nonlocal roots
+        asked = written(pairs, "pairs")
+        new = written(confirmed(asked, texts, width, least), "confirmed")
+        forget(asked)
+        if new.isEmpty():
+            return False
+        found.append(new)
+        every = found[0]
+        for more in found[1:]:
+            every = every.unionByName(more)
         if roots is not None:
-            rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rooted = written(rooted.select("key", "node", "size", "root"), "members")
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        mixed = written(mixed.where("low < high").select("key"), "mixed-keys")
-        if turn and mixed.isEmpty():
-            return roots
-        rooted = written(rooted.join(mixed, "key", "left_semi"), "mixed-members")
-        last = turn < 0
-        if last:
-            pairs = _pairs(rooted, rooted, least)
-        else:
-            # The first hub is the smallest node, the same under all keys; later ones differ from turn to turn.
-            order = F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("order"), "node", "size", "root")
-            hubs = written(rooted.groupBy("key").agg(F.min(order).alias("hub")).select("key", "hub.node", "hub.size", "hub.root"), "hubs")
-            pairs = _pairs(rooted, hubs, least)
-        new = written(_confirmed(written(pairs, "pairs"), bodies, least), "confirmed")
-        none = new.isEmpty()
-        found = new if found is None else found.unionByName(new)
-        if roots is None or not none:
-            roots = written(components(found), "roots")
-        if last:
-            return roots
-        turn = -1 if none else turn + 1
+            spent.append(roots)
+        roots = written(components(every), "roots")
+        return True
+
+    confirm(first_pairs)
+    rows = written(_rooted(members, roots), "members")
+    for turn in range(turns):
+        keyed = written(_met(rows, turn), "keys")
+        total = rows.count()
+        met = _by_key(rows, keyed, total).where((F.col("root") != F.col("other_root")) & _fits(least))
+        # One pair for each row and turn.
+        one = met.groupBy("node").agg(F.min("other_node").alias("other_node")).select(*_sorted_pair()).distinct()
+        if not confirm(one):
+            forget(keyed)
+            break
+        fewer = written(_rooted(_by_key(rows, keyed.select("key", "n"), total).drop("n"), roots), "members")
+        forget(rows, keyed)
+        rows = fewer
+    keyed = written(_met(rows, 0), "keys")
+    left = written(_by_key(rows, keyed.select("key", "n"), rows.count()).drop("n"), "members")
+    met = left.where("indexed").join(_other(left), "key").where(
+        (F.col("size") <= F.col("other_size")) & (F.col("root") != F.col("other_root")) & _fits(least)
+    )
+    confirm(met.select(*_sorted_pair()).distinct())
+    forget(rows, keyed, left, *found, *spent)
+    return roots if roots is not None else members.select("node", F.col("node").alias("root")).limit(0)
+
+
+def _members(rows: DataFrame, least: float) -> DataFrame:
+    """(key, node, size, pos, indexed): the first shingles of each row."""
+    dealt = rows.select("node", "size", F.posexplode("firsts").alias("pos", "key"))
+    last = F.col("size") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("size") - F.lit(1e-9))
+    return dealt.withColumn("indexed", F.col("pos") <= last).select("key", "node", "size", "pos", "indexed")
 
 
 def kept_rows(
@@ -151,31 +284,40 @@ def kept_rows(
 ) -> DataFrame:
     """One whole row of each group: that with the smallest id; of several, that with the smallest digest of id and text.
 
-    Rows of equal id and text are one row. A null id never is the smallest of a group that has another id.
+    Rows of equal id and text are one row. Whole rows move once, by their digest.
     """
     key = f"_key_{len(docs.columns)}"
     given = F.concat_ws("|", F.coalesce(docs[id_col].cast("string"), F.lit("null")), F.coalesce(docs[text_col], F.lit("")))
     keyed = docs.withColumn(key, F.sha2(given.cast("binary"), 256))
-    sketched = _sketched(keyed.select(id_col, key, text_col), [id_col, key], text_col, width)
+    counts = bucket_counts(docs.select(docs[text_col].alias("text")), width)
+    sketched = _sketched(keyed.select(id_col, key, text_col), [id_col, key], text_col, width, least, counts)
     # Numbers are given before the table is written, and read from it ever after.
     rows = written(
         sketched.select(
-            F.col(id_col).alias("id"), F.col(key).alias("digest"), "size", "bands", F.monotonically_increasing_id().alias("node")
+            F.col(id_col).alias("id"), F.col(key).alias("digest"), "size", "firsts", "fingerprint",
+            F.monotonically_increasing_id().alias("node"),
         ),
         "sketches",
+    )
+    near = written(simhash.grouped(rows.select("node", "fingerprint"), "node"), "near")
+    close = near.where("node <> component_id").select(F.col("component_id").alias("a"), F.col("node").alias("b"))
+    dealt = _members(rows, least)
+    several = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("indexed").alias("indexed")).where("n > 1 AND indexed")
+    several = written(several.select("key", "n"), "shared-keys")
+    total = rows.agg(F.sum(F.size("firsts"))).first()[0] or 0
+    members = written(_by_key(dealt, several, total).drop("n"), "members")
+    met = written(
+        members.select("node").union(close.select("a")).union(close.select("b")).distinct(), "met"
     )
-    dealt = rows.select("node", "size", F.explode("bands").alias("key"))
-    shared_keys = written(dealt.groupBy("key").count().where("count > 1").select("key"), "shared-keys")
-    members = written(dealt.join(shared_keys, "key", "left_semi"), "members")
-    named = written(rows.join(members.select("node").distinct(), "node", "left_semi").select("node", "id", "digest"), "named")
-    text = docs[text_col].alias("text")
-    texts = keyed.select(F.col(key).alias("digest"), text).join(named.select("digest").distinct(), "digest", "left_semi")
-    texts = texts.dropDuplicates(["digest"]).join(named.select("digest", "node"), "digest")
-    bodies = written(_bodies(texts.select("node", "text"), width), "bodies")
-    roots = links(members, bodies, least)
+    named = written(rows.join(met, "node", "left_semi").select("node", "id", "digest"), "named")
+    texts = keyed.select(F.col(key).alias("digest"), docs[text_col].alias("text"))
+    texts = texts.join(named.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    texts = written(texts.join(named.select("digest", "node"), "digest").select("node", "text"), "texts")
+    roots = linked(members, texts, close, width, least)
     grouped = written(named.join(roots, "node"), "grouped")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("digest")))
-    winners = written(grouped.groupBy("root").agg(first.alias("first")).select("root", "first.digest"), "winners")
-    losers = grouped.select("digest").distinct().join(winners.select("digest"), "digest", "left_anti")
+    winners = grouped.groupBy("root").agg(first.alias("first")).select("first.digest")
+    losers = grouped.select("digest").distinct().join(winners, "digest", "left_anti")
     losers = written(losers.select(F.col("digest").alias(key)), "losers")
+    forget(rows, near, several, members, met, named, texts, grouped)
     return keyed.dropDuplicates([key]).join(losers, key, "left_anti").select(*docs.columns)

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Where a local session that names no checkpoint folder keeps its tables.
+OWN_FOLDER = "spark.factloom.shared.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: `spark.checkpoint.dir`, else the session's `OWN_FOLDER`.
+
+    A local session without either gets a temporary folder; elsewhere no folder is known to be shared.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set spark.checkpoint.dir or {OWN_FOLDER} to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.conf.set(OWN_FOLDER, root)
     return root.rstrip("/")
 
 
@@ -24,26 +32,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a table in the shared folder: a lost executor costs no recomputation."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    _release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished plans now, not when the driver's memory next runs short."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
+    """The same rows, read from a table in the shared folder: a lost executor costs no recomputation.
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a `written` table that no later plan reads."""
+    Shuffle files of the plan that wrote it go when it ends.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for parent in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path, before = fresh_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of `written` tables that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for parent in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def salts(spark: SparkSession) -> int:

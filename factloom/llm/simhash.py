@@ -225,6 +225,11 @@ def near_groups(
 ) -> DataFrame:
     """(id, `fingerprint` as a long, `component_id`): the smallest id reachable over links, the row's own included."""
     prints = written(fingerprints(docs.select(id_col, text_col), [id_col], text_col, width), "fingerprints")
+    return grouped(prints, id_col, radius)
+
+
+def grouped(prints: DataFrame, id_col: str, radius: int = 3) -> DataFrame:
+    """`near_groups` of rows (id, fingerprint) of a written table."""
     values = written(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "values")
     return prints.join(_groups(values, radius), "fingerprint").select(id_col, "fingerprint", "component_id")
 

@@ -3,7 +3,9 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from factloom.llm import nearcopies
@@ -68,28 +70,82 @@ def test_stage_drops_near_copies_and_nothing_else(spark):
 
 
 def test_one_key_with_many_groups(spark):
-    """A chain, two groups and single texts under one key: each pair of groups is compared."""
+    """A chain, two groups and single texts that share most shingles: each pair of groups is compared."""
     rng = random.Random(2)
     words = [f"w{i}" for i in range(100)]
     rows = [(100, " ".join(words))]
     for i in range(12):
         rows.append((i, " ".join(changed(rng, words, 0.7, 0.9))))
     rows += [(50 + i, " ".join(changed(rng, words[:75] + [f"v{j}" for j in range(25)], 0.7, 0.95))) for i in range(12)]
-    sets = [plain_set(t) for _, t in rows]
-    ids = {s: n for n, s in enumerate(sorted(set().union(*sets)))}
-    members = spark.createDataFrame([(7, i, len(s)) for i, s in enumerate(sets)], "key long, node long, size long")
-    bodies = spark.createDataFrame([(i, [ids[x] for x in s]) for i, s in enumerate(sets)], "node long, shingles array<long>")
-    root = {r["node"]: r["root"] for r in nearcopies.links(members, bodies, 0.8).collect()}
-    groups = {}
-    for i in range(len(rows)):
-        groups.setdefault(root.get(i, i), []).append(rows[i][0])
-    assert sorted(map(min, groups.values())) == plain_kept(rows)
+    got = nearcopies.kept_rows(documents(spark, rows))
+    assert sorted(r["doc_id"] for r in got.collect()) == plain_kept(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_families_of_borderline_copies(spark, seed, monkeypatch):
+    """Copies of copies around the threshold, of several lengths; fingerprints link none of them beforehand."""
+    monkeypatch.setattr(nearcopies.simhash, "fingerprint", lambda text, width: xxhash.xxh64_intdigest(text or ""))
+    rng = random.Random(seed)
+    rows = []
+    for family in range(6):
+        texts = [[f"f{family}w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 150, 300]))]]
+        for _ in range(14):
+            words = list(rng.choice(texts))
+            for _ in range(rng.choice([1, 2, 3])):
+                at = rng.randrange(len(words))
+                span = rng.choice([0, 1, len(words) // 16])
+                words[at : at + span] = [f"x{rng.randrange(10**9)}" for _ in range(rng.choice([0, 1, span]))]
+            texts.append(words)
+        rows += [(len(rows) + i, " ".join(w)) for i, w in enumerate(texts)]
+    pairs = [similarity(a[1], b[1]) for a, b in itertools.combinations(rows, 2)]
+    assert sum(0.75 < s < 0.85 for s in pairs) > 20
+    got = nearcopies.kept_rows(documents(spark, rows))
+    assert sorted(r["doc_id"] for r in got.collect()) == plain_kept(rows)
+
+
+def test_rows_meet_only_where_they_may_be_similar(spark):
+    """Many texts with a passage in common do not meet, and a group of equal sets costs a pair for each row."""
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = [" ".join(own(50) + passage + own(50)) for _ in range(80)]
+    counts = np.zeros(nearcopies.BUCKETS, np.uint32)
+    for text in texts:
+        np.add.at(counts, nearcopies._bucket(nearcopies.shingles(text)), 1)
+    shared = nearcopies.shingles(" ".join(passage))
+    firsts = [nearcopies.first_shingles(nearcopies.shingles(t), counts, 0.8) for t in texts]
+    assert not any(np.isin(f, shared).any() for f in firsts)
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 0.95])
+def test_similar_sets_share_a_first_shingle(least):
+    rng = np.random.RandomState(7)
+    counts = rng.randint(0, 4, nearcopies.BUCKETS).astype(np.uint32)
+    for _ in range(300):
+        n = rng.randint(1, 60)
+        a = np.unique(rng.randint(0, 2**62, n).astype(np.uint64))
+        drop, add = rng.randint(0, n // 3 + 1, 2)
+        b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.randint(0, 2**62, add).astype(np.uint64))))
+        common = len(np.intersect1d(a, b))
+        if not len(b) or common < least * (len(a) + len(b) - common) - 1e-9:
+            continue
+        small, large = sorted((a, b), key=len)
+        index = nearcopies.first_shingles(small, counts, least)
+        index = index[: len(small) - int(np.ceil(2 * least / (1 + least) * len(small) - 1e-9)) + 1]
+        assert np.isin(index, nearcopies.first_shingles(large, counts, least)).any()
+
+
+def test_counts_of_buckets(spark):
+    rows = planted()
+    expected = np.zeros(nearcopies.BUCKETS, np.int64)
+    for _, text in rows:
+        np.add.at(expected, nearcopies._bucket(nearcopies.shingles(text)), 1)
+    assert (nearcopies.bucket_counts(documents(spark, rows).select("text"), 5) == expected).all()
 
 
 @pytest.mark.parametrize("text", [None, "", "a", "A b c", "one TWO three four five six", "word " * 70000])
 def test_shingles(text):
     assert len(nearcopies.shingles(text)) == len(plain_set(text))
-    assert len(nearcopies.band_keys(nearcopies.shingles(text))) == nearcopies.BANDS
 
 
 def test_odd_rows(spark):
