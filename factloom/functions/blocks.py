@@ -58,6 +58,13 @@ _AROUND_PRICE = re.compile(r"(?i)^(?:from|now|only|price|buy|for|each|usd|us|as
 _WORD = re.compile(r"[^a-z0-9]+")
 
 
+def first_amount(texts: list[str]) -> str:
+    """The first amount of money in texts that follow each other; one that tags cut through is read over them."""
+    whole = next((found[0] for found in map(AMOUNT.search, texts) if found), "")
+    across = "" if whole else AMOUNT.search(" ".join("".join(texts).split()))
+    return whole or (across[0] if across else "")
+
+
 class Blocks:
     """The blocks of one page. `items` are (start, end, run) of those that hold the items, `expected` is how many there should be."""
 
@@ -70,8 +77,10 @@ class Blocks:
         self.priced = [
             start for (_, start, _), t in zip(page.texts, read) if ("$" in t or "€" in t or "£" in t) and AMOUNT.search(t)
         ]
-        named = lambda *names: [page.starts[i] for i, n in enumerate(page.names) if n in names]
-        self.images, self.cells = named("img"), named("td", "th")
+        self.pictures = [i for i, n in enumerate(page.names) if n == "img"]
+        self.images = [page.starts[i] for i in self.pictures]
+        self.headings = [i for i, n in enumerate(page.names) if n in HEADINGS]
+        self.cells = [page.starts[i] for i, n in enumerate(page.names) if n in ("td", "th")]
         self.link_places: list[int] = []
         self.links: list[int] = []
         self.runs: dict[int, dict] = {}
@@ -113,6 +122,12 @@ class Blocks:
         kinds = sorted((self.kind(s, e) for s, e, _ in items), reverse=True)
         return kinds[1] if len(kinds) > 1 else BARE
 
+    def picture(self, start: int, end: int) -> str:
+        """The tag of the first image in a stretch; empty where there is none."""
+        first = bisect_left(self.images, start)
+        inside = first < len(self.images) and self.images[first] < end
+        return self.page.tag(self.pictures[first]) if inside else ""
+
     # ---- runs ----
 
     def _usable(self, a: int) -> bool:
@@ -121,9 +136,7 @@ class Blocks:
             return False
         if self._filled_in(page.starts[a], page.ends[a]):
             return True
-        first = bisect_left(self.images, page.starts[a])
-        inside = first < len(self.images) and self.images[first] < page.ends[a]
-        return inside and bool(value(_ALT, page.text[self.images[first] : page.text.find(">", self.images[first]) + 1]))
+        return bool(value(_ALT, self.picture(page.starts[a], page.ends[a])))
 
     def _find(self) -> None:
         page = self.page
@@ -131,7 +144,7 @@ class Blocks:
         usable = [name == "a" and self._usable(i) for i, name in enumerate(page.names)]
         self.links = [i for i in range(n) if usable[i]]
         self.link_places = [page.starts[i] for i in self.links]
-        headings = [i for i, name in enumerate(page.names) if name in HEADINGS]
+        headings = self.headings
         # Headings that hold a link or are held by one.
         self.headed = sorted(
             {page.starts[h] for h in headings if self._between(self.link_places, page.starts[h], page.ends[h])}
@@ -344,19 +357,20 @@ class Fields:
         if at == len(blocks.links) or blocks.link_places[at] >= end:
             return {}, []
         a = blocks.links[at]
-        within = blocks.texts_in(page.starts[a], page.ends[a])
+        # A link around a whole card is titled by the heading inside.
+        head = bisect_left(blocks.headings, a)
+        inside = head < len(blocks.headings) and page.starts[blocks.headings[head]] < page.ends[a]
+        titled = blocks.headings[head] if inside else a
+        within = blocks.texts_in(page.starts[titled], page.ends[titled])
         title = " ".join("".join(blocks.read[i] for i in within).split())
-        image = bisect_left(blocks.images, start)
-        tag = ""
-        if image < len(blocks.images) and blocks.images[image] < end:
-            tag = page.text[blocks.images[image] : page.text.find(">", blocks.images[image]) + 1]
+        tag = blocks.picture(start, end)
         all_texts = blocks.texts_in(start, end)
-        price = AMOUNT.search(" ".join("".join(blocks.read[i] for i in all_texts).split()))
+        price = first_amount([blocks.read[i] for i in all_texts])
         source = value(_SRC, tag)
         fields = {
             "title": title or plain(value(_ALT, tag)),
             "link": value(_HREF, page.tag(a)),
-            "price": price[0] if price else "",
+            "price": price,
             "image": "" if source.startswith("[") else source,
         }
         parts, seen = [], Counter()
@@ -369,7 +383,7 @@ class Fields:
             element = page.texts[i][0]
             path = self.paths[element]
             seen[path] += 1
-            if price and price[0] in text and _AROUND_PRICE.match(text.replace(price[0], "", 1)):
+            if price and price in text and _AROUND_PRICE.match(text.replace(price, "", 1)):
                 continue
             parts.append((path, seen[path], element, text))
         return fields, parts

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.functions import tags
-from factloom.functions.blocks import AMOUNT, Blocks, items_of
+from factloom.functions.blocks import Blocks, first_amount, items_of
 from factloom.schemas import ITEMS
 
 CLEANED = (
@@ -68,8 +68,7 @@ def _block_columns(found: Iterable[tags.Cleaned]) -> dict[str, pa.Array]:
         numbers.append((blocks.expected, blocks.more_blocks, page.names.count("li"), len(heads)))
         text = "".join(t for (_, s, _), t in zip(page.texts, blocks.read) if page.starts[heads[0]] <= s < page.ends[heads[0]]) if heads else ""
         headings.append(" ".join(text.split()) or None)
-        price = AMOUNT.search(" ".join("".join(blocks.read).split())) if len(items[-1]) < 2 else None
-        prices.append(price[0] if price else None)
+        prices.append(first_amount(blocks.read) or None if len(items[-1]) < 2 else None)
     expected, more, entries, mains = zip(*numbers) if numbers else ((), (), (), ())
     return {
         "items": _items(items),

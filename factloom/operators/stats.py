@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions import text
+from factloom.functions import jsontext, text
 
 AMOUNT = "decimal(18,4)"
 _DATES = ("first_date", "last_date")
@@ -85,3 +85,42 @@ def concentration(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
         top_n.alias("top_items"),
         text.ratio(top_n, F.col("items")).alias("top_share"),
     )
+
+
+def listing_statistics(items: DataFrame, keys: list[str], year: Column) -> DataFrame:
+    """Prices, ratings, reviews, date range and most frequent place of items (`item`, an array of fields), by key.
+
+    One pass: rows by key and rows by key and place are counted in the same shuffle, both combined map-side, so
+    neither a hot key nor a hot place is ever gathered. The median is that of a mergeable quantile summary, exact up to
+    some thousand prices of a key. Dates without a year are of `year`.
+    """
+    of = lambda name: jsontext.field_value(F.col("item"), name)
+    read = items.select(
+        *keys,
+        text.price(of("price")).alias("_price"),
+        text.magnitude(of("rating")).alias("_rating"),
+        text.magnitude(of("reviews")).alias("_reviews"),
+        text.listing_date(of("date"), year).alias("_date"),
+        text.filled(of("place")).alias("_place"),
+    )
+    counted = read.groupingSets([[*map(F.col, keys)], [*map(F.col, keys), F.col("_place")]], *keys, "_place").agg(
+        F.grouping("_place").alias("_whole"),
+        F.count(F.lit(1)).alias("items"),
+        F.count("_price").alias("priced"),
+        F.min("_price").alias("price_min"),
+        F.max("_price").alias("price_max"),
+        F.percentile_approx("_price", 0.5, 10_000).alias("price_median"),
+        F.avg("_rating").alias("avg_rating"),
+        F.sum("_reviews").alias("reviews"),
+        F.min("_date").alias("first_date"),
+        F.max("_date").alias("last_date"),
+    )
+    whole = F.col("_whole") == 1
+    kept = [c for c in counted.columns if c not in (*keys, "_place", "_whole")]
+    place = F.when(~whole & F.col("_place").isNotNull(), F.struct((-F.col("items")).alias("rank"), F.col("_place").alias("place")))
+    return (
+        counted.groupBy(*keys)
+        .agg(*(F.max(F.when(whole, F.col(c))).alias(c) for c in kept), F.min(place).alias("_top"))
+        .withColumns({"top_place": F.col("_top.place"), "top_place_items": -F.col("_top.rank")})
+        .drop("_top")
+    )

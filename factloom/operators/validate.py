@@ -51,6 +51,24 @@ def _count_without(items: Column, field: str) -> Column:
     return F.size(lacking).cast("bigint")
 
 
+def _values(items: Column, field: str) -> Column:
+    """The filled values of a field over the items of a page, sorted."""
+    values = F.transform(items, lambda i: jsontext.field_value(i, field))
+    return F.array_sort(F.filter(values, lambda v: F.coalesce(~is_missing(v), F.lit(False))))
+
+
+def _starts(values: str) -> Column:
+    """Where each different value begins in a sorted array; a column of its own, so that it is found once."""
+    places = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1))
+    return F.filter(places, lambda i: (i == 0) | (F.get(F.col(values), i) != F.get(F.col(values), i - 1)))
+
+
+def _tallied(values: str, starts: str) -> Column:
+    """(n, value) of each different value of a sorted array."""
+    end = lambda k: F.coalesce(F.get(F.col(starts), k + 1), F.size(values))
+    return F.transform(starts, lambda s, k: F.struct((end(k) - s).alias("n"), F.get(F.col(values), s).alias("value")))
+
+
 def validate_pages(rendered: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Add status, `validation`, `insights`, `statistics`, `user_message` and `partial_summary`."""
     items = F.col("items")
@@ -63,7 +81,17 @@ def validate_pages(rendered: DataFrame, cfg: EngineConfig = EngineConfig()) -> D
         {
             **{f"_{k}": c for k, c in counts.items()},
             "_expected": expected_number(expected_text),
-            "_prices": prices,
+            "_prices": F.array_sort(prices),
+            "_conditions": _values(items, "condition"),
+            "_places": _values(items, "place"),
+            # A date without a year is put into a leap year, for its order alone.
+            "_dates": F.filter(
+                F.transform(
+                    _values(items, "date"),
+                    lambda d: F.struct(text.listing_date(d, F.lit("2000")).alias("at"), d.alias("text")),
+                ),
+                lambda d: d["at"].isNotNull(),
+            ),
             **{f"_no_{r}": _count_without(items, r) for r in cfg.required_fields},
         }
     )
@@ -72,6 +100,8 @@ def validate_pages(rendered: DataFrame, cfg: EngineConfig = EngineConfig()) -> D
         {
             "_found": found_ratio(F.col("_expected"), n),
             "_missing_share": F.coalesce(text.ratio(missing, total), F.lit(0.0)),
+            "_condition_starts": _starts("_conditions"),
+            "_place_starts": _starts("_places"),
         }
     )
     found, share = F.col("_found"), F.col("_missing_share")
@@ -92,6 +122,14 @@ def validate_pages(rendered: DataFrame, cfg: EngineConfig = EngineConfig()) -> D
             "_priced": F.size("_prices"),
             "_low": F.array_min("_prices"),
             "_high": F.array_max("_prices"),
+            "_median": F.get("_prices", ((F.size("_prices") - 1) / 2).cast("int")),
+            "_condition_counts": _tallied("_conditions", "_condition_starts"),
+            "_top_place": F.array_min(
+                F.transform(
+                    _tallied("_places", "_place_starts"),
+                    lambda t: F.struct((-t["n"]).alias("rank"), t["value"].alias("value")),
+                )
+            ),
         }
     )
     good = F.col("status") == SUCCESS
@@ -107,9 +145,25 @@ def validate_pages(rendered: DataFrame, cfg: EngineConfig = EngineConfig()) -> D
         F.col("_priced") > 0,
         F.concat(
             F.lit("Price range: "), F.col("_low").cast("string"), F.lit(" - "), F.col("_high").cast("string"),
+            F.lit(", median "), F.col("_median").cast("string"),
             F.lit(" ("), F.col("_priced").cast("string"), F.lit(" priced)"),
         ),
     )
+    told = F.transform("_condition_counts", lambda t: F.concat(t["n"].cast("string"), F.lit(" "), t["value"]))
+    conditions = F.when(F.size("_conditions") > 0, F.concat(F.lit("Conditions: "), F.array_join(told, ", ")))
+    dates = F.when(
+        F.size("_dates") > 0,
+        F.concat(
+            F.lit("Dated: "), F.array_min("_dates")["text"], F.lit(" - "), F.array_max("_dates")["text"]
+        ),
+    )
+    place = F.when(
+        F.size("_places") > 0,
+        F.concat(
+            F.lit("Most from: "), F.col("_top_place.value"), F.lit(" ("), (-F.col("_top_place.rank")).cast("string"),
+            F.lit(" of "), F.size("_places").cast("string"), F.lit(")"),
+        ),
+    )
     filled = F.concat(
         F.lit("Fields: "), F.col("_populated").cast("string"), F.lit(" of "), total.cast("string"), F.lit(" filled")
     )
@@ -127,7 +181,7 @@ def validate_pages(rendered: DataFrame, cfg: EngineConfig = EngineConfig()) -> D
             n.cast("string"), F.lit(" items from "), F.col("hypothesis.source"), F.lit(" ("),
             F.col("hypothesis.page_type"), F.lit(").")
         ).alias("executive_summary"),
-        F.concat_ws("; ", filled, price_range).alias("key_findings"),
+        F.concat_ws("; ", filled, price_range, conditions, dates, place).alias("key_findings"),
         F.when(F.col("_gaps") != "", F.concat(F.lit("Complete before comparing: "), F.col("_gaps"), F.lit(".")))
         .otherwise(F.lit(""))
         .alias("recommendation"),

@@ -79,7 +79,7 @@ def test_flow_over_files(spark, queue):
     assert listed.hypothesis.source == "shop.example.com" and listed.hypothesis.category == "lamps?page=1".split("?")[0]
     assert listed.hypothesis.item_count == "multiple (estimate 4)"
     assert json.loads(listed.extracted_data)["items"][0] == {"title": "Lamp 1", "link": "/l1", "price": "$19.50"}
-    assert listed.statistics.key_metrics == "Price range: 19.5 - 49.5 (4 priced)"
+    assert listed.statistics.key_metrics == "Price range: 19.5 - 49.5, median 29.5 (4 priced)"
     assert listed.report_name == "20250102-0304-Shopexamplecom-lamps-list"
     product = done["product.HTM"]
     assert product.shape == "item" and product.hypothesis.page_type == "single product"
