@@ -7,41 +7,19 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text
 from factloom.operators.fields import count_fields
+from factloom.schemas import FIELD, ITEMS
 
 ABSENT = "MISSING"
 RUN_A = "a"
 RUN_B = "b"
 TIE = "tie"
 METRICS = ("items", "total_fields", "populated", "missing", "avg_fields_per_item")
-USAGE = ("tokens_in", "tokens_out", "time_seconds", "cost")
-
-
-def run_metrics(extracted: DataFrame, usage: dict[str, Column], run: str, keys: list[str]) -> DataFrame:
-    """Per page of one run: item and field counts next to its usage. Counted in the page's row."""
-    counts = count_fields(F.col("items"))
-    return extracted.select(
-        *keys,
-        F.lit(run).alias("run"),
-        counts["n_items"].alias("items"),
-        *[counts[m].alias(m) for m in METRICS[1:]],
-        *[usage[u].alias(u) for u in USAGE],
-    )
-
-
-def side_by_side(a: DataFrame, b: DataFrame, keys: list[str], also: tuple[str, ...] = ()) -> DataFrame:
-    """One row per page with the columns of both runs, prefixed a_ and b_.
 
-    A page that one run lacks keeps its row, with zeros for that run.
-    """
-
-    def prefixed(df: DataFrame, run: str) -> DataFrame:
-        return df.select(*keys, *[F.col(c).alias(f"{run}_{c}") for c in (*METRICS, *USAGE, *also)])
 
-    joined = prefixed(a, RUN_A).join(prefixed(b, RUN_B), keys, "full_outer")
-    zero = {c: F.lit(0.0) if c in ("avg_fields_per_item", "time_seconds") else F.lit(0) for c in (*METRICS, *USAGE)}
-    return joined.withColumns(
-        {f"{r}_{c}": F.coalesce(F.col(f"{r}_{c}"), z) for r in (RUN_A, RUN_B) for c, z in zero.items()}
-    )
+def item_counts(items: Column) -> dict[str, Column]:
+    """Items and fields of one run, from the page's row."""
+    counts = count_fields(items)
+    return {"items": counts["n_items"], **{m: counts[m] for m in METRICS[1:]}}
 
 
 def _better(a: Column, b: Column, more: bool, within: float | None = None) -> Column:
@@ -103,22 +81,33 @@ def same(a_type: Column, a_value: Column, b_type: Column, b_value: Column) -> Co
     return F.coalesce(equal, F.lit(False))
 
 
-def field_diff(fields_a: DataFrame, fields_b: DataFrame, keys: list[str]) -> DataFrame:
-    """Every field of every item of either run, with both values and whether they match.
+def field_names(items: Column) -> Column:
+    """The different field names of a page's items."""
+    every = F.flatten(F.transform(items, lambda i: F.transform(i, lambda f: f["field"])))
+    return F.coalesce(F.array_distinct(F.filter(every, lambda n: n.isNotNull())), F.array().cast("array<string>"))
 
-    The join key reaches down to the field, so the rows of one page or source spread over all tasks.
-    """
 
-    def side(df: DataFrame, run: str) -> DataFrame:
-        return df.select(
-            *keys, "pos", "field", F.col("value").alias(f"{run}_value"), F.col("value_type").alias(f"{run}_type")
-        )
+def field_diff(pairs: DataFrame, a: Column, b: Column, keys: list[str]) -> DataFrame:
+    """Every field of every item of either run, with both values and whether they match.
 
-    joined = side(fields_a, RUN_A).join(side(fields_b, RUN_B), [*keys, "pos", "field"], "full_outer")
-    a, b = ((F.col(f"{r}_type"), F.col(f"{r}_value")) for r in (RUN_A, RUN_B))
-    return joined.select(
-        *keys, "pos", "field", "a_value", "b_value", shown(*a).alias("a_shown"), shown(*b).alias("b_shown"), same(*a, *b).alias("match")
+    The items of both runs lie in the page's row, so they are taken apart together and nothing is shuffled.
+    """
+    none = F.array().cast(f"array<{FIELD}>")
+    both = F.arrays_zip(F.coalesce(a, F.array().cast(ITEMS)).alias("a"), F.coalesce(b, F.array().cast(ITEMS)).alias("b"))
+    items = pairs.select(*keys, F.posexplode(both).alias("pos", "_pair")).select(
+        *keys, "pos", F.coalesce("_pair.a", none).alias("_a"), F.coalesce("_pair.b", none).alias("_b")
     )
+    names = F.array_union(*(F.transform(c, lambda f: f["field"]) for c in ("_a", "_b")))
+    named = items.select(*keys, "pos", F.explode(names).alias("field"), "_a", "_b")
+    found = [
+        F.get(F.filter(c, lambda f: f["field"] == F.col("field")), F.lit(0)).alias(f"_{run}f") for run, c in ((RUN_A, "_a"), (RUN_B, "_b"))
+    ]
+    placed = named.select(*keys, "pos", "field", *found)
+    left, right = ((F.col(f"_{r}f.value_type"), F.col(f"_{r}f.value")) for r in (RUN_A, RUN_B))
+    return placed.select(
+        *keys, "pos", "field", left[1].alias("a_value"), right[1].alias("b_value"), shown(*left).alias("a_shown"),
+        shown(*right).alias("b_shown"), same(*left, *right).alias("match"),
+    )
 
 
 def item_diff(a: Column, b: Column) -> Column:

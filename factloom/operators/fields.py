@@ -92,9 +92,3 @@ def gaps(fields: DataFrame, keys: list[str], item: list[str], required: list[str
         *[F.count_if(~F.col(f"_has_{r}")).alias(f"without_{r}") for r in required],
         F.count_if(complete).alias("comparable_items"),
     )
-
-
-def field_names(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Union of the field names two runs use."""
-    both = left.select(*keys, "field").unionByName(right.select(*keys, "field"))
-    return both.distinct()

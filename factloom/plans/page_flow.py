@@ -45,10 +45,18 @@ class PageFlow:
         """Clean pages with their hypothesis; the pass that cleans a page also finds its blocks."""
         return self.profile(read_structured(clean_pages(pages, self.cfg, mined=True)), self.cfg)
 
+    def once(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """The same rows, with these columns computed once however often they are read."""
+        return computed_once(rows, {c: F.col(c) for c in columns})
+
+    def hypotheses(self, pages: DataFrame) -> DataFrame:
+        """Profiled pages, as extraction stages take them."""
+        return self.once(self.profiled(pages), "hypothesis")
+
     def extracted(self, pages: DataFrame) -> DataFrame:
         """Pages with hypothesis, items and shape, each computed once however often it is read."""
-        found = self.extract(computed_once(self.profiled(pages), {"hypothesis": F.col("hypothesis")}), self.cfg)
-        return computed_once(found.drop("structured", "blocks"), {"items": F.col("items"), "shape": F.col("shape")})
+        found = self.extract(self.hypotheses(pages), self.cfg)
+        return self.once(found.drop("structured", "blocks"), "items", "shape")
 
     def validated(self, pages: DataFrame) -> DataFrame:
         done = self.validate(self.render(self.extracted(pages), self.cfg), self.cfg)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +9,15 @@ from factloom.config import EngineConfig
 from factloom.functions import html as H
 from factloom.functions import jsontext, text
 from factloom.operators import compare as C
-from factloom.operators.extract import long_fields
-from factloom.operators.fields import field_names
-from factloom.plans.page_flow import PageFlow
+from factloom.operators.extract import extract_items
+from factloom.plans.page_flow import PageFlow, Stage
 from factloom.plans.run_comparison import RunComparison
 from factloom.queries import page_sql as S
 from factloom.queries.pages import pages_of
 from factloom.queries.registry import query
 from factloom.schemas import ITEMS
+from factloom.session import fresh_folder
+from factloom.sinks.files import comparison_files, read_named_files, write_named_files
 from factloom.sources.prices import price_list
 
 MODEL_A, MODEL_B = "gemini-2.0-flash", "gemini-2.5-flash"
@@ -47,19 +46,20 @@ def extract_long_anchors(profiled: DataFrame, cfg: EngineConfig) -> DataFrame:
     )
 
 
-def run_a(pages: DataFrame) -> DataFrame:
-    found = PageFlow().extracted(pages).where(F.col("reason").isNull())
-    return found.withColumn("time_seconds", F.col("clean_chars") / F.lit(1000.0))
+def _timed(stage: Stage, chars_per_second: float) -> Stage:
+    """A stage that also says how long it took: as if it read so many characters a second."""
 
+    def run(profiled: DataFrame, cfg: EngineConfig) -> DataFrame:
+        return stage(profiled, cfg).withColumn("time_seconds", F.col("clean_chars") / F.lit(chars_per_second))
 
-def run_b(pages: DataFrame) -> DataFrame:
-    found = replace(PageFlow(), extract=extract_long_anchors).extracted(pages).where(F.col("reason").isNull())
-    return found.withColumn("time_seconds", F.col("clean_chars") / F.lit(2000.0))
+    return run
 
 
 def comparison_of(spark: SparkSession, sf_dir: str) -> RunComparison:
-    pages = pages_of(spark, sf_dir)
-    return RunComparison(run_a(pages), run_b(pages), "page_id", (MODEL_A, MODEL_B), price_list(spark))
+    stages = (_timed(extract_items, 1000.0), _timed(extract_long_anchors, 2000.0))
+    return RunComparison.of_stages(
+        pages_of(spark, sf_dir), PageFlow(), stages, "page_id", (MODEL_A, MODEL_B), price_list(spark)
+    )
 
 
 _RUNS_SQL = f"""{S.RENDERED},
@@ -194,9 +194,7 @@ def first_item_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("field_name_union", f"WITH {_RUNS_SQL} SELECT DISTINCT page_id, field FROM run_fields")
 def field_name_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = pages_of(spark, sf_dir)
-    left, right = long_fields(run_a(pages), "page_id"), long_fields(run_b(pages), "page_id")
-    return field_names(left, right, ["page_id"])
+    return comparison_of(spark, sf_dir).field_names()
 
 
 @query(
@@ -210,8 +208,7 @@ def field_name_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def comparison_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key lines read back out of the comparison reports."""
-    originals = pages_of(spark, sf_dir).select("page_id", "original_file")
-    reports = comparison_of(spark, sf_dir).reports(originals)
+    reports = comparison_of(spark, sf_dir).reports()
     md = F.col("comparison_markdown")
     line = r"\*\*Items Extracted\*\* \| ([0-9]+ \| [0-9]+) \| ([^|]+) \|"
     return reports.select(
@@ -220,3 +217,29 @@ def comparison_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract(md, line, 2).alias("items_line"),
         F.regexp_extract(md, line, 1).alias("items_counts"),
     )
+
+
+@query(
+    "comparison_files",
+    f"""WITH {_RUNS_SQL},
+    folders AS (
+      SELECT p.*, '20250102-030405_' || p.page_id AS folder, u.tokens_out AS a_tokens, v.tokens_out AS b_tokens FROM pair p
+      JOIN usage u ON u.page_id = p.page_id AND u.run = 'a' JOIN usage v ON v.page_id = p.page_id AND v.run = 'b')
+    SELECT folder || '/{MODEL_A}_extraction.json' AS file_name, a_items AS items, a_tokens AS tokens FROM folders
+    UNION ALL SELECT folder || '/{MODEL_B}_extraction.json', b_items, b_tokens FROM folders
+    UNION ALL SELECT folder || '/comparison_report.md', a_items + b_items, NULL FROM folders""",
+)
+def comparison_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both extractions and the report of each comparison as files in a folder of their own, written and read back."""
+    path = fresh_folder(spark, "comparisons")
+    reports = comparison_of(spark, sf_dir).reports()
+    folder = F.concat(F.lit("20250102-030405_"), F.col("page_id").cast("string"))
+    write_named_files(comparison_files(reports, folder, MODEL_A, MODEL_B), path)
+    read, report = read_named_files(spark, path), F.col("name").endswith(".md")
+    counts = [F.regexp_extract("text", r"Items Extracted\*\* \| ([0-9]+) \| ([0-9]+) ", g).try_cast("bigint") for g in (1, 2)]
+    listed = F.size(F.from_json(F.get_json_object("text", "$.items"), "array<string>")).cast("bigint")
+    return read.select(
+        F.col("name").alias("file_name"),
+        F.when(report, counts[0] + counts[1]).otherwise(listed).alias("items"),
+        F.when(~report, text.tokens(F.col("text"))).alias("tokens"),
+    )

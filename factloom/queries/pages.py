@@ -25,6 +25,8 @@ from factloom.operators.report import run_log
 from factloom.plans.page_flow import PageFlow
 from factloom.queries import page_sql as S
 from factloom.queries.registry import query, table
+from factloom.session import fresh_folder
+from factloom.sinks.files import read_named_files, report_files, write_named_files
 from factloom.sources.pages import from_table
 from factloom.sources.prices import price_list
 
@@ -315,6 +317,37 @@ def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports_of(spark, sf_dir).where(F.col("reason").isNull()).select("page_id", "report_markdown")
 
 
+@query(
+    "report_files",
+    f"""WITH {S.ALL_VALIDATED}, named AS (
+      SELECT page_id, coalesce(nullif(regexp_extract(url, '([^/]*)$', 1), ''), url) AS original_file, status, {_NAME} AS base_name,
+        {_NAME} || CASE status WHEN 'success' THEN '' WHEN 'extraction_incomplete' THEN '_INCOMPLETE' ELSE '_FAILED' END AS report_name
+      FROM every_page WHERE reason IS NULL),
+    again AS (
+      SELECT *, row_number() OVER (PARTITION BY report_name ORDER BY page_id % 64, page_id) AS n FROM named),
+    own AS (SELECT *, CASE WHEN n > 1 THEN '-' || n ELSE '' END AS mark FROM again)
+    SELECT report_name || mark || '.md' AS file_name, 'report' AS kind, original_file, report_name || mark AS said FROM own
+    UNION ALL SELECT report_name || mark || '.json', status, original_file, NULL FROM own
+    UNION ALL SELECT base_name || '_DEBUG' || mark || '.json', 'debug', original_file, NULL FROM own""",
+)
+def report_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports as files by name, written, listed, and read back."""
+    path = fresh_folder(spark, "reports")
+    write_named_files(report_files(reports_of(spark, sf_dir)), path)
+    read = read_named_files(spark, path)
+    body = F.col("text")
+    markdown, debug = F.col("name").endswith(".md"), F.col("name").contains("_DEBUG")
+    return read.select(
+        F.col("name").alias("file_name"),
+        F.when(markdown, F.lit("report")).when(debug, F.lit("debug")).otherwise(F.get_json_object(body, "$.meta.status")).alias("kind"),
+        F.when(markdown, F.regexp_extract(body, "Extraction Report: ([^\\n]*)", 1))
+        .when(debug, F.get_json_object(body, "$.original_file"))
+        .otherwise(F.get_json_object(body, "$.meta.original_file"))
+        .alias("original_file"),
+        F.when(markdown, F.regexp_extract(body, "data: `([^`]*)[.]json`", 1)).alias("said"),
+    )
+
+
 @query(
     "page_routing",
     f"""WITH {S.ALL_VALIDATED}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Set only where the caller's session left them alone.
@@ -35,3 +38,13 @@ def local_session(app: str, cores: str = "8", shuffle_partitions: int = 8, memor
 def shared_dir(spark: SparkSession) -> str | None:
     """The shared folder the cluster names for checkpoints, or None where it names none."""
     return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one; in a local session that names none, below a temporary folder."""
+    root = shared_dir(spark)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='factloom-')}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -24,3 +24,10 @@ def read_price_list(spark: SparkSession, path: str) -> DataFrame:
         F.col("input").try_cast(PRICE).alias("price_in"),
         F.col("output").try_cast(PRICE).alias("price_out"),
     )
+
+
+def prices_of(prices: DataFrame, models: tuple[str, ...]) -> tuple[tuple, ...]:
+    """(input, output) price of each model, zero for one that is not listed; one row per model is read."""
+    listed = prices.where(F.col("model").isin(*models)).groupBy("model").agg(F.max("price_in"), F.max("price_out"))
+    found = {r[0]: (r[1] or 0, r[2] or 0) for r in listed.collect()}
+    return tuple(found.get(m, (0, 0)) for m in models)

@@ -23,7 +23,7 @@ def s(k, v, t="string"):
 def compared(spark, a, b, seconds=(5.0, 1.0), models=("gemini-2.0-flash", "gemini-2.5-flash")):
     left = spark.createDataFrame([(i, HTML, items, "items", seconds[0]) for i, items in enumerate(a)], ROW)
     right = spark.createDataFrame([(i, HTML, items, "items", seconds[1]) for i, items in enumerate(b)], ROW)
-    return RunComparison(left, right, "page_id", models, price_list(spark))
+    return RunComparison.of_runs(left, right, "page_id", models, price_list(spark))
 
 
 def test_diff_and_verdicts(spark):

@@ -202,7 +202,7 @@ def test_report_lines_keep_nulls_and_letters(spark, queue, tmp_path):
 def test_comparison_is_written_and_read_back(spark, queue, tmp_path):
     pages = read_page_files(spark, queue)
     found = PageFlow().extracted(pages).where("reason is null")
-    comparison = RunComparison(found, found, "page_id", ("A", "B"), price_list(spark))
+    comparison = RunComparison.of_runs(found, found, "page_id", ("A", "B"), price_list(spark))
     reports = comparison.reports(pages.select("page_id", "original_file"))
     kept = found.select("page_id", "items", "shape")
     tables.write_comparison(kept, kept, reports.select("page_id", "comparison_markdown"), str(tmp_path))
