@@ -41,8 +41,6 @@ _PARTS, _WAYS = 16, 16
 _HELD = 1 << 20
 #: How many ways the partners of one text are compared.
 _CHUNKS = 32
-#: A key is hot from this part of all rows on; there are no more such keys.
-_HOT = 10_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -193,25 +191,18 @@ def _other(rows: DataFrame) -> DataFrame:
     return rows.select("key", *(F.col(c).alias(f"other_{c}") for c in _PLACED))
 
 
-def _by_key(rows: DataFrame, keyed: DataFrame, total: int) -> DataFrame:
-    """`rows` joined to `keyed` (one row for each key, `n` rows under it); hot keys, at most `_HOT`, by broadcast."""
-    hot = F.col("n") * _HOT >= max(total, _HOT)
-    warm = keyed.where(hot)
-    cold = rows.join(F.broadcast(warm.select("key")), "key", "left_anti").join(keyed.where(~hot), "key")
-    return rows.join(F.broadcast(warm), "key").unionByName(cold)
+def _mixed(rows: DataFrame, turn: int) -> DataFrame:
+    """The rows under keys that join several groups, next to one indexed member of the key, another one each turn.
 
-
-def _met(members: DataFrame, turn: int) -> DataFrame:
-    """Per key that joins several groups: its rows `n` and one indexed member, another one each turn."""
+    Rows move once, by key; a key has at most one row of each text, so it is a small part of all rows even where it is in all texts.
+    """
+    dealt = rows.repartition("key")
     order = F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("order"), *_PLACED)
-    keyed = members.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("root").alias("low"),
-        F.max("root").alias("high"),
-        F.min(F.when(F.col("indexed"), order)).alias("hub"),
+    keyed = dealt.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(F.col("indexed"), order)).alias("hub")
     )
-    mixed = keyed.where((F.col("low") < F.col("high")) & F.col("hub").isNotNull())
-    return mixed.select("key", "n", *(F.col(f"hub.{c}").alias(f"other_{c}") for c in _PLACED))
+    several = keyed.where((F.col("low") < F.col("high")) & F.col("hub").isNotNull())
+    return dealt.join(several.select("key", *(F.col(f"hub.{c}").alias(f"other_{c}") for c in _PLACED)), "key")
 
 
 def _sorted_pair() -> list[Column]:
@@ -249,26 +240,21 @@ def linked(members: DataFrame, texts: DataFrame, first_pairs: DataFrame, width:
         return True
 
     confirm(first_pairs)
-    rows = written(_rooted(members, roots), "members")
+    rows = members
     for turn in range(turns):
-        keyed = written(_met(rows, turn), "keys")
-        total = rows.count()
-        met = _by_key(rows, keyed, total).where((F.col("root") != F.col("other_root")) & _fits(least))
+        mixed = written(_mixed(_rooted(rows, roots), turn), "mixed")
+        spent.append(mixed)
+        rows = mixed
+        met = mixed.where((F.col("root") != F.col("other_root")) & _fits(least))
         # One pair for each row and turn.
-        one = met.groupBy("node").agg(F.min("other_node").alias("other_node")).select(*_sorted_pair()).distinct()
-        if not confirm(one):
-            forget(keyed)
+        if not confirm(met.groupBy("node").agg(F.min("other_node").alias("other_node")).select(*_sorted_pair()).distinct()):
             break
-        fewer = written(_rooted(_by_key(rows, keyed.select("key", "n"), total).drop("n"), roots), "members")
-        forget(rows, keyed)
-        rows = fewer
-    keyed = written(_met(rows, 0), "keys")
-    left = written(_by_key(rows, keyed.select("key", "n"), rows.count()).drop("n"), "members")
-    met = left.where("indexed").join(_other(left), "key").where(
+    mixed = written(_mixed(_rooted(rows, roots), 0).select("key", *_PLACED), "mixed")
+    met = mixed.where("indexed").join(_other(mixed), "key").where(
         (F.col("size") <= F.col("other_size")) & (F.col("root") != F.col("other_root")) & _fits(least)
     )
     confirm(met.select(*_sorted_pair()).distinct())
-    forget(rows, keyed, left, *found, *spent)
+    forget(mixed, *found, *spent)
     return roots if roots is not None else members.select("node", F.col("node").alias("root")).limit(0)
 
 
@@ -302,10 +288,9 @@ def kept_rows(
     near = written(simhash.grouped(rows.select("node", "fingerprint"), "node"), "near")
     close = near.where("node <> component_id").select(F.col("component_id").alias("a"), F.col("node").alias("b"))
     dealt = _members(rows, least)
-    several = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("indexed").alias("indexed")).where("n > 1 AND indexed")
-    several = written(several.select("key", "n"), "shared-keys")
-    total = rows.agg(F.sum(F.size("firsts"))).first()[0] or 0
-    members = written(_by_key(dealt, several, total).drop("n"), "members")
+    dealt = dealt.repartition("key")
+    several = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("indexed").alias("any")).where("n > 1 AND any")
+    members = written(dealt.join(several.select("key"), "key"), "members")
     met = written(
         members.select("node").union(close.select("a")).union(close.select("b")).distinct(), "met"
     )
@@ -319,5 +304,5 @@ def kept_rows(
     winners = grouped.groupBy("root").agg(first.alias("first")).select("first.digest")
     losers = grouped.select("digest").distinct().join(winners, "digest", "left_anti")
     losers = written(losers.select(F.col("digest").alias(key)), "losers")
-    forget(rows, near, several, members, met, named, texts, grouped)
+    forget(rows, near, members, met, named, texts, grouped)
     return keyed.dropDuplicates([key]).join(losers, key, "left_anti").select(*docs.columns)
