@@ -184,12 +184,32 @@ def held_out(doc_id: Column) -> Column:
 _COUNTS = "term string, whole boolean, toxic int, n long, uses long"
 
 
+#: Terms a task counts before it hands them on.
+_HELD = 100_000
+
+
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
     uses: dict[int, Counter] = {0: Counter(), 1: Counter()}
+
+    def handed_on() -> Iterator[pa.RecordBatch]:
+        for toxic, found in counts.items():
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([t for t, _ in found], pa.string()),
+                    pa.array([w for _, w in found], pa.bool_()),
+                    pa.array([toxic] * len(found), pa.int32()),
+                    pa.array(list(found.values()), pa.int64()),
+                    pa.array([uses[toxic][t] for t in found], pa.int64()),
+                ],
+                names=["term", "whole", "toxic", "n", "uses"],
+            )
+            found.clear()
+            uses[toxic].clear()
+
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = Counter(m.group() for m in _TOKEN.finditer((text or "").lower()))
+        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+            words = Counter(m.group() for m in _TOKEN.finditer((text.as_py() or "").lower()))
             terms: Counter = Counter()
             for word, n in words.items():
                 terms[word, True] += n
@@ -198,17 +218,9 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         terms[word[:k], False] += n
             counts[toxic].update(terms.keys())
             uses[toxic].update(terms)
-    for toxic, found in counts.items():
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([t for t, _ in found], pa.string()),
-                pa.array([w for _, w in found], pa.bool_()),
-                pa.array([toxic] * len(found), pa.int32()),
-                pa.array(list(found.values()), pa.int64()),
-                pa.array([uses[toxic][t] for t in found], pa.int64()),
-            ],
-            names=["term", "whole", "toxic", "n", "uses"],
-        )
+            if len(counts[0]) + len(counts[1]) > _HELD:
+                yield from handed_on()
+    yield from handed_on()
 
 
 def learn_terms(rows: DataFrame, max_terms: int) -> list[tuple[str, bool, float]]:
