@@ -68,10 +68,11 @@ def breadcrumb(parsed: Column) -> Column:
 
 
 def item_fields(text: Column) -> Column:
-    """Fields of one item: plain members in order, named members by their name, offers spread out."""
-    keys = F.filter(F.json_object_keys(text), lambda k: ~k.startswith("@"))
-    values = jsontext.members(text)
+    """Fields of one item: plain members in order, named members by their name, offers spread out. The text is parsed once."""
+    return jsontext.bound(jsontext.members(text), _member_fields)
 
+
+def _member_fields(values: Column) -> Column:
     def named(value: Column) -> Column:
         return F.coalesce(F.try_variant_get(value, "$.name", "variant"), value)
 
@@ -81,7 +82,8 @@ def item_fields(text: Column) -> Column:
             F.try_variant_get(values["offers"], f"$[0].{member}", "variant"),
         )
 
-    plain = F.transform(F.filter(keys, lambda k: k != "offers"), lambda k: jsontext.pair(k, named(values[k])))
+    stated = F.filter(jsontext.entries(values), lambda e: ~e["key"].startswith("@") & (e["key"] != "offers"))
+    plain = F.transform(stated, lambda e: jsontext.pair(e["key"], named(e["value"])))
     price = F.coalesce(offer("price"), offer("lowPrice"))
     spread = F.array(
         jsontext.pair(F.lit("price"), price),
@@ -89,5 +91,5 @@ def item_fields(text: Column) -> Column:
         jsontext.pair(F.lit("availability"), offer("availability")),
         jsontext.pair(F.lit("condition"), offer("itemCondition")),
     )
-    added = F.filter(spread, lambda f: f["value"].isNotNull() & ~F.array_contains(keys, f["field"]))
+    added = F.filter(spread, lambda f: f["value"].isNotNull() & ~F.array_contains(F.map_keys(values), f["field"]))
     return F.concat(plain, added)

@@ -6,6 +6,8 @@ field name ever seen. Items are therefore held as ordered arrays of (field, valu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,10 +60,26 @@ def members(text: Column) -> Column:
     return F.from_json(text, "map<string,variant>")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body reads it; inside lambdas nothing else does that."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def entries(values: Column) -> Column:
+    """(key, value) of a map in its written order; of a repeated key the last value, in its first place."""
+
+    def of(pairs: Column) -> Column:
+        keys = F.transform(pairs, lambda e: e["key"])
+        last = lambda k: F.element_at(F.filter(pairs, lambda e: e["key"] == k), -1)
+        different = F.array_distinct(keys)
+        return F.when(F.size(different) == F.size(keys), pairs).otherwise(F.transform(different, last))
+
+    return bound(F.map_entries(values), of)
+
+
 def object_fields(text: Column) -> Column:
-    """Fields of a JSON object text in their written order."""
-    values = members(text)
-    return F.transform(F.json_object_keys(text), lambda k: pair(k, values[k]))
+    """Fields of a JSON object text in their written order. The text is parsed once, however many keys it has."""
+    return F.transform(entries(members(text)), lambda e: pair(e["key"], e["value"]))
 
 
 def elements(text: Column) -> Column:
@@ -83,13 +101,12 @@ def extraction_items(text: Column) -> Column:
     """Extracted data text -> items. A listed element that is no object stays, as a null."""
     inner = F.from_json(text, "struct<items:array<string>,item:string>")
     kinds = F.from_json(text, "struct<items:array<variant>>")["items"]
-    listed = F.transform(
-        inner["items"],
-        lambda e, i: F.when(
-            F.coalesce(F.schema_of_variant(F.get(kinds, i)).startswith("OBJECT"), F.lit(False)),
-            object_fields(e),
-        ),
-    )
+
+    def element(e: Column) -> Column:
+        known = F.coalesce(F.schema_of_variant(e["kind"]).startswith("OBJECT"), F.lit(False))
+        return F.when(known, object_fields(e["text"]))
+
+    listed = F.transform(F.arrays_zip(inner["items"].alias("text"), kinds.alias("kind")), element)
     single = F.when(is_object(inner["item"]), F.array(object_fields(inner["item"])))
     return F.coalesce(listed, single, F.array().cast(ITEMS)).cast(ITEMS)
 

@@ -225,3 +225,59 @@ def run_log(reports: DataFrame) -> DataFrame:
     return reports.select(
         F.col("processed_at").alias("ts"), level.alias("level"), "page_id", message.alias("message")
     )
+
+
+def stage_log(reports: DataFrame) -> DataFrame:
+    """One row per page and stage that it went through: ts, step, stage, level, page_id, message.
+
+    The outcomes lie in the page's row, so they are put into an array there and taken apart once; a quarantined page
+    stops after its admission. The last row is that of `run_log`.
+    """
+    admitted = F.col("reason").isNull()
+    text_of = lambda c: F.col(c).cast("string")
+    n = F.size("items")
+
+    def event(step: int, stage: str, level: Column, message: Column) -> Column:
+        told = F.struct(F.lit(step).alias("step"), F.lit(stage).alias("stage"), level.alias("level"), message.alias("message"))
+        return F.when(admitted, told)
+
+    info = F.lit("info")
+    outcome = F.concat_ws(" ", F.col("status"), F.col("report_name"))
+    level = F.when(F.col("status") == SUCCESS, info).when(F.col("status") == INCOMPLETE, F.lit("warning")).otherwise(F.lit("error"))
+    quarantined = F.struct(
+        F.lit(1).alias("step"), F.lit("admission").alias("stage"), F.lit("warning").alias("level"),
+        F.concat(F.lit("quarantined: "), F.col("reason")).alias("message"),
+    )
+    events = F.array(
+        F.coalesce(
+            event(1, "admission", info, F.concat(text_of("size_bytes"), F.lit(" bytes"))),
+            quarantined,
+        ),
+        event(
+            2,
+            "cleaning",
+            info,
+            F.concat(
+                text_of("original_chars"), F.lit(" -> "), text_of("clean_chars"), F.lit(" characters; removed "),
+                text_of("removed_tags"), F.lit(" tags, "), text_of("removed_comments"), F.lit(" comments, "),
+                text_of("base64_images_removed"), F.lit(" images"),
+            ),
+        ),
+        event(
+            3,
+            "profile",
+            info,
+            F.concat_ws(", ", "hypothesis.page_type", "hypothesis.item_count", F.concat(F.col("hypothesis.confidence"), F.lit(" confidence"))),
+        ),
+        event(
+            4, "extraction", F.when(n > 0, info).otherwise(F.lit("warning")), F.concat(n.cast("string"), F.lit(" "), F.col("shape"))
+        ),
+        event(5, "rendering", info, F.concat(F.length("formatted_markdown").cast("string"), F.lit(" characters"))),
+        event(
+            6, "validation", level, F.concat_ws("; ", F.concat(F.lit("quality "), F.col("validation.data_quality")), "validation.problem")
+        ),
+        event(7, "routing", F.when(F.col("disposition") == "archive", info).otherwise(F.lit("warning")), F.col("disposition")),
+        event(8, "outcome", level, outcome),
+    )
+    told = reports.select("processed_at", "page_id", F.inline(F.filter(events, lambda e: e.isNotNull())))
+    return told.select(F.col("processed_at").alias("ts"), "step", "stage", "level", "page_id", "message")

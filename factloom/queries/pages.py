@@ -21,7 +21,7 @@ from factloom.operators.fields import count_fields, field_coverage, first_value
 from factloom.operators.ledger import price_usage, spend_by, stage_usage
 from factloom.operators.naming import disposition
 from factloom.operators.render import validator_summary
-from factloom.operators.report import run_log
+from factloom.operators.report import run_log, stage_log
 from factloom.plans.page_flow import PageFlow
 from factloom.queries import page_sql as S
 from factloom.queries.registry import query, table
@@ -374,6 +374,36 @@ def run_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_log(named_of(spark, sf_dir)).select("page_id", "level", "message")
 
 
+@query(
+    "stage_log",
+    f"""WITH {S.ALL_VALIDATED}, named AS (
+      SELECT *, {_NAME} || CASE status WHEN 'success' THEN '' WHEN 'extraction_incomplete' THEN '_INCOMPLETE' ELSE '_FAILED' END
+        AS report_name, CASE status WHEN 'success' THEN 'info' WHEN 'extraction_incomplete' THEN 'warning' ELSE 'error' END AS grade,
+        CASE WHEN status = 'success' THEN NULL WHEN n_items = 0 THEN 'no items were extracted'
+           ELSE n_items || ' items were extracted, expected ' || item_count END AS problem
+      FROM every_page),
+    sized AS (SELECT c.page_id, size_bytes, c.original_chars, c.removed_tags, c.removed_comments, c.base64_images_removed FROM cleaned c),
+    pages AS (SELECT n.* EXCLUDE (size_bytes, original_chars, removed_tags, removed_comments, base64_images_removed), s.* EXCLUDE (page_id)
+      FROM named n JOIN sized s USING (page_id))
+    SELECT page_id, 1 AS step, 'admission' AS stage, CASE WHEN reason IS NULL THEN 'info' ELSE 'warning' END AS level,
+      CASE WHEN reason IS NULL THEN size_bytes || ' bytes' ELSE 'quarantined: ' || reason END AS message FROM pages
+    UNION ALL SELECT page_id, 2, 'cleaning', 'info', original_chars || ' -> ' || length(clean_html) || ' characters; removed ' || removed_tags
+      || ' tags, ' || removed_comments || ' comments, ' || base64_images_removed || ' images' FROM pages WHERE reason IS NULL
+    UNION ALL SELECT page_id, 3, 'profile', 'info', page_type || ', ' || item_count || ', ' || confidence || ' confidence'
+      FROM pages WHERE reason IS NULL
+    UNION ALL SELECT page_id, 4, 'extraction', CASE WHEN n_items > 0 THEN 'info' ELSE 'warning' END, n_items || ' ' || shape
+      FROM pages WHERE reason IS NULL
+    UNION ALL SELECT page_id, 5, 'rendering', 'info', length(formatted_markdown) || ' characters' FROM pages WHERE reason IS NULL
+    UNION ALL SELECT page_id, 6, 'validation', grade, concat_ws('; ', 'quality ' || data_quality, problem) FROM pages WHERE reason IS NULL
+    UNION ALL SELECT page_id, 7, 'routing', CASE disposition WHEN 'archive' THEN 'info' ELSE 'warning' END, disposition
+      FROM pages WHERE reason IS NULL
+    UNION ALL SELECT page_id, 8, 'outcome', grade, status || ' ' || report_name FROM pages WHERE reason IS NULL""",
+)
+def stage_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every stage did with every page."""
+    return stage_log(named_of(spark, sf_dir)).drop("ts")
+
+
 @query(
     "page_dossier",
     f"""WITH {S.VALIDATED}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.ledger import ledger_rows
-from factloom.operators.report import run_log
+from factloom.operators.report import stage_log
 
 REPORTS = "reports"
 DEBUG = "debug"
@@ -63,7 +63,8 @@ def write_ledger(priced: DataFrame, root: str, batch_id: int | str) -> None:
 
 
 def write_log(finished: DataFrame, root: str, batch_id: int | str) -> None:
-    run_log(finished).write.mode("overwrite").parquet(batch_folder(root, LOG, batch_id))
+    """Every stage of every page; the rows of stage `outcome` and `admission` say how it ended."""
+    stage_log(finished).write.mode("overwrite").parquet(batch_folder(root, LOG, batch_id))
 
 
 def write_report_lines(finished: DataFrame, path: str) -> None:
