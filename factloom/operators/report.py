@@ -33,6 +33,8 @@ NEXT_STEPS = (
     "4. If issue persists, this page type may need special handling"
 )
 RULE = "---"
+# Fixed value: partial data of no more characters is not shown.
+PARTIAL_LEAST = 50
 
 
 def or_default(value: Column, default: str) -> Column:
@@ -111,7 +113,7 @@ def failure_markdown(
             ),
         ),
         _optional(PARTIAL_RESULTS, partial_summary),
-        F.when(F.length(formatted) > 0, _block(PARTIAL_DATA, formatted)),
+        F.when(F.length(formatted) > PARTIAL_LEAST, _block(PARTIAL_DATA, formatted)),
         F.lit(NEXT_STEPS),
         _block(
             RULE,

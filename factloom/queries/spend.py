@@ -14,8 +14,9 @@ from factloom.operators.ledger import (
     spend_rollup,
 )
 from factloom.queries.registry import query, table
+from factloom.session import fresh_folder
 from factloom.sources.prices import price_list
-from factloom.streaming.spend_stream import windowed_spend
+from factloom.streaming.spend_stream import read_spend, start_spend_stream, windowed_spend
 
 # The k of an event's properties picks the model; the last one is on no price list.
 _USAGE_SQL = """
@@ -38,8 +39,12 @@ _SUMS = f"count(*) AS calls, sum(in_tok)::BIGINT AS in_tok, sum(out_tok)::BIGINT
 
 
 def priced_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priced_events(table(spark, sf_dir, "events"))
+
+
+def priced_events(events: DataFrame) -> DataFrame:
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "int")
-    usage = table(spark, sf_dir, "events").select(
+    usage = events.select(
         "event_id",
         "ts",
         "user_id",
@@ -52,7 +57,7 @@ def priced_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("value") * 1000).cast("bigint").alias("in_tok"),
         F.floor(F.col("value") * 100).cast("bigint").alias("out_tok"),
     )
-    return price_usage(usage, price_list(spark))
+    return price_usage(usage, price_list(events.sparkSession))
 
 
 def as_number(spend: DataFrame) -> DataFrame:
@@ -120,3 +125,19 @@ def spend_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each task as a site, each user as one of its pages, scaled to 100 pages."""
     projected = project_spend(priced_usage(spark, sf_dir), "task", "user_id", 100)
     return as_number(projected)
+
+
+@query(
+    "spend_stream_corrected",
+    f"""WITH {_USAGE_SQL}
+    SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, model, {_SUMS} FROM priced GROUP BY ALL""",
+)
+def spend_stream_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spend per day of a stream whose files arrive in no order of time: every row is weeks late for most windows."""
+    folder = fresh_folder(spark, "spend")
+    events = table(spark, sf_dir, "events")
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(f"{folder}/arrived")
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrived")
+    start_spend_stream(priced_events(arriving), folder, "1 day", ("model",), available_now=True).awaitTermination()
+    spend = read_spend(spark, folder).withColumn("day", F.date_format("window_start", "yyyy-MM-dd"))
+    return as_number(spend.drop("window_start"))

@@ -17,7 +17,7 @@ def decoded(content: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
 
 
-def _as_pages(files: DataFrame) -> DataFrame:
+def as_pages(files: DataFrame) -> DataFrame:
     return files.where(F.col("path").rlike(FILE_SUFFIX)).select(
         F.xxhash64("path").alias("page_id"),
         "path",
@@ -38,7 +38,7 @@ def read_page_files(spark: SparkSession, directory: str) -> DataFrame:
         .option("ignoreMissingFiles", True)
         .load(directory)
     )
-    return _as_pages(files)
+    return as_pages(files)
 
 
 def stream_page_files(spark: SparkSession, directory: str, max_files: int = 1000) -> DataFrame:
@@ -53,7 +53,7 @@ def stream_page_files(spark: SparkSession, directory: str, max_files: int = 1000
         .option("ignoreMissingFiles", True)
         .load(directory)
     )
-    return _as_pages(files)
+    return as_pages(files)
 
 
 def from_table(pages: DataFrame) -> DataFrame:
