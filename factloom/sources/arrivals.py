@@ -79,7 +79,7 @@ class AnnouncedFiles(DataSource):
         return PAGE_FILE
 
     def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802  (the name Spark calls)
-        return AnnouncedReader(self.options["path"].rstrip("/"), int(self.options.get("chunksPerTrigger", "100")))
+        return AnnouncedReader(self.options["path"].rstrip("/"))
 
 
 class Chunk(InputPartition):
@@ -88,28 +88,22 @@ class Chunk(InputPartition):
 
 
 class AnnouncedReader(DataSourceStreamReader):
-    def __init__(self, path: str, most: int):
-        self.path, self.most = path, most
-        self.taken: int | None = None
+    """A trigger takes all chunks there are, each in a task of its own; a stream that runs again goes on from its checkpoint."""
+
+    def __init__(self, path: str):
+        self.path, self.known = path, 0
 
     def initialOffset(self) -> dict:  # noqa: N802
-        self.taken = 0
         return {"chunks": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        # The manifest has no gaps: what is there is found from where the last trigger ended. A restarted stream knows that
-        # place only from its checkpoint, so its first trigger takes all there is.
-        free = _first_free(*file_system(self.path), self.taken or 0)
-        self.taken = free if self.taken is None else min(free, self.taken + self.most)
-        return {"chunks": self.taken}
+        # The manifest has no gaps: what is there is found from where the last trigger ended.
+        self.known = _first_free(*file_system(self.path), self.known)
+        return {"chunks": self.known}
 
     def partitions(self, start: dict, end: dict) -> list[Chunk]:
-        self.taken = max(self.taken or 0, end["chunks"])
         return [Chunk(n) for n in range(start["chunks"], end["chunks"])]
 
-    def commit(self, end: dict) -> None:
-        self.taken = max(self.taken or 0, end["chunks"])
-
     def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
         files, root = file_system(self.path)
         prefix = self.path if "://" in self.path or self.path.startswith("file:") else f"file:{self.path}"
@@ -137,10 +131,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["path", "modificationTime", "length", "content"])
 
 
-def stream_announced_pages(spark: SparkSession, directory: str, chunks_per_trigger: int = 100) -> DataFrame:
+def stream_announced_pages(spark: SparkSession, directory: str) -> DataFrame:
     """HTML files as they are announced; each announcement is taken up once per checkpoint."""
     spark.dataSource.register(AnnouncedFiles)
-    files = spark.readStream.format(FORMAT).option("path", directory).option("chunksPerTrigger", chunks_per_trigger).load()
+    files = spark.readStream.format(FORMAT).option("path", directory).load()
     return as_pages(files)
 
 
