@@ -4,12 +4,13 @@ A lexer automaton finds insult and threat terms in the lower-cased text. Every c
 token by token, through a transducer composed of four: insults and threats, negation (a few tokens after a negating
 word), reported speech (from a reporting verb or quotation mark to the end of the clause) and targets (a person word
 close before or after). Its outputs name what a term is there: plain, aimed, negated, reported. A score is the
-logistic value of a bias plus the weights of these outputs, each times the sum of the matched terms' weights, up to `MOST`.
+logistic value of a bias plus the weights of these outputs, each times the sum of the matched terms' weights; large sums
+grow ever slower and stay below `MOST`. A word is also matched behind an elided beginning (l'idiot).
 
 Closed word classes are listed below. Insult terms and weights are learned from labels: words and word
 beginnings whose document counts by label differ by far more than chance, then weights by logistic regression around
-the listed prior. Both are fitted on at most `sample` labelled rows (20,000 by default, drawn by a hash of their id) and at
-most `max_terms` terms; scoring reads every whole text. Ids, languages and sources are no inputs of a score.
+the listed prior. Both are fitted on at most `sample` labelled rows (20,000 by default, drawn by a hash of their id), and terms
+are as few as those rows prove; scoring reads every whole text. Ids, languages and sources are no inputs of a score.
 
 Edge cases: a null or empty text matches nothing and gets the score of the bias. A null id is not held out. Where a
 document has several labels the largest counts; null labels do not count. Without labels the prior and the seed terms
@@ -34,7 +35,7 @@ from factloom.llm.shared import written
 
 SEEDS = "idiot moron stupid imbécile dummkopf estúpido".split()
 THREATS = "kill murder shoot stab strangle hurt tuer frapper töten umbringen matar golpear".split()
-TARGETS = "you your yourself he she they them him her tu toi vous il elle du dich ihr er sie ihn usted él ella".split()
+TARGETS = "you your yourself he she they them him her tu t toi vous il elle du dich ihr er sie ihn usted él ella".split()
 NEGATIONS = "not no never isn't aren't don't without pas jamais nicht kein keine nie nunca sin".split()
 REPORTS = "said says say wrote quoted claims reported called dit écrit sagte schrieb dijo escribió".split()
 MOST = 12.0
@@ -44,7 +45,8 @@ PREFIXES = (4, 5, 6, 7)
 OUTPUTS = ("insult", "aimed insult", "negated", "reported", "threat", "aimed threat", "late target")
 PRIOR = np.array([1.5, 2.0, -0.5, 0.2, 0.3, 2.0, 0.5])
 BIAS = -3.0
-_TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[\"«»„“”]")
+#: A word, an elided beginning (l'idiot, you're) as its first group and what follows it as its second, or a quotation mark.
+_TOKEN = re.compile(r"([^\W_]+)(?:['’]([^\W_]+))?|[\"«»„“”]")
 _CLAUSE_END = re.compile(r"[.!?;\n]+")
 
 
@@ -118,6 +120,16 @@ _CLASSES = (
 )
 
 
+def _class(token: re.Match) -> str:
+    """The class of a word, else of its elided beginning."""
+    return _CLASSES.get(token[0].replace("’", "'")) or _CLASSES.get(token[1], "O")
+
+
+def damped(sums: np.ndarray) -> np.ndarray:
+    """Every further hit counts, and ever less."""
+    return MOST * (1 - np.exp(-sums / MOST))
+
+
 @dataclass
 class Model:
     """Terms (text, whole word or beginning, weight) and the weights of the outputs."""
@@ -166,14 +178,14 @@ class Scorer:
         for clause in sorted({bisect.bisect_right(ends, start) for start in terms}):
             state = 0
             for token in _TOKEN.finditer(lowered, ends[clause - 1] if clause else 0, ends[clause]):
-                label, weight = terms.get(token.start()) or (_CLASSES.get(token.group(), "O"), 1.0)
+                label, weight = terms.get(token.start()) or terms.get(token.start(2)) or (_class(token), 1.0)
                 state, label = self.rules.step(state, label)
                 if label in _OUT:
                     out[_OUT[label]] += weight
-        return np.minimum(out, MOST)
+        return out
 
     def score(self, text: str | None) -> float:
-        value = self.model.bias + float(self.features(text) @ self.model.weights)
+        value = self.model.bias + float(damped(self.features(text)) @ self.model.weights)
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, value))))
 
 
@@ -209,7 +221,11 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-            words = Counter(m.group() for m in _TOKEN.finditer((text.as_py() or "").lower()))
+            words: Counter = Counter()
+            for token in _TOKEN.finditer((text.as_py() or "").lower()):
+                words[token[0]] += 1
+                if token[2] and len(token[2]) > 1:
+                    words[token[2]] += 1
             terms: Counter = Counter()
             for word, n in words.items():
                 terms[word, True] += n
@@ -223,7 +239,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from handed_on()
 
 
-def learn_terms(rows: DataFrame, max_terms: int) -> list[tuple[str, bool, float]]:
+def learn_terms(rows: DataFrame) -> list[tuple[str, bool, float]]:
     """Terms of toxic rows by the log-likelihood ratio of their document counts, weighted by the ratio of their uses.
 
     A longer term is kept only where no shorter one says as much.
@@ -246,8 +262,6 @@ def learn_terms(rows: DataFrame, max_terms: int) -> list[tuple[str, bool, float]
     best = (
         by_term.where((ratio > least) & (a > (a + b) * min(0.9, 3 * share)))
         .select("term", "whole", "a", "b", "c", "d")
-        .orderBy(ratio.desc(), "term", "whole")
-        .limit(max_terms)
         .collect()
     )
     kept: dict[str, float] = {}
@@ -278,21 +292,21 @@ def fit_weights(features: np.ndarray, labels: np.ndarray, counts: np.ndarray, ro
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, max_terms: int = 5_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
     """Learn from `labels` (doc_id, toxic) of rows that are not held out."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most `sample` pairs of numbers are broadcast; whole texts of those rows are read.
     rows = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic"), "labelled")
-    terms = learn_terms(rows, max_terms)
+    terms = learn_terms(rows)
     known = {t for t, _, _ in terms}
     model = Model(terms + [(t, True, 1.0) for t in SEEDS if t not in known])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            x = np.array([scorer.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, len(OUTPUTS))
+            x = damped(np.array([scorer.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, len(OUTPUTS)))
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(c) for c in x.T), batch.column(1)], names=[*(f"f{i}" for i in range(len(OUTPUTS))), "toxic"]
             )

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 import zlib
 
 import pytest
@@ -29,6 +30,52 @@ def test_clauses():
     assert outputs("vequoir idiots prevequ") == {"insult": 1.0}
 
 
+def test_elided_beginnings():
+    assert outputs("c'est l'idiot") == outputs("c'est un idiot") == {"insult": 1.0}
+    assert outputs("d’idiot d'idiot") == {"insult": 2.0}
+    assert outputs("you're an idiot") == outputs("t'es idiot") == {"aimed insult": 1.0}
+    assert outputs("isn't idiot") == {"negated": 1.0}
+    assert outputs("can't idiot") == {"insult": 1.0}
+    assert SCORER.score("idiot " * 40) > SCORER.score("idiot " * 39) > SCORER.score("idiot " * 12)
+
+
+def plain_outputs(words):
+    """What the grammar says of one clause, by looking around each term."""
+    out = {}
+    negated = lambda i: any(w == "not" for w in words[max(0, i - 3) : i])
+    said = [i for i, w in enumerate(words) if w in ("said", '"')]
+    last_target, last_term = -99, -99
+    for i, word in enumerate(words):
+        if word == "you":
+            if i - last_term <= 4:
+                out["late target"] = out.get("late target", 0) + 1.0
+                last_term = -99
+            last_target = i
+        elif word in ("idiot", "kill"):
+            if negated(i):
+                name = "negated"
+            elif said and said[0] < i:
+                name = "reported"
+            else:
+                name = {"idiot": "insult", "kill": "threat"}[word]
+                last_term = i
+                if i - last_target <= 4:
+                    name, last_target = "aimed " + name, -99
+            out[name] = out.get(name, 0) + 1.0
+    return out
+
+
+def test_equals_a_plain_reading_of_clauses():
+    rng = random.Random(6)
+    seen = set()
+    for _ in range(3000):
+        words = [rng.choice(["idiot", "kill", "you", "not", "said", "a", "b", "c", "d"]) for _ in range(rng.randrange(1, 12))]
+        got, expected = outputs(" ".join(words)), plain_outputs(words)
+        assert got == expected, words
+        seen |= set(got)
+    assert seen == set(toxicity.OUTPUTS)
+
+
 def test_scores_order():
     scores = [SCORER.score(t) for t in ("you idiot", "idiot", "nothing", "not an idiot")]
     assert scores == sorted(scores, reverse=True)
