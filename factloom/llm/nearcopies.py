@@ -14,6 +14,9 @@ The order comes from counts of all shingles of the table in `BUCKETS` hash bucke
 task. It decides how many rows meet, never what is found: texts that share a passage do not meet under it, as its shingles
 are frequent and stand last.
 
+Before a pair is compared by its texts, its signs are: a sign is the parity of the shingles that a hash puts there, so two rows differ
+in no more signs than shingles. Pairs with more different signs than similar sets may have shingles of their own are left out.
+
 Edge cases: words are those of `simhash.fingerprint`, in lower case ASCII; a text of fewer than `width` words is one
 shingle. Texts without words, null ones included, are copies of each other. Shingles are known by 64-bit hashes.
 Repeated ids are rows of their own, a null id never is the smallest of a group that has another id. Further columns are
@@ -22,6 +25,7 @@ kept, whatever their names. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +45,8 @@ _PARTS, _WAYS = 16, 16
 _HELD = 1 << 20
 #: How many ways the partners of one text are compared.
 _CHUNKS = 32
+#: Words of 64 signs for each row.
+_SIGNS = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,7 +90,7 @@ def bucket_counts(texts: DataFrame, width: int) -> np.ndarray:
             [
                 pa.array(range(_PARTS), pa.int32()),
                 pa.array([way] * _PARTS, pa.int32()),
-                pa.array([p.tobytes() for p in parts], pa.binary()),
+                pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary()),
             ],
             names=["part", "way", "counts"],
         )
@@ -93,8 +99,8 @@ def bucket_counts(texts: DataFrame, width: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
-        found = [np.minimum(s, 0xFFFFFFFF).astype(np.uint32).tobytes() for s in sums.values()]
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.int64)
+        found = [zlib.compress(np.minimum(s, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1) for s in sums.values()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(sums, pa.int32()), pa.array([0] * len(sums), pa.int32()), pa.array(found, pa.binary())],
             names=["part", "way", "counts"],
@@ -103,7 +109,7 @@ def bucket_counts(texts: DataFrame, width: int) -> np.ndarray:
     once = texts.mapInArrow(count, kinds).repartition("part", "way").mapInArrow(add, kinds)
     out = np.zeros((_PARTS, BUCKETS // _PARTS), np.uint32)
     for row in once.repartition("part").mapInArrow(add, kinds).collect():
-        out[row["part"]] = np.frombuffer(row["counts"], np.uint32)
+        out[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
     return out.ravel()
 
 
@@ -118,6 +124,13 @@ def first_shingles(values: np.ndarray, counts: np.ndarray, least: float) -> np.n
     return values[np.lexsort((values, counts[_bucket(values)]))[:n]]
 
 
+def signs(values: np.ndarray) -> np.ndarray:
+    """The parities of the shingles, `_SIGNS` words of 64 bits."""
+    places = ((values * _ODD) >> np.uint64(20)).astype(np.int64) % (64 * _SIGNS)
+    odd = np.bincount(places, minlength=64 * _SIGNS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sketched(docs: DataFrame, keep: list[str], text_col: str, width: int, least: float, counts: np.ndarray) -> DataFrame:
     """`keep` columns, the number of shingles, the first of them and the fingerprint of each row."""
 
@@ -125,22 +138,25 @@ def _sketched(docs: DataFrame, keep: list[str], text_col: str, width: int, least
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                sizes, firsts, prints = [], [], []
+                sizes, firsts, prints, marks = [], [], [], []
                 for text in part.column(len(keep)).to_pylist():
                     values = shingles(text, width)
                     sizes.append(len(values))
                     firsts.append(first_shingles(values, counts, least).view(np.int64))
                     prints.append(simhash.fingerprint(text, width))
+                    marks.append(signs(values))
                 ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts) if firsts else np.empty(0, np.int64)))
                 found = [pa.array(sizes, pa.int64()), listed, pa.array(np.array(prints, np.uint64).view(np.int64))]
+                flat = pa.array(np.concatenate(marks) if marks else np.empty(0, np.int64))
+                found.append(pa.ListArray.from_arrays(np.arange(len(marks) + 1, dtype=np.int32) * _SIGNS, flat))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(keep)], *found], names=[*keep, "size", "firsts", "fingerprint"]
+                    [*part.columns[: len(keep)], *found], names=[*keep, "size", "firsts", "fingerprint", "signs"]
                 )
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     rows = docs.select(*keep, docs[text_col].alias("_text"))
-    return rows.mapInArrow(run, f"{kinds}size long, firsts array<long>, fingerprint long")
+    return rows.mapInArrow(run, f"{kinds}size long, firsts array<long>, fingerprint long, signs array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -181,28 +197,33 @@ def _fits(least: float) -> Column:
     indexed = F.when(F.col("size") <= F.col("other_size"), F.col("indexed")).otherwise(F.lit(False)) | F.when(
         F.col("size") >= F.col("other_size"), F.col("other_indexed")
     ).otherwise(F.lit(False))
-    return indexed & (left >= needed) & (small + F.lit(1e-9) >= F.lit(least) * large)
+    apart = sum((F.bit_count(F.get("signs", F.lit(i)).bitwiseXOR(F.get("other_signs", F.lit(i)))) for i in range(_SIGNS)), F.lit(0))
+    return indexed & (left >= needed) & (small + F.lit(1e-9) >= F.lit(least) * large) & (apart <= small + large - 2 * needed)
 
 
-_PLACED = ("node", "size", "pos", "indexed", "root")
+_PLACED = ("node", "size", "pos", "indexed", "root", "signs")
 
 
 def _other(rows: DataFrame) -> DataFrame:
     return rows.select("key", *(F.col(c).alias(f"other_{c}") for c in _PLACED))
 
 
-def _mixed(rows: DataFrame, turn: int) -> DataFrame:
+def _mixed(rows: DataFrame, marks: DataFrame, turn: int) -> DataFrame:
     """The rows under keys that join several groups, next to one indexed member of the key, another one each turn.
 
     Rows move once, by key; a key has at most one row of each text, so it is a small part of all rows even where it is in all texts.
+    Signs are looked up for the rows that are left.
     """
     dealt = rows.repartition("key")
-    order = F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("order"), *_PLACED)
+    placed = [c for c in _PLACED if c != "signs"]
+    order = F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("order"), *placed)
     keyed = dealt.groupBy("key").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(F.col("indexed"), order)).alias("hub")
     )
     several = keyed.where((F.col("low") < F.col("high")) & F.col("hub").isNotNull())
-    return dealt.join(several.select("key", *(F.col(f"hub.{c}").alias(f"other_{c}") for c in _PLACED)), "key")
+    mixed = dealt.join(several.select("key", *(F.col(f"hub.{c}").alias(f"other_{c}") for c in placed)), "key")
+    others = marks.select(F.col("node").alias("other_node"), F.col("signs").alias("other_signs"))
+    return mixed.join(marks, "node").join(others, "other_node")
 
 
 def _sorted_pair() -> list[Column]:
@@ -213,13 +234,16 @@ def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     rows = members.select("key", "node", "size", "pos", "indexed")
     if roots is None:
         return rows.withColumn("root", F.col("node"))
-    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", *_PLACED)
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def linked(members: DataFrame, texts: DataFrame, first_pairs: DataFrame, width: int, least: float, turns: int = 2) -> DataFrame:
+def linked(
+    members: DataFrame, marks: DataFrame, texts: DataFrame, first_pairs: DataFrame, width: int, least: float, turns: int = 2
+) -> DataFrame:
     """(node, root) of all nodes that confirmed links connect.
 
-    `members` are the rows (key, node, size, pos, indexed) under shared keys, `first_pairs` (a, b) are compared beforehand.
+    `members` are the rows (key, node, size, pos, indexed) under shared keys, `marks` are (node, signs), and `first_pairs` (a, b) are
+    compared beforehand.
     """
     found, roots, spent = [], None, []
 
@@ -242,14 +266,14 @@ def linked(members: DataFrame, texts: DataFrame, first_pairs: DataFrame, width:
     confirm(first_pairs)
     rows = members
     for turn in range(turns):
-        mixed = written(_mixed(_rooted(rows, roots), turn), "mixed")
+        mixed = written(_mixed(_rooted(rows, roots), marks, turn), "mixed")
         spent.append(mixed)
         rows = mixed
         met = mixed.where((F.col("root") != F.col("other_root")) & _fits(least))
         # One pair for each row and turn.
         if not confirm(met.groupBy("node").agg(F.min("other_node").alias("other_node")).select(*_sorted_pair()).distinct()):
             break
-    mixed = written(_mixed(_rooted(rows, roots), 0).select("key", *_PLACED), "mixed")
+    mixed = written(_mixed(_rooted(rows, roots), marks, 0).select("key", *_PLACED), "mixed")
     met = mixed.where("indexed").join(_other(mixed), "key").where(
         (F.col("size") <= F.col("other_size")) & (F.col("root") != F.col("other_root")) & _fits(least)
     )
@@ -259,10 +283,12 @@ def linked(members: DataFrame, texts: DataFrame, first_pairs: DataFrame, width:
 
 
 def _members(rows: DataFrame, least: float) -> DataFrame:
-    """(key, node, size, pos, indexed): the first shingles of each row."""
-    dealt = rows.select("node", "size", F.posexplode("firsts").alias("pos", "key"))
+    """(key, node, size, pos, indexed): the first shingles of each row that another row has too, and one of them as its index."""
     last = F.col("size") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("size") - F.lit(1e-9))
-    return dealt.withColumn("indexed", F.col("pos") <= last).select("key", "node", "size", "pos", "indexed")
+    dealt = rows.select("node", "size", F.posexplode("firsts").alias("pos", "key")).repartition("key")
+    indexed = F.col("pos") <= last
+    several = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(indexed).alias("any")).where("n > 1 AND any")
+    return dealt.join(several.select("key"), "key").withColumn("indexed", indexed)
 
 
 def kept_rows(
@@ -270,39 +296,36 @@ def kept_rows(
 ) -> DataFrame:
     """One whole row of each group: that with the smallest id; of several, that with the smallest digest of id and text.
 
-    Rows of equal id and text are one row. Whole rows move once, by their digest.
+    Rows of equal id and text are one row. Rows are known by 16 bytes of that digest; whole rows meet the digests of those that go.
     """
     key = f"_key_{len(docs.columns)}"
     given = F.concat_ws("|", F.coalesce(docs[id_col].cast("string"), F.lit("null")), F.coalesce(docs[text_col], F.lit("")))
-    keyed = docs.withColumn(key, F.sha2(given.cast("binary"), 256))
+    keyed = docs.withColumn(key, F.substring(F.unhex(F.sha2(given.cast("binary"), 256)), 1, 16))
     counts = bucket_counts(docs.select(docs[text_col].alias("text")), width)
     sketched = _sketched(keyed.select(id_col, key, text_col), [id_col, key], text_col, width, least, counts)
     # Numbers are given before the table is written, and read from it ever after.
     rows = written(
         sketched.select(
-            F.col(id_col).alias("id"), F.col(key).alias("digest"), "size", "firsts", "fingerprint",
+            F.col(id_col).alias("id"), F.col(key).alias("digest"), "size", "firsts", "fingerprint", "signs",
             F.monotonically_increasing_id().alias("node"),
         ),
         "sketches",
     )
     near = written(simhash.grouped(rows.select("node", "fingerprint"), "node"), "near")
     close = near.where("node <> component_id").select(F.col("component_id").alias("a"), F.col("node").alias("b"))
-    dealt = _members(rows, least)
-    dealt = dealt.repartition("key")
-    several = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("indexed").alias("any")).where("n > 1 AND any")
-    members = written(dealt.join(several.select("key"), "key"), "members")
-    met = written(
-        members.select("node").union(close.select("a")).union(close.select("b")).distinct(), "met"
-    )
-    named = written(rows.join(met, "node", "left_semi").select("node", "id", "digest"), "named")
-    texts = keyed.select(F.col(key).alias("digest"), docs[text_col].alias("text"))
-    texts = texts.join(named.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
-    texts = written(texts.join(named.select("digest", "node"), "digest").select("node", "text"), "texts")
-    roots = linked(members, texts, close, width, least)
-    grouped = written(named.join(roots, "node"), "grouped")
+    members = written(_members(rows, least), "members")
+    met = members.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    named = written(rows.join(met, "node", "left_semi").select("node", "id", "digest", "signs"), "named")
+    # Of rows with equal id and text any text will do: it is the same.
+    texts = keyed.select(F.col(key).alias("digest"), docs[text_col].alias("text")).join(named.select("node", "digest"), "digest")
+    texts = written(texts.dropDuplicates(["node"]).select("node", "text"), "texts")
+    roots = linked(members, named.select("node", "signs"), texts, close, width, least)
+    grouped = written(named.join(roots, "node").select("id", "digest", "root"), "grouped")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("digest")))
     winners = grouped.groupBy("root").agg(first.alias("first")).select("first.digest")
-    losers = grouped.select("digest").distinct().join(winners, "digest", "left_anti")
-    losers = written(losers.select(F.col("digest").alias(key)), "losers")
-    forget(rows, near, members, met, named, texts, grouped)
-    return keyed.dropDuplicates([key]).join(losers, key, "left_anti").select(*docs.columns)
+    losers = written(grouped.select("digest").distinct().join(winners, "digest", "left_anti").select(F.col("digest").alias(key)), "losers")
+    again = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias(key))
+    again = written(again.join(losers, key, "left_anti"), "repeated")
+    forget(rows, near, members, named, texts, roots, grouped)
+    once = keyed.join(losers.union(again), key, "left_anti").unionByName(keyed.join(again, key, "left_semi").dropDuplicates([key]))
+    return once.select(*docs.columns)

@@ -135,6 +135,17 @@ def test_similar_sets_share_a_first_shingle(least):
         assert np.isin(index, nearcopies.first_shingles(large, counts, least)).any()
 
 
+def test_signs_differ_no_more_than_sets():
+    rng = np.random.RandomState(8)
+    for n in (1, 5, 50, 500, 5000):
+        a = np.unique(rng.randint(0, 2**62, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[: rng.randint(0, n + 1)], rng.randint(0, 2**62, rng.randint(0, n + 1)).astype(np.uint64))))
+        apart = sum(bin(x).count("1") for x in (nearcopies.signs(a) ^ nearcopies.signs(b)).view(np.uint64).tolist())
+        assert apart <= len(np.setxor1d(a, b))
+        if n < 100:
+            assert apart >= 0.7 * len(np.setxor1d(a, b))
+
+
 def test_counts_of_buckets(spark):
     rows = planted()
     expected = np.zeros(nearcopies.BUCKETS, np.int64)
