@@ -44,8 +44,13 @@ PRICED_FLOW = EngineConfig(
 )
 
 
+#: Session setting: to how many tasks the page queries deal their pages; unset, the table's own splits are the tasks.
+PAGE_TASKS = "spark.factloom.page.tasks"
+
+
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_table(table(spark, sf_dir, "pages"))
+    tasks = spark.conf.get(PAGE_TASKS, None)
+    return from_table(table(spark, sf_dir, "pages"), int(tasks) if tasks else None)
 
 
 def reports_of(spark: SparkSession, sf_dir: str, cfg: EngineConfig = EngineConfig()) -> DataFrame:

@@ -56,8 +56,14 @@ def stream_page_files(spark: SparkSession, directory: str, max_files: int = 1000
     return as_pages(files)
 
 
-def from_table(pages: DataFrame) -> DataFrame:
-    """A page table (page_id, url, html) in the layout of the flow."""
+def from_table(pages: DataFrame, tasks: int | None = None) -> DataFrame:
+    """A page table (page_id, url, html) in the layout of the flow.
+
+    A table is read in as many tasks as it has splits. Where those are fewer than the cores, as with a few large row groups,
+    the caller may name a number of `tasks` to deal the raw pages to, once and before anything is done to them.
+    """
+    if tasks:
+        pages = pages.select("page_id", "url", "html").repartition(tasks)
     return pages.select(
         "page_id",
         F.col("url").alias("path"),
