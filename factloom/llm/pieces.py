@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 MARK = "▁"
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _UNIGRAM, _BPE = 1, 2
-_KEPT = 1 << 17
+_KEPT = 1 << 18
 _ROWS = 256
 _LONG = 64
 
