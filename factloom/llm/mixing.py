@@ -8,8 +8,8 @@ join with their cell.
 
 Targets: one (value, share) table per margin; shares are taken among the values that occur, and a value without a
 target keeps weight zero. Without a table, a margin's target is its own share of tokens to the power `alpha`.
-Margins that contradict each other on cells without documents do not converge; fitting then ends after `rounds` rounds, and
-`fitted` keeps the last weights.
+Margins that contradict each other on cells without documents do not converge; fitting ends when a round brings no margin nearer,
+and every row says by its `gap` how far the worst margin is from its target.
 
 Edge cases: a null source, language or topic is a value of its own. A null text has no tokens, and such rows follow their
 cell's probability. Rows that share an id share its draw; a null id draws as the empty string. An empty table gives
@@ -56,14 +56,18 @@ def fit(
     margins: list[str],
     targets: dict[str, DataFrame] | None = None,
     alpha: float = 0.7,
-    rounds: int = 30,
     tolerance: float = 1e-6,
 ) -> DataFrame:
-    """Cells (margins, `tokens`) with a `weight` per token; raked tokens sum to one."""
+    """Cells (margins, `tokens`) with a `weight` per token; raked tokens sum to one.
+
+    Rounds go on until no margin is further than `tolerance` from its target, or until a round brings none of them nearer: targets
+    that contradict each other cannot all be met. `gap` is the largest distance that is left.
+    """
     targets = targets or {}
     shares = {m: written(_shares(cells, m, targets.get(m), alpha), "shares") for m in margins}
     now = written(cells.withColumn("weight", F.lit(1.0)), "cells")
-    for _ in range(rounds):
+    gap = before = float("inf")
+    while gap >= tolerance:
         raked = now
         for margin in margins:
             have = raked.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have"))
@@ -79,9 +83,10 @@ def fit(
             have = now.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have"))
             off = F.max(F.abs(F.col("have") - F.col("share")))
             gaps.append(have.join(shares[margin], margin).agg(off).first()[0])
-        if max((g for g in gaps if g is not None), default=0.0) < tolerance:
+        before, gap = gap, max((g for g in gaps if g is not None), default=0.0)
+        if gap >= before * 0.999:
             break
-    return now
+    return now.withColumn("gap", F.lit(gap))
 
 
 def scale_for(cells: DataFrame, budget: float, steps: int = 64, passes: int = 3) -> float:
@@ -124,7 +129,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """All rows and columns of `docs`, each with a struct `mix`: tokens, weight, probability and kept.
+    """All rows and columns of `docs`, each with a struct `mix`: tokens, weight, probability, kept, and the `gap` the fit leaves.
 
     `margins` names columns of values; a document's weight is that of its cell.
     """
@@ -138,12 +143,13 @@ def mix(
     cells = written(row.groupBy(*keys).agg(F.sum(f"n_{tag}").alias("tokens")), "cells")
     fitted = fit(cells, keys, {names[m]: t for m, t in (targets or {}).items()}, alpha)
     scale = scale_for(fitted, budget)
-    weights = fitted.select(*keys, F.col("weight").alias(f"w_{tag}"))
+    weights = fitted.select(*keys, F.col("weight").alias(f"w_{tag}"), F.col("gap").alias(f"gap_{tag}"))
     probability = F.least(F.lit(1.0), F.col(f"w_{tag}") * F.lit(scale))
     told = F.struct(
         F.col(f"n_{tag}").alias("tokens"),
         F.col(f"w_{tag}").alias("weight"),
         probability.alias("probability"),
         (draw(docs[id_col], seed) < probability).alias("kept"),
+        F.col(f"gap_{tag}").alias("gap"),
     )
     return row.join(weights, keys).select(*docs.columns, told.alias("mix"))

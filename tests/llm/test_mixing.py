@@ -71,6 +71,15 @@ def test_three_margins_with_one_source(spark, source):
             assert have == pytest.approx(own[v] / sum(own.values()), abs=1e-6)
 
 
+def test_a_fit_says_what_gap_it_leaves(spark):
+    assert {r["mix"]["gap"] < 1e-6 for r in mixed(spark, ROWS)} == {True}
+    rows = [(1, "w " * 50, "a", "en"), (2, "w " * 50, "b", "de")]
+    source = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "value string, share double")
+    lang = spark.createDataFrame([("en", 0.9), ("de", 0.1)], "value string, share double")
+    got = mixed(spark, rows, targets={"source": source, "lang": lang})
+    assert all(r["mix"]["gap"] == pytest.approx(0.4, abs=1e-6) for r in got)
+
+
 def test_the_whole_budget_keeps_all(spark):
     assert all(r["mix"]["kept"] for r in mixed(spark, ROWS, budget=1.0))
 
