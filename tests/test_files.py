@@ -117,7 +117,9 @@ def test_stream_writes_what_the_batch_computes(spark, queue, tmp_path):
         "archive": 3, "errors": 3,
     }
     log = spark.read.parquet(os.path.join(root, tables.LOG))
-    assert log.count() == 6 and log.where("level = 'warning'").count() == 1
+    # Eight stages of five pages, and the admission of the sixth.
+    assert log.count() == 5 * 8 + 1 and log.where("stage = 'outcome'").count() == 5
+    assert log.where("stage = 'admission' AND level = 'warning'").count() == 1
     ledger = read_ledger(spark, os.path.join(root, tables.LEDGER))
     assert ledger.count() == 4 * 5 and ledger.where("cost_usd <> 0").count() == 0
     reports = spark.read.parquet(os.path.join(root, tables.REPORTS))
