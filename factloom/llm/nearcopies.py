@@ -197,33 +197,41 @@ def _fits(least: float) -> Column:
     indexed = F.when(F.col("size") <= F.col("other_size"), F.col("indexed")).otherwise(F.lit(False)) | F.when(
         F.col("size") >= F.col("other_size"), F.col("other_indexed")
     ).otherwise(F.lit(False))
+    return indexed & (left >= needed) & (small + F.lit(1e-9) >= F.lit(least) * large)
+
+
+def _signs_fit(least: float) -> Column:
+    """Whether the sets of a row and of another one may be similar, by their sizes and signs."""
+    needed = F.ceil(F.lit(least / (1 + least)) * (F.col("size") + F.col("other_size")) - F.lit(1e-9))
     apart = sum((F.bit_count(F.get("signs", F.lit(i)).bitwiseXOR(F.get("other_signs", F.lit(i)))) for i in range(_SIGNS)), F.lit(0))
-    return indexed & (left >= needed) & (small + F.lit(1e-9) >= F.lit(least) * large) & (apart <= small + large - 2 * needed)
+    return apart <= F.col("size") + F.col("other_size") - 2 * needed
 
 
-_PLACED = ("node", "size", "pos", "indexed", "root", "signs")
+_PLACED = ("node", "size", "pos", "indexed", "root")
 
 
 def _other(rows: DataFrame) -> DataFrame:
-    return rows.select("key", *(F.col(c).alias(f"other_{c}") for c in _PLACED))
+    return rows.select("key", *(F.col(c).alias(f"other_{c}") for c in (*_PLACED, "signs")))
+
+
+def _with_signs(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Add the signs of both rows of a pair (node, other_node)."""
+    others = marks.select(F.col("node").alias("other_node"), F.col("signs").alias("other_signs"))
+    return pairs.join(marks, "node").join(others, "other_node")
 
 
-def _mixed(rows: DataFrame, marks: DataFrame, turn: int) -> DataFrame:
+def _mixed(rows: DataFrame, turn: int) -> DataFrame:
     """The rows under keys that join several groups, next to one indexed member of the key, another one each turn.
 
     Rows move once, by key; a key has at most one row of each text, so it is a small part of all rows even where it is in all texts.
-    Signs are looked up for the rows that are left.
     """
     dealt = rows.repartition("key")
-    placed = [c for c in _PLACED if c != "signs"]
-    order = F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("order"), *placed)
+    order = F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("order"), *_PLACED)
     keyed = dealt.groupBy("key").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(F.col("indexed"), order)).alias("hub")
     )
     several = keyed.where((F.col("low") < F.col("high")) & F.col("hub").isNotNull())
-    mixed = dealt.join(several.select("key", *(F.col(f"hub.{c}").alias(f"other_{c}") for c in placed)), "key")
-    others = marks.select(F.col("node").alias("other_node"), F.col("signs").alias("other_signs"))
-    return mixed.join(marks, "node").join(others, "other_node")
+    return dealt.join(several.select("key", *(F.col(f"hub.{c}").alias(f"other_{c}") for c in _PLACED)), "key")
 
 
 def _sorted_pair() -> list[Column]:
@@ -266,16 +274,17 @@ def linked(
     confirm(first_pairs)
     rows = members
     for turn in range(turns):
-        mixed = written(_mixed(_rooted(rows, roots), marks, turn), "mixed")
+        mixed = written(_mixed(_rooted(rows, roots), turn), "mixed")
         spent.append(mixed)
         rows = mixed
-        met = mixed.where((F.col("root") != F.col("other_root")) & _fits(least))
+        met = mixed.where((F.col("root") != F.col("other_root")) & _fits(least)).select("node", "other_node", "size", "other_size")
+        met = _with_signs(met.distinct(), marks).where(_signs_fit(least))
         # One pair for each row and turn.
         if not confirm(met.groupBy("node").agg(F.min("other_node").alias("other_node")).select(*_sorted_pair()).distinct()):
             break
-    mixed = written(_mixed(_rooted(rows, roots), marks, 0).select("key", *_PLACED), "mixed")
+    mixed = written(_mixed(_rooted(rows, roots), 0).select("key", *_PLACED).join(marks, "node"), "mixed")
     met = mixed.where("indexed").join(_other(mixed), "key").where(
-        (F.col("size") <= F.col("other_size")) & (F.col("root") != F.col("other_root")) & _fits(least)
+        (F.col("size") <= F.col("other_size")) & (F.col("root") != F.col("other_root")) & _fits(least) & _signs_fit(least)
     )
     confirm(met.select(*_sorted_pair()).distinct())
     forget(mixed, *found, *spent)
@@ -311,21 +320,25 @@ def kept_rows(
         ),
         "sketches",
     )
-    near = written(simhash.grouped(rows.select("node", "fingerprint"), "node"), "near")
+    # Rows with equal id and text are one: the first of their numbers stands for them.
+    firsts = rows.groupBy("digest").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
+    repeated = written(firsts.where("n > 1"), "repeated")
+    more = rows.select("digest", "node").join(repeated, "digest").where("node <> first").select("node")
+    unique = rows.join(written(more, "more"), "node", "left_anti")
+    near = written(simhash.grouped(written(unique.select("node", "fingerprint"), "prints"), "node"), "near")
     close = near.where("node <> component_id").select(F.col("component_id").alias("a"), F.col("node").alias("b"))
-    members = written(_members(rows, least), "members")
-    met = members.select("node").union(close.select("a")).union(close.select("b")).distinct()
-    named = written(rows.join(met, "node", "left_semi").select("node", "id", "digest", "signs"), "named")
-    # Of rows with equal id and text any text will do: it is the same.
+    members = written(_members(unique, least), "members")
+    met = written(members.select("node").union(close.select("a")).union(close.select("b")).distinct(), "met")
+    named = written(rows.join(met, "node", "left_semi").select("node", "id", "digest"), "named")
+    marks = written(rows.join(met, "node", "left_semi").select("node", "signs"), "marks")
     texts = keyed.select(F.col(key).alias("digest"), docs[text_col].alias("text")).join(named.select("node", "digest"), "digest")
-    texts = written(texts.dropDuplicates(["node"]).select("node", "text"), "texts")
-    roots = linked(members, named.select("node", "signs"), texts, close, width, least)
+    texts = written(texts.select("node", "text"), "texts")
+    roots = linked(members, marks, texts, close, width, least)
     grouped = written(named.join(roots, "node").select("id", "digest", "root"), "grouped")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("digest")))
     winners = grouped.groupBy("root").agg(first.alias("first")).select("first.digest")
     losers = written(grouped.select("digest").distinct().join(winners, "digest", "left_anti").select(F.col("digest").alias(key)), "losers")
-    again = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias(key))
-    again = written(again.join(losers, key, "left_anti"), "repeated")
-    forget(rows, near, members, named, texts, roots, grouped)
+    again = written(repeated.select(F.col("digest").alias(key)).join(losers, key, "left_anti"), "again")
+    forget(rows, near, members, met, named, marks, texts, roots, grouped, repeated)
     once = keyed.join(losers.union(again), key, "left_anti").unionByName(keyed.join(again, key, "left_semi").dropDuplicates([key]))
     return once.select(*docs.columns)
