@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from factloom.sources.arrivals import file_system
+
 FORMAT = "named_files"
 LISTS, COMMITS = "_lists", "_commits"
 _LIST = "name string, bytes long, sha256 string"
@@ -48,13 +50,6 @@ class NamedFiles(DataSource):
         return NamedFilesWriter(self.options["path"], uuid.uuid4().hex, overwrite)
 
 
-def _file_system(path: str):
-    """The file system of a path and the path in it; a bare path is local."""
-    from pyarrow.fs import FileSystem, LocalFileSystem
-
-    return FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
-
-
 class NamedFilesWriter(DataSourceArrowWriter):
     def __init__(self, path: str, job: str, overwrite: bool):
         self.path, self.job, self.overwrite = path.rstrip("/"), job, overwrite
@@ -67,7 +62,7 @@ class NamedFilesWriter(DataSourceArrowWriter):
         files.move(beside, name)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> TaskFiles:
-        files, root = _file_system(self.path)
+        files, root = file_system(self.path)
         listed, total = [], 0
         for batch in iterator:
             for name, text in zip(batch.column("name").to_pylist(), batch.column("text")):
@@ -87,7 +82,7 @@ class NamedFilesWriter(DataSourceArrowWriter):
         return TaskFiles(len(listed), total)
 
     def commit(self, messages: list[TaskFiles | None]) -> None:
-        files, root = _file_system(self.path)
+        files, root = file_system(self.path)
         done = [m for m in messages if m is not None]
         mark = {"job": self.job, "tasks": len(done), "files": sum(m.files for m in done), "bytes": sum(m.bytes for m in done)}
         if self.overwrite:
@@ -111,7 +106,7 @@ def committed_files(spark: SparkSession, path: str) -> DataFrame:
     """(name, bytes, sha256) of the files that committed jobs list."""
     from pyarrow.fs import FileType
 
-    files, root = _file_system(path.rstrip("/"))
+    files, root = file_system(path.rstrip("/"))
     if any(files.get_file_info(f"{root}/{d}").type == FileType.NotFound for d in (LISTS, COMMITS)):
         return spark.createDataFrame([], _LIST)
     jobs = spark.read.schema("job string").json(f"{path}/{COMMITS}")
@@ -122,7 +117,7 @@ def committed_files(spark: SparkSession, path: str) -> DataFrame:
 def read_named_files(spark: SparkSession, path: str) -> DataFrame:
     """(name, text) of all committed files, read back whole and held against their list."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    below = _file_system(path.rstrip("/"))[1].rstrip("/") + "/"
+    below = file_system(path.rstrip("/"))[1].rstrip("/") + "/"
     name = F.regexp_extract("path", f"{re.escape(below)}(.*)$", 1)
     read = read.select(name.alias("name"), "content")
     # Spark's file sources pass over empty files; the list knows them.
