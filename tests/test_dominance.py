@@ -109,3 +109,26 @@ def test_table_form_has_no_window_and_no_join(spark):
 def test_pages_without_values(spark, empty):
     got = modes(page_rows(spark, [empty]))
     assert got[0] == ({}, set(), None)
+
+
+def test_table_form_moves_no_row_per_kind(spark):
+    table = spark.range(10).select((F.col("id") % 2).alias("page_id"), F.col("id").alias("pos"), F.lit("x").alias("size"))
+    wide = D.dominant_values(table, ["page_id"], ["pos"], {"size": F.col("size")}, {"size": 0.3})
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # printed from the top: nothing is dealt out after the rows per kind
+
+
+def test_table_form_of_repeated_and_null_keys(spark):
+    rng = random.Random(3)
+    flat = [(rng.choice([None, 1, 2, 3]), rng.randint(0, 9), rng.choice([None, "", "a", "b"]), rng.choice([None, "a", "c"])) for _ in range(400)]
+    table = spark.createDataFrame(flat + flat[:50], "page_id int, pos int, size string, color string").repartition(5)
+    kinds = {"size": F.col("size"), "color": F.col("color")}
+    wide = D.dominant_values(table, ["page_id"], ["pos", "size"], kinds, {"size": 0.3, "color": 0.3}).collect()
+    assert len(wide) == 4
+    for r in wide:
+        own = [x for x in flat + flat[:50] if x[0] == r.page_id]
+        first = {v: min((x[1], x[2] is not None, x[2] or "") for x in own if x[3] == v) for v in "ac"}
+        n = {v: sum(x[3] == v for x in own) for v in "ac"}
+        best = min("ac", key=lambda v: (-n[v], first[v], v))
+        assert (r["items"], r.color_value, r.color_n) == (len(own), best, n[best])
+        assert r.color_share == n[best] / len(own)
