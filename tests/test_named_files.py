@@ -49,6 +49,31 @@ def test_a_failed_job_counts_for_nothing(spark, tmp_path):
     assert N.read_named_files(spark, str(tmp_path)).count() == 0
 
 
+def test_files_are_read_by_tasks_and_not_listed_by_the_driver(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = [(f"{i % 3}/f {i}:%41.md", f"text {i}\n" * (i % 5)) for i in range(200)]
+    N.write_named_files(named(spark, rows).coalesce(1), path)
+    files = N.read_named_files(spark, path)
+    known = files.inputFiles()
+    assert known and all(f"/{N.LISTS}/" in f or f"/{N.COMMITS}/" in f for f in known)
+    dealt = files.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(dealt) > 4 and max(r["count"] for r in dealt) < 100
+    assert sorted(map(tuple, files.collect())) == sorted(rows)
+
+
+def test_a_file_counts_by_what_it_holds_now(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    N.write_named_files(named(spark, [("a.md", "one"), ("b.md", "two"), ("c.md", "ä" * 9), ("d.md", "four")]), path)
+    N.write_named_files(named(spark, [("a.md", "other"), ("b.md", "two")]), path)
+    os.remove(f"{path}/d.md")
+    found = sorted(map(tuple, N.read_named_files(spark, path).collect()))
+    assert found == [("a.md", "other"), ("b.md", "two"), ("c.md", "ä" * 9)]
+    # A task holds a portion of the contents at a time.
+    monkeypatch.setattr(N, "_HELD", 6)
+    portions = N._contents(path, iter([N.committed_files(spark, path).orderBy("name").toArrow().to_batches()[0]]))
+    assert [[(r["name"], r["content"].decode()) for r in p.to_pylist()] for p in portions] == [found[:2], found[2:]]
+
+
 @pytest.mark.parametrize("name", ["../x", "/x", "a//b", ".hidden", "_lists/x", "", None])
 def test_names_that_point_elsewhere_are_refused(spark, tmp_path, name):
     with pytest.raises(Exception, match="not a file name"):
